@@ -140,3 +140,17 @@ def priority_weight(priority: Column) -> Column:
 def stable_id(*cols: Column | str) -> Column:
     """Deterministic row id from the natural key (never ``uuid()``)."""
     return F.md5(F.concat_ws("::", *cols))
+
+
+def mean(col: Column | str) -> Column:
+    """Average of a decimal: exact sum over count, as a double.
+
+    ``avg`` of a decimal keeps only four extra digits, which rounds twice when
+    the result is rounded again.
+    """
+    col = F.col(col) if isinstance(col, str) else col
+    return F.sum(col).cast("double") / F.count(col)
+
+
+def mean_if(cond: Column, col: Column | str) -> Column:
+    return mean(F.when(cond, F.col(col) if isinstance(col, str) else col))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["staging"]
+MODULES = ["staging", "profile"]
 
 
 def load():
