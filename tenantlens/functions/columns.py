@@ -143,13 +143,13 @@ def stable_id(*cols: Column | str) -> Column:
 
 
 def mean(col: Column | str) -> Column:
-    """Average of a decimal: exact sum over count, as a double.
+    """Average as exact sum over count.
 
     ``avg`` of a decimal keeps only four extra digits, which rounds twice when
-    the result is rounded again.
+    the result is rounded again; the division here keeps at least twelve.
     """
     col = F.col(col) if isinstance(col, str) else col
-    return F.sum(col).cast("double") / F.count(col)
+    return F.sum(col) / F.count(col)
 
 
 def mean_if(cond: Column, col: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["staging", "profile"]
+MODULES = ["staging", "profile", "marts"]
 
 
 def load():
