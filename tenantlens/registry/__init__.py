@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["staging", "profile", "marts"]
+MODULES = ["staging", "profile", "marts", "verticals"]
 
 
 def load():

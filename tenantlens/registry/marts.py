@@ -111,7 +111,8 @@ def _(t):
 
 define("m_monthly", """
 SELECT org_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month, transaction_type, count(*) AS transaction_count,
-  sum(amount) AS total_amount, round(avg(amount), 2) AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount
+  sum(amount) AS total_amount,
+  (CAST(sum(amount) * 100 AS HUGEINT) * 2 + count(*)) // (2 * count(*)) / 100 AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount
 FROM b_transactions GROUP BY 1, 2, 3""")
 
 
