@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["staging", "profile", "marts", "verticals"]
+MODULES = ["staging", "profile", "marts", "verticals", "content"]
 
 
 def load():

@@ -53,7 +53,8 @@ def _with_ctes(body: str) -> str:
     if not order:
         return body
     parts = ", ".join(f"{n} AS ({CTES[n].strip()})" for n in order)
-    return f"WITH {parts} {body.strip()}"
+    body = body.strip()
+    return f"WITH {parts}, {body[5:]}" if body.startswith("WITH ") else f"WITH {parts} {body}"
 
 
 def _plain_sql(body: str, dates, times, nums) -> str:

@@ -248,3 +248,18 @@ FROM (
     CAST(count(*) FILTER (event_type <> 'error') / count(*) AS DECIMAL(18,6)) AS accuracy,
     CAST(sum(CAST(value AS DECIMAL(12,2))) / count(*) AS DECIMAL(18,6)) AS mape
   FROM events GROUP BY 1, 2) UNPIVOT (metric_value FOR metric_name IN (accuracy, mape))"""
+
+CTES["b_contract_texts"] = """
+SELECT 'TXT-' || o_orderkey AS document_id, org_id, CASE k % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'sla' ELSE 'amendment' END AS document_type,
+  CASE WHEN k % 7 = 3 THEN 'scanned page without a text layer' ELSE
+    'Service agreement between ' || name || ', and Vendor ' || (k % 50) || '.' || chr(10) || 'Effective date: ' || strftime(d, '%Y-%m-%d')
+    || '. Expiration date: ' || CASE WHEN k % 6 = 0 THEN '2024-13-45' ELSE strftime(d + 730, '%Y-%m-%d') END || '.' || chr(10)
+    || 'Total value: ' || CASE WHEN k % 3 = 0 THEN 'EUR' ELSE 'USD' END || ' ' || CAST(o_totalprice AS DECIMAL(18,2))
+    || '. Payment terms: net ' || ((k % 4 + 1) * 15) || ' days.'
+    || CASE k % 4 WHEN 0 THEN ' The contract renews automatically.' WHEN 1 THEN ' The contract renews automatically with notice of ' || (k % 90 + 1) || ' days.'
+         WHEN 2 THEN ' The contract does not renew.' ELSE '' END
+    || ' This contract is governed by the laws of ' || region || '.'
+    || CASE WHEN k % 5 = 0 THEN ' Uptime of 99.5% with a response target and a resolution target; availability is reported.' ELSE '' END
+    || CASE WHEN k % 11 = 0 THEN ' The vendor accepts unlimited liability.' ELSE '' END END AS extracted_text
+FROM (SELECT *, o_orderkey // 10 AS k, CAST(o_orderdate AS DATE) + 8218 AS d FROM orders WHERE o_orderkey % 10 = 0)
+JOIN b_tenants ON o_custkey = custkey JOIN b_customers USING (customer_id, org_id)"""

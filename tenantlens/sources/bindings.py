@@ -376,6 +376,37 @@ class Tables:
             (ts(self.as_of) - span(k % 30)).alias("created_at"),
         )
 
+    @cached_property
+    def contract_texts(self) -> DataFrame:
+        """Contract wording composed from the order, its customer and tenant.
+
+        Some texts lack a clause, carry an impossible date, or have no
+        readable wording at all.
+        """
+        k = F.col("o_orderkey") / 10
+        k = k.cast("long")
+        names = self.customers.select("customer_id", F.col("name").alias("customer_name"), "region")
+        rows = self._with_tenant(self.raw("orders").filter(F.col("o_orderkey") % 10 == 0), "o_custkey").join(names, "customer_id")
+        start = F.date_format(shifted("o_orderdate"), "yyyy-MM-dd")
+        end = F.when(k % 6 == 0, "2024-13-45").otherwise(F.date_format(F.date_add(shifted("o_orderdate"), 730), "yyyy-MM-dd"))
+        currency = F.when(k % 3 == 0, "EUR").otherwise("USD")
+        value = dec("o_totalprice").cast("string")
+        parts = F.concat(
+            F.lit("Service agreement between "), F.col("customer_name"), F.lit(", and Vendor "), k % 50, F.lit(".\nEffective date: "), start,
+            F.lit(". Expiration date: "), end, F.lit(".\nTotal value: "), currency, F.lit(" "), value, F.lit(". Payment terms: net "),
+            (k % 4 + 1) * 15, F.lit(" days."),
+            F.when(k % 4 == 0, " The contract renews automatically.").when(k % 4 == 1, F.concat(F.lit(" The contract renews automatically with notice of "), k % 90 + 1, F.lit(" days.")))
+            .when(k % 4 == 2, " The contract does not renew.").otherwise(""),
+            F.concat(F.lit(" This contract is governed by the laws of "), F.col("region"), F.lit(".")),
+            F.when(k % 5 == 0, " Uptime of 99.5% with a response target and a resolution target; availability is reported.").otherwise(""),
+            F.when(k % 11 == 0, " The vendor accepts unlimited liability.").otherwise(""),
+        )
+        kind = mapped(k % 3, {0: "contract", 1: "sla"}, "amendment")
+        return rows.select(
+            F.concat(F.lit("TXT-"), F.col("o_orderkey")).alias("document_id"), "org_id", kind.alias("document_type"),
+            F.when(k % 7 == 3, "scanned page without a text layer").otherwise(parts).alias("extracted_text"),
+        )
+
     @cached_property
     def pages(self) -> DataFrame:
         return self.raw("pages")
