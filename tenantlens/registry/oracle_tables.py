@@ -237,7 +237,7 @@ FROM orders JOIN b_tenants ON o_custkey = custkey WHERE o_orderkey % 50 = 0"""
 CTES["b_approval_events"] = f"""
 SELECT 'APR-' || o_orderkey AS approval_id, CASE WHEN (o_orderkey % 3 + v) % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
   'mgr-' || (o_orderkey % 5) AS actor, 'reason ' || v AS reason,
-  {T0} - INTERVAL 4 DAYS + to_hours(o_orderkey % 96) + to_hours((o_orderkey * 7) % 60 + v * 5) AS at
+  {T0} - INTERVAL 4 DAYS + to_hours(o_orderkey % 96) + to_hours((o_orderkey * 7) % 60 + v * 5) AS ev_at
 FROM orders, (VALUES (0), (1)) AS versions(v) WHERE o_orderkey % 50 = 0 AND o_orderkey % 3 <> 2"""
 
 CTES["b_model_log"] = """
@@ -263,3 +263,22 @@ SELECT 'TXT-' || o_orderkey AS document_id, org_id, CASE k % 3 WHEN 0 THEN 'cont
     || CASE WHEN k % 11 = 0 THEN ' The vendor accepts unlimited liability.' ELSE '' END END AS extracted_text
 FROM (SELECT *, o_orderkey // 10 AS k, CAST(o_orderdate AS DATE) + 8218 AS d FROM orders WHERE o_orderkey % 10 = 0)
 JOIN b_tenants ON o_custkey = custkey JOIN b_customers USING (customer_id, org_id)"""
+
+CTES["b_status_events"] = """
+SELECT event_id, 'REC-' || (user_id * 3) AS recommendation_id,
+  CASE event_type WHEN 'click' THEN 'in_progress' WHEN 'view' THEN 'snoozed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'dismissed' ELSE 'archived' END AS new_status,
+  'user-' || (event_id % 9) AS acted_by, ts AS ev_at FROM events"""
+
+CTES["b_prompt_log"] = f"""
+SELECT 'P-' || q.conv_id || '-' || q.turn AS log_id, 'SES-' || q.conv_id AS session_id, org_id, 'user-' || (q.conv_id % 20) AS user_name,
+  CASE q.conv_id % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'document' ELSE 'operations' END AS agent_id, q.text AS prompt, a.text AS answer,
+  (q.conv_id * 7 + q.turn * 13) % 900 AS tokens_used, (q.conv_id * 31 + q.turn * 17) % 2000 AS latency_ms,
+  {T0} - to_days(CAST(q.conv_id % 10 AS INT)) - to_hours(q.turn) AS created_at
+FROM conversations q JOIN b_tenants ON q.conv_id = custkey
+LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role <> 'user' WHERE q.role = 'user'"""
+
+CTES["b_quality_results"] = """
+SELECT org_id, 'product_events' AS table_name, metric_name, metric_value, CASE WHEN metric_name = 'error_rate' THEN 20.0 ELSE 1.0 END::DOUBLE AS threshold,
+  CASE WHEN metric_name = 'volume' THEN 'PASS' WHEN metric_value <= 20 THEN 'PASS' WHEN metric_value <= 40 THEN 'WARN' ELSE 'FAIL' END AS status, measured_at
+FROM (SELECT org_id, date_trunc('hour', ts) AS measured_at, round(count(*) FILTER (event_type = 'error') * 100 / count(*), 2) AS error_rate,
+    count(*)::DOUBLE AS volume FROM events JOIN b_tenants ON user_id = custkey GROUP BY 1, 2) UNPIVOT (metric_value FOR metric_name IN (error_rate, volume))"""

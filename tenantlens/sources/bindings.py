@@ -550,3 +550,51 @@ class Tables:
         )
         return long.withColumn("dataset_split", F.when(F.dayofmonth("run_date") % 3 == 0, "test").otherwise("production")) \
             .withColumn("created_at", F.col("run_date").cast("timestamp"))
+
+    @cached_property
+    def status_events(self) -> DataFrame:
+        """Status changes requested for recommendations, some of them invalid or after the end."""
+        wanted = {"click": "in_progress", "view": "snoozed", "purchase": "completed", "signup": "dismissed"}
+        return self.raw("events").select(
+            F.col("event_id"), F.concat(F.lit("REC-"), F.col("user_id") * 3).alias("recommendation_id"),
+            mapped(F.col("event_type"), wanted, "archived").alias("new_status"),
+            F.concat(F.lit("user-"), F.col("event_id") % 9).alias("acted_by"), F.col("ts").alias("at"),
+        )
+
+    @cached_property
+    def prompt_log(self) -> DataFrame:
+        """User turns paired with the answer that follows them."""
+        turns = self.raw("conversations")
+        c, n = F.col("conv_id"), F.col("turn")
+        asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+        answered = turns.filter(F.col("role") != "user").select("conv_id", (n - 1).alias("turn"), F.col("text").alias("answer"))
+        pairs = self._with_tenant(asked.join(answered, ["conv_id", "turn"], "left"), "conv_id")
+        agents = dict(enumerate(["customer", "document", "operations"]))
+        return pairs.select(
+            F.concat(F.lit("P-"), c, F.lit("-"), n).alias("log_id"), F.concat(F.lit("SES-"), c).alias("session_id"), "org_id",
+            F.concat(F.lit("user-"), c % 20).alias("user_name"), mapped(c % 3, agents).alias("agent_id"), "prompt", "answer",
+            ((c * 7 + n * 13) % 900).alias("tokens_used"), ((c * 31 + n * 17) % 2000).alias("latency_ms"),
+            (ts(self.as_of) - span(c % 10, n)).alias("created_at"),
+        )
+
+    @cached_property
+    def quality_results(self) -> DataFrame:
+        """Hourly check results per tenant: error rate and event volume."""
+        hourly = self._user_events.groupBy("org_id", F.date_trunc("hour", "ts").alias("measured_at")).agg(
+            F.round(F.count_if(F.col("event_type") == "error") * 100 / F.count(F.lit(1)), 2).alias("error_rate"),
+            F.count(F.lit(1)).cast("double").alias("volume"))
+        long = hourly.select("org_id", "measured_at", F.expr("stack(2, 'error_rate', error_rate, 'volume', volume) as (metric_name, metric_value)"))
+        rate = F.when(F.col("metric_value") <= 20, "PASS").when(F.col("metric_value") <= 40, "WARN").otherwise("FAIL")
+        return long.select(
+            "org_id", F.lit("product_events").alias("table_name"), "metric_name", "metric_value",
+            F.when(F.col("metric_name") == "error_rate", 20.0).otherwise(1.0).alias("threshold"),
+            F.when(F.col("metric_name") == "error_rate", rate).otherwise(F.when(F.col("metric_value") >= 1, "PASS").otherwise("FAIL")).alias("status"),
+            "measured_at")
+
+    @cached_property
+    def kb_access(self) -> DataFrame:
+        """Which role may read which knowledge base, from the pages' own bases and the users' roles."""
+        names = F.array(F.lit("product_docs"), F.lit("support_articles"), F.lit("release_notes"))
+        bases = self.raw("pages").select(F.get(names, (F.col("page_id") % 3).cast("int")).alias("kb_name")).distinct()
+        return bases.select("kb_name", F.explode(F.when(F.col("kb_name") == "release_notes", F.array(F.lit("ADMIN")))
+                                                 .otherwise(F.array(F.lit("ADMIN"), F.lit("ANALYST")))).alias("role"))
