@@ -282,3 +282,7 @@ SELECT org_id, 'product_events' AS table_name, metric_name, metric_value, CASE W
   CASE WHEN metric_name = 'volume' THEN 'PASS' WHEN metric_value <= 20 THEN 'PASS' WHEN metric_value <= 40 THEN 'WARN' ELSE 'FAIL' END AS status, measured_at
 FROM (SELECT org_id, date_trunc('hour', ts) AS measured_at, round(count(*) FILTER (event_type = 'error') * 100 / count(*), 2) AS error_rate,
     count(*)::DOUBLE AS volume FROM events JOIN b_tenants ON user_id = custkey GROUP BY 1, 2) UNPIVOT (metric_value FOR metric_name IN (error_rate, volume))"""
+
+CTES["b_products"] = """
+SELECT 'PROD-' || p_partkey AS product_id, p_name AS product_name, p_type AS product_category, CAST(p_retailprice AS DECIMAL(18,2)) AS unit_price,
+  p_partkey % 5 <> 0 AS is_active FROM part"""

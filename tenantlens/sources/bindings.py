@@ -451,6 +451,13 @@ class Tables:
             F.col("p_size").alias("discount_pct"), dec("p_retailprice").alias("cost_usd"),
         )
 
+    @cached_property
+    def products(self) -> DataFrame:
+        k = F.col("p_partkey")
+        return self.raw("part").select(
+            F.concat(F.lit("PROD-"), k).alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("product_category"),
+            dec("p_retailprice").alias("unit_price"), (k % 5 != 0).alias("is_active"))
+
     @cached_property
     def equipment(self) -> DataFrame:
         k, size = F.col("p_partkey"), F.col("p_size")
