@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["staging", "profile", "marts", "verticals", "content", "ingest", "controls", "reads"]
+MODULES = ["staging", "profile", "marts", "verticals", "content", "ingest", "controls", "reads", "primitives"]
 
 
 def load():

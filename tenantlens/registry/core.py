@@ -83,3 +83,12 @@ def query(key: str, sql: str | None = None, dates: str = "", times: str = "", nu
 def define(name: str, sql: str) -> None:
     """Add a shared comparison CTE for a mart that other queries build on."""
     CTES[name] = sql
+
+
+def exact_avg(column: str, places: int, scale: int = 2) -> str:
+    """SQL for an average of a decimal rounded half away from zero, in integers.
+
+    A floating average can fall just below a tie that decimal arithmetic hits.
+    """
+    units = f"(CAST(abs(sum({column})) * {10 ** scale} AS HUGEINT) * {10 ** max(places - scale, 0)})"
+    return f"(sign(sum({column})) * (({units} * 2 + count({column})) // (2 * count({column}))) / {10 ** places})"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenantlens.operators import staging as st
 from tenantlens.plans import actions as ac, kpis as k, revenue as rv, usage as us
-from tenantlens.registry.core import define, query
+from tenantlens.registry.core import define, exact_avg, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360, c360_inverse, health
 from tenantlens.settings import AS_OF
@@ -109,10 +109,10 @@ def _(t):
     return rv.revenue_movement(t.transactions)
 
 
-define("m_monthly", """
+define("m_monthly", f"""
 SELECT org_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month, transaction_type, count(*) AS transaction_count,
   sum(amount) AS total_amount,
-  (CAST(sum(amount) * 100 AS HUGEINT) * 2 + count(*)) // (2 * count(*)) / 100 AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount
+  {exact_avg('amount', 2)} AS avg_amount, min(amount) AS min_amount, max(amount) AS max_amount
 FROM b_transactions GROUP BY 1, 2, 3""")
 
 

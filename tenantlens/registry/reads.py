@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tenantlens.functions import columns as cb
 from tenantlens.operators import churn as ch, series as se, staging as st, workflow as wf
 from tenantlens.plans import content as co, context as cx, metrics as me, profile as p, reads as r, revenue as rv, verticals as v
-from tenantlens.registry.core import define, query
+from tenantlens.registry.core import define, exact_avg, query
 from tenantlens.registry.marts import kpis, opportunities
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360, health
@@ -174,7 +174,7 @@ def _(t):
 
 
 @query("q19_interaction_trend", f"""
-SELECT org_id, CAST(occurred_at AS DATE) AS day, channel, count(*) AS interaction_count, round(avg(sentiment_score), 2) AS avg_sentiment
+SELECT org_id, CAST(occurred_at AS DATE) AS day, channel, count(*) AS interaction_count, {exact_avg('sentiment_score', 2)} AS avg_sentiment
 FROM b_interactions WHERE occurred_at >= {T0} - INTERVAL 30 DAYS GROUP BY 1, 2, 3""", dates="day")
 def _(t):
     return r.interaction_trend(t.interactions)
@@ -361,7 +361,7 @@ def _(t):
     return me.model_metric("tickets", t.tickets, ["ticket_count"], ["status", "priority"])
 
 
-@query("q25_channels_30d", f"SELECT org_id, channel, count(*) AS interaction_count, round(avg(sentiment_score), 2) AS avg_sentiment FROM b_interactions WHERE occurred_at >= {T0} - INTERVAL 30 DAYS GROUP BY 1, 2")
+@query("q25_channels_30d", f"SELECT org_id, channel, count(*) AS interaction_count, {exact_avg('sentiment_score', 2)} AS avg_sentiment FROM b_interactions WHERE occurred_at >= {T0} - INTERVAL 30 DAYS GROUP BY 1, 2")
 def _(t):
     from tenantlens.settings import AS_OF
     recent = t.interactions.filter(F.col("occurred_at") >= cb.ago(AS_OF, days=30))
