@@ -30,11 +30,22 @@ def chunk_paragraphs(docs: DataFrame, *, sep: str = "\n\n", min_chars: int = 50)
 
 
 def chunk_window(docs: DataFrame, *, size: int = 1500, overlap: int = 200) -> DataFrame:
-    """Fixed windows with overlap, as one generated sequence of offsets per document."""
-    length = F.length("extracted_text")
-    last = F.when(length <= size, F.lit(0)).otherwise(length - 1)
-    starts = docs.filter(length > 0).select("*", F.posexplode(F.sequence(F.lit(0), last, F.lit(size - overlap))).alias("chunk_index", "start"))
-    return _finish(starts, F.substring("extracted_text", F.col("start") + 1, F.lit(size)))
+    """Fixed windows with overlap.
+
+    The text is cut once into pieces of one step; a window is a piece plus the
+    head of the next. Taking substrings by offset would rescan the text from
+    its start for every window.
+    """
+    step = size - overlap
+    if not 0 <= overlap <= step:
+        raise ValueError("overlap must not exceed half of the window")
+    text = F.col("extracted_text")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    parts = docs.filter(F.length(text) > 0).withColumn("_p", pieces)
+    windows = F.transform("_p", lambda piece, i: F.concat(piece, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, overlap)))
+    whole = F.when(F.length(text) <= size, F.array(text)).otherwise(windows)
+    rows = parts.withColumn("_w", whole).drop("extracted_text", "_p").select("*", F.posexplode("_w").alias("chunk_index", "piece")).drop("_w")
+    return _finish(rows, F.col("piece"))
 
 
 def chunk_sequential(docs: DataFrame, *, method: str, size: int, overlap: int) -> DataFrame:

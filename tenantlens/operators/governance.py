@@ -56,26 +56,21 @@ def apply_masks(df: DataFrame, table: str, role: str, policy=POLICY) -> DataFram
 
 def tenant_filter(df: DataFrame, user_org_map: DataFrame, user: str, *, is_admin: bool = False) -> DataFrame:
     """Rows of the tenants mapped to ``user``; administrators and an empty map see everything.
-
-    The "map is empty" rule is part of the plan: when no mapping exists, every
-    tenant of the data joins the allowed side.
     """
-    if is_admin or user == "SYSTEM":
-        return df
     mapping = user_org_map.filter(F.col("org_id").isNotNull())
-    mine = mapping.filter(F.col("user_name") == user).select("org_id")
-    none_mapped = mapping.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(1).alias("_open"))
-    everyone = df.select("org_id").distinct().withColumn("_open", F.lit(1)).join(none_mapped, "_open", "left_semi").select("org_id")
-    return df.join(mine.unionByName(everyone).distinct(), "org_id", "left_semi")
+    if is_admin or user == "SYSTEM" or mapping.isEmpty():
+        return df
+    mine = mapping.filter(F.col("user_name") == user).select("org_id").distinct()
+    return df.join(mine, "org_id", "left_semi")
 
 
 def visible_rows(df: DataFrame, user_org_map: DataFrame) -> DataFrame:
     """Row counts each mapped user may see: the isolation rule for all users at once."""
     per_org = df.groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
-    total = per_org.agg(F.sum("n").alias("all_rows"))
-    own = user_org_map.join(per_org, "org_id", "left").groupBy("user_name", "role").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own_rows"))
-    admin = own.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
-    return admin.select("user_name", "role", F.when(F.col("role") == "ADMIN", F.col("all_rows")).otherwise(F.col("own_rows")).alias("visible"))
+    everything = per_org.agg(F.sum("n").alias("n")).select(F.lit("*").alias("scope"), "n")
+    scopes = per_org.withColumnRenamed("org_id", "scope").unionByName(everything)
+    users = user_org_map.withColumn("scope", F.when(F.col("role") == "ADMIN", "*").otherwise(F.col("org_id")))
+    return users.join(scopes, "scope", "left").groupBy("user_name", "role").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("visible"))
 
 
 def kb_policy(docs: DataFrame, access: DataFrame, role: str) -> DataFrame:

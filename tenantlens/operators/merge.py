@@ -10,9 +10,13 @@ from tenantlens.operators.latest import top_per
 
 
 def dedupe(source: DataFrame, keys: list[str], order_by: tuple[str, ...]) -> DataFrame:
-    """Last row per key; rows with a NULL key cannot match and are rejected."""
+    """Last row per key; rows with a NULL key cannot match and are rejected.
+
+    A hash of the row breaks ties, so equal load times still give one answer.
+    """
     known = source.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return top_per(known, keys, [F.col(c).desc_nulls_last() for c in order_by])
+    order = [F.col(c).desc_nulls_last() for c in order_by] + [F.xxhash64(*source.columns).asc()]
+    return top_per(known, keys, order)
 
 
 def rejected(source: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.columns import ago, dec, mapped, nz
 from tenantlens.operators.latest import top_per
-from tenantlens.operators.merge import merge_upsert
+from tenantlens.operators.merge import dedupe, merge_upsert
 from tenantlens.settings import AS_OF
+from tenantlens.sources.sinks import materialize
 
 # Source vocabulary -> canonical vocabulary.
 TICKET_STATUS = {"new": "open", "open": "open", "pending": "open", "hold": "open", "solved": "resolved", "closed": "resolved"}
@@ -166,12 +167,15 @@ def project(envelope: DataFrame, feed: str, *, as_of=AS_OF) -> DataFrame:
 
 
 def merge_feed(target: DataFrame | None, envelope: DataFrame, feed: str, *, stamp: Column, as_of=AS_OF) -> DataFrame:
-    """Merge one load of a feed into its core table; ``None`` starts the table."""
+    """Merge one load of a feed into its core table; ``None`` starts the table.
+
+    The parsed, deduplicated load is staged once: the merge refers to it three
+    times and would otherwise parse the JSON as often.
+    """
     f = FEEDS[feed]
-    rows = project(envelope, feed, as_of=as_of)
+    rows = dedupe(project(envelope, feed, as_of=as_of), [f.key], ("loaded_at",))
     extra = {"status": F.lit("completed")} if f.key == "transaction_id" else {}
     always = {**extra, "updated_at": stamp}
     if target is None:
-        first = top_per(rows, [f.key], [F.col("loaded_at").desc()]).drop("loaded_at")
-        return first.withColumns(always)
-    return merge_upsert(target, rows, [f.key], list(f.updates), order_by=("loaded_at",), on_update=always, on_insert=always)
+        return rows.drop("loaded_at").withColumns(always)
+    return merge_upsert(target, materialize(rows), [f.key], list(f.updates), order_by=(), on_update=always, on_insert=always)

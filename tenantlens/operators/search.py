@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.text import words
 from tenantlens.operators.latest import top_per
+from tenantlens.sources.sinks import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,12 +53,12 @@ def search_by_group(vectors: DataFrame, queries: DataFrame, on: str, *, k: int =
 def lexical_search(docs: DataFrame, terms: list[str], *, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 top-k documents per tenant for a list of terms, over whole texts.
 
-    Term counts are row-local; corpus statistics are one row per tenant,
-    joined back on the tenant.
+    Term counts are row-local and staged as a narrow table, so the texts are
+    read once; corpus statistics are one row per tenant, joined back.
     """
     tokens = words("extracted_text")
     tf = {i: F.size(tokens) - F.size(F.array_remove(tokens, term)) for i, term in enumerate(terms)}
-    counted = docs.select("document_id", "org_id", F.size(tokens).alias("dl"), *[c.alias(f"tf{i}") for i, c in tf.items()])
+    counted = materialize(docs.select("document_id", "org_id", F.size(tokens).alias("dl"), *[c.alias(f"tf{i}") for i, c in tf.items()]))
     stats = counted.groupBy("org_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in tf])
     joined = counted.join(stats, "org_id")

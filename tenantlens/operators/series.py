@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tenantlens.functions.columns import bands, day, days_ago, days_between, dec, mean, nz
+from tenantlens.functions.columns import bands, day, days_ago, dec, nz
 from tenantlens.settings import AS_OF
 
 INTERVAL_90 = 1.645  # two-sided 90 % of a normal distribution
@@ -22,31 +22,47 @@ def forecast(history: DataFrame, keys: list[str], *, date: str = "revenue_date",
 
     Short series repeat the mean of the last seven days with a band of 20 %.
     Longer ones use a linear trend plus a weekday effect and a 90 % band from
-    the residual spread: plain aggregates joined by key, no per-group Python.
-    This replaces a hosted forecaster and does not reproduce its numbers.
+    the residual spread. This replaces a hosted forecaster and does not
+    reproduce its numbers.
+
+    Counts, means, variances and the covariance per weekday are all the model
+    needs, so the history is aggregated once: the trend, the weekday effects
+    and the residual spread follow from at most seven rows per series.
     """
     past = history.filter(F.col(date) <= day(as_of)).select(*keys, F.col(date).alias("d"), nz(value).alias("y"))
-    x = days_between(days_ago(as_of, 0), F.col("d")).cast("double")
-    points = past.withColumns({"x": x, "yd": F.col("y").cast("double"), "dow": F.dayofweek("d")})
-    fit = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope("yd", "x").alias("slope"), F.regr_intercept("yd", "x").alias("base"),
-        mean(F.when(F.col("d") >= days_ago(as_of, 7), F.col("y"))).cast("decimal(24,6)").alias("recent"))
-    residual = points.join(fit, keys).withColumn("r", F.col("yd") - (F.col("base") + F.col("slope") * F.col("x")))
-    weekday = residual.groupBy(*keys, "dow").agg(F.avg("r").alias("effect"))
-    spread = residual.join(weekday, [*keys, "dow"]).groupBy(*keys).agg(F.stddev_samp(F.col("r") - F.col("effect")).alias("sigma"))
+    x, y = F.datediff("d", day(as_of)).cast("double"), F.col("y").cast("double")
+    recent = F.col("d") >= days_ago(as_of, 7)
+    weekday = past.groupBy(*keys, F.dayofweek("d").alias("dow")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"),
+        F.covar_pop(x, y).alias("cxy"), F.sum(F.when(recent, F.col("y"))).alias("rs"), F.count_if(recent).alias("rn"))
+    rows = F.collect_list(F.struct("dow", "n", "mx", "my", "vx", "vy", "cxy"))
+    series = weekday.groupBy(*keys).agg(
+        rows.alias("w"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("mx"),
+        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("my"), (F.sum("rs") / F.sum("rn")).cast("decimal(24,6)").alias("recent"))
+
+    def total(term) -> Column:
+        return F.aggregate("w", F.lit(0.0), lambda acc, r: acc + r["n"] * term(r))
+
+    sxx = total(lambda r: r["vx"] + (r["mx"] - F.col("mx")) * (r["mx"] - F.col("mx")))
+    sxy = total(lambda r: r["cxy"] + (r["mx"] - F.col("mx")) * (r["my"] - F.col("my")))
+    fit = series.withColumns({"slope": F.when(sxx > 0, sxy / sxx).otherwise(F.lit(0.0))})
+    fit = fit.withColumn("base", F.col("my") - F.col("slope") * F.col("mx"))
+    slope = F.col("slope")
+    # Within a weekday the effect is the mean residual, so only centred sums remain.
+    rest = total(lambda r: r["vy"] - 2 * slope * r["cxy"] + slope * slope * r["vx"])
+    effects = F.map_from_entries(F.transform("w", lambda r: F.struct(r["dow"], r["my"] - F.col("base") - slope * r["mx"])))
+    fit = fit.withColumns({"sigma": F.when(F.col("n") > 1, F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 1))), "effects": effects})
     days = F.sequence(day(as_of + dt.timedelta(days=1)), day(as_of + dt.timedelta(days=horizon)))
-    future = fit.join(spread, keys, "left").withColumn("forecast_date", F.explode(days))
-    future = future.withColumns({"x": days_between(day(as_of), F.col("forecast_date")).cast("double"), "dow": F.dayofweek("forecast_date")})
-    j = future.join(weekday, [*keys, "dow"], "left")
-    short = F.col("n") < min_history
-    flat = nz("recent")
-    model = F.col("base") + F.col("slope") * F.col("x") + nz("effect", 0.0)
-    band = nz("sigma", 0.0) * INTERVAL_90
+    future = fit.select(*keys, "n", "recent", "slope", "base", "sigma", "effects", F.explode(days).alias("forecast_date"))
+    ahead = F.datediff("forecast_date", day(as_of)).cast("double")
+    effect = nz(F.try_element_at("effects", F.dayofweek("forecast_date")), 0.0)
+    short, flat, band = F.col("n") < min_history, nz("recent"), nz("sigma", 0.0) * INTERVAL_90
+    model = F.col("base") + slope * ahead + effect
 
     def pick(simple, modelled):
         return F.when(short, F.round(simple, 2).cast("double")).otherwise(F.round(modelled, 2))
 
-    return j.select(
+    return future.select(
         *keys, "forecast_date", pick(flat, model).alias("forecast_value"), pick(flat * dec(0.8, 4, 2), model - band).alias("lower_bound"),
         pick(flat * dec(1.2, 4, 2), model + band).alias("upper_bound"), F.when(short, "mean7").otherwise("trend_weekday").alias("method"))
 

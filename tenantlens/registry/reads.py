@@ -9,6 +9,7 @@ from tenantlens.registry.core import define, exact_avg, query
 from tenantlens.registry.marts import kpis, opportunities
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360, health
+from tenantlens.sources.sinks import materialize
 
 # -- home and executive ----------------------------------------------------------
 define("m_tied_scores", "SELECT * FROM b_churn_scores s WHERE scored_at = (SELECT max(scored_at) FROM b_churn_scores x WHERE x.customer_id = s.customer_id AND x.org_id = s.org_id)")
@@ -576,7 +577,7 @@ def _(t):
 # -- model and rules -------------------------------------------------------------------
 @query("m1_churn_model")
 def _(t):
-    features = p.churn_features(c360(t))
+    features = materialize(p.churn_features(c360(t)))
     return ch.score_churn(ch.fit_churn(features), features)
 
 

@@ -7,6 +7,7 @@ from tenantlens.plans import verticals as v
 from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360
+from tenantlens.sources.sinks import materialize
 from tenantlens.settings import AS_OF
 
 define("m_portfolio", f"""
@@ -21,7 +22,8 @@ LEFT JOIN (SELECT customer_id, max(date_diff('day', created_at, {T0})) AS days_p
 
 
 def portfolio(t):
-    return v.portfolio_risk(c360(t), t.tickets)
+    mart = materialize(c360(t).select("customer_id", "org_id", "segment", "arr", "health_score", "churn_risk_level"))
+    return v.portfolio_risk(mart, t.tickets)
 
 
 @query("e40_portfolio_risk", "SELECT * FROM m_portfolio", nums="exposure_usd credit_score")

@@ -27,8 +27,13 @@ _RUNTIME = {
     # compare without a cast and are pushed into the scan.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streaming state on local disk instead of the executor heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the jobs rely on."""
@@ -53,3 +58,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int, *, minimum: int = 200) -> int:
+    """Shuffle partitions for a job that reads ``input_bytes``.
+
+    Adaptive execution merges small partitions but never splits an ordinary
+    large one, so the starting number has to fit the data: about one partition
+    per 256 MB, i.e. some 400,000 for 100 TB before column pruning.
+    """
+    wanted = max(minimum, -(-input_bytes // TARGET_PARTITION_BYTES))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TARGET_PARTITION_BYTES))
+    return wanted

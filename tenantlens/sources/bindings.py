@@ -56,22 +56,27 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # -- tenancy ---------------------------------------------------------
-    @cached_property
-    def tenants(self) -> DataFrame:
-        """(custkey, customer_id, org_id): the narrow side of every tenant lookup."""
+    def _with_tenant(self, df: DataFrame, key: str) -> DataFrame:
+        """Add customer_id and org_id by customer key.
+
+        Customers are joined first, on two narrow columns, and the 25-row
+        nation table last: the size estimate of each build side stays that of
+        the table itself, so a small one is broadcast and a large one is not.
+        """
+        customer = self.raw("customer").select("c_custkey", "c_nationkey")
         nation = self.raw("nation").select("n_nationkey", "n_regionkey")
         return (
-            self.raw("customer").select("c_custkey", "c_nationkey")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.col("c_custkey").alias("custkey"),
-                F.concat(F.lit("CUST-"), F.col("c_custkey")).alias("customer_id"),
-                F.concat(F.lit("ORG-"), F.col("n_regionkey")).alias("org_id"),
-            )
-        )
+            df.join(customer, F.col(key) == F.col("c_custkey")) if "c_custkey" not in df.columns else df
+        ).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumns({
+            "customer_id": F.concat(F.lit("CUST-"), F.col("c_custkey")),
+            "org_id": F.concat(F.lit("ORG-"), F.col("n_regionkey")),
+        })
 
-    def _with_tenant(self, df: DataFrame, key: str) -> DataFrame:
-        return df.join(self.tenants, F.col(key) == F.col("custkey")).drop("custkey")
+    @cached_property
+    def _tenant_orders(self) -> DataFrame:
+        """Orders with their tenant: resolved before lines are joined, so lines move once."""
+        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        return self._with_tenant(orders, "o_custkey").select("o_orderkey", "o_orderstatus", "o_orderpriority", "customer_id", "org_id")
 
     @cached_property
     def user_org_map(self) -> DataFrame:
@@ -173,9 +178,7 @@ class Tables:
     @cached_property
     def _lines(self) -> DataFrame:
         """Order lines with the columns any line-level entity derives from."""
-        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-        joined = self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        return self._with_tenant(joined, "o_custkey")
+        return self.raw("lineitem").join(self._tenant_orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -191,7 +194,6 @@ class Tables:
 
     @cached_property
     def tickets(self) -> DataFrame:
-        orders = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
         # Filter on the raw column so the predicate reaches the Parquet scan.
         lines = self.raw("lineitem").filter(
             (F.col("l_returnflag") == "R") & (F.col("l_shipdate") < ago(self.as_of, days=SHIFT_DAYS - 1))
@@ -199,9 +201,7 @@ class Tables:
         score = dec(F.lit(20) * dec("l_discount", 4, 2) - 1, 4, 3)
         status = mapped(F.col("o_orderstatus"), {"F": "resolved", "O": "open"}, "pending")
         created = shifted_ts("l_shipdate")
-        return self._with_tenant(
-            lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey"
-        ).select(
+        return lines.join(self._tenant_orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             line_id().alias("ticket_id"), "org_id", "customer_id",
             F.concat(F.lit("Order "), F.col("l_orderkey")).alias("subject"),
             status.alias("status"),

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenantlens.operators.merge import dedupe, merge_upsert
 
+from tenantlens.settings import checkpoint_root
+
 BUCKET = "_bucket"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that several branches of a plan use: column pruning makes the
+    branches differ, so Spark would compute each of them from the sources.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     """Overwrite a table.
 
@@ -50,9 +65,10 @@ def merge_into(spark: SparkSession, path: str, batch: DataFrame, keys: list[str]
 
     Only the buckets the batch touches are read and rewritten. The bucket
     numbers are the one thing collected; there are at most ``buckets`` of
-    them. Rerunning a batch after a failure gives the same table.
+    them. The deduplicated batch is staged once because the merge refers to
+    it three times. Rerunning a batch after a failure gives the same table.
     """
-    source = with_bucket(dedupe(batch, keys, order_by), keys, buckets)
+    source = materialize(with_bucket(dedupe(batch, keys, order_by), keys, buckets))
     touched = [r[0] for r in source.select(BUCKET).distinct().collect()]
     if not touched:
         return
