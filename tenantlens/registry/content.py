@@ -133,12 +133,41 @@ def _(t):
     return window_chunks(t)
 
 
-@query("m9_boundary_chunks")
+_SEPS = [("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'. '", 2), ("' '", 1)]
+_CUT = " ".join(
+    f"WHEN contains(s, {sep}) AND 800 - (position(reverse({sep}) IN reverse(s)) - 1) - {n} > 400 THEN pos + 800 - (position(reverse({sep}) IN reverse(s)) - 1)" for sep, n in _SEPS)
+
+
+@query("m9_boundary_chunks", rf"""
+WITH RECURSIVE walk AS (
+  SELECT document_id, org_id, document_name, document_type, extracted_text AS t, 0 AS pos, 0 AS stop FROM b_documents
+  UNION ALL SELECT document_id, org_id, document_name, document_type, t, CASE WHEN e >= length(t) THEN length(t) ELSE greatest(e - 100, pos + 1) END, e
+  FROM (SELECT *, CASE WHEN pos + 800 >= length(t) THEN length(t) {_CUT} ELSE pos + 800 END AS e FROM (SELECT *, substring(t, pos + 1, 800) AS s FROM walk WHERE pos < length(t)))),
+cuts AS (SELECT *, lag(pos) OVER (PARTITION BY document_id ORDER BY pos) AS start FROM walk),
+pieces AS (SELECT *, regexp_replace(substring(t, start + 1, stop - start), '^\s+|\s+$', '', 'g') AS chunk_text FROM cuts WHERE start IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY start) - 1 AS chunk_index FROM pieces WHERE chunk_text <> '')
+SELECT md5(document_id || '::' || chunk_index) AS chunk_id, document_id, org_id, document_name, document_type, chunk_index, chunk_text, length(chunk_text) AS char_count FROM numbered""")
 def _(t):
     return doc.chunk(t.documents, method="boundary", size=800, overlap=100)
 
 
-@query("m10_packed_chunks")
+_NN = "chr(10) || chr(10)"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+# Sentences of a paragraph, cut at the limit, folded into groups: the last list entry is the open one.
+_PIECES = r"flatten(list_transform(string_split(regexp_replace(x[1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda z: regexp_extract_all(z, '(?s).{1,1500}')))"
+_GROUPS = f"""list_reduce(list_transform({_PIECES}, lambda z: [z]), lambda g, y: CASE WHEN length(g[-1]) + length(y[1]) + 1 <= 1500
+  THEN list_concat(g[:-2], [g[-1] || ' ' || y[1]]) ELSE list_concat(g, y) END)"""
+_PARTS = r"list_filter(list_transform(regexp_split_to_array(t, '\n{2,}'), lambda z: " + _STRIP.format("z") + "), lambda z: z <> '')"
+
+
+@query("m10_packed_chunks", f"""
+SELECT md5(doc_id || '::' || (i - 1)) AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS chunk_index, c AS chunk_text, length(c) AS char_count
+FROM (SELECT doc_id, unnest(list_filter(l, lambda z: z <> '')) AS c, generate_subscripts(list_filter(l, lambda z: z <> ''), 1) AS i FROM (
+  SELECT doc_id, CASE WHEN length(t) <= 1500 THEN [t] ELSE list_reduce(list_transform({_PARTS}, lambda z: [z]), lambda a, x:
+      CASE WHEN a[-1] <> '' AND length(a[-1]) + length(x[1]) + 2 > 1500 THEN list_concat(a, [{_STRIP.format(f"right(a[-1], 200) || {_NN} || x[1]")}])
+        WHEN a[-1] <> '' THEN list_concat(a[:-2], [a[-1] || {_NN} || x[1]]) WHEN length(x[1]) > 1500 THEN list_concat(a[:-2], {_GROUPS}, ['']) ELSE list_concat(a[:-2], x) END, ['']) END AS l
+  FROM (SELECT doc_id, {_STRIP.format("m")} AS t FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content,
+    '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '(?m)^#{{1,6}}\\s+', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g') AS m FROM m_kb))))""")
 def _(t):
     pages = doc.kb_documents(t.pages)
     docs = pages.select(F.col("doc_id").cast("string").alias("document_id"), tx.strip_markdown("content").alias("extracted_text"))

@@ -54,6 +54,8 @@ def _with_ctes(body: str) -> str:
         return body
     parts = ", ".join(f"{n} AS ({CTES[n].strip()})" for n in order)
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     return f"WITH {parts}, {body[5:]}" if body.startswith("WITH ") else f"WITH {parts} {body}"
 
 

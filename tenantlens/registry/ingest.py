@@ -192,7 +192,7 @@ def first_load():
 def merged_feed(t, feed):
     """First load creates the table; the second is read as changes since then and merged."""
     env = en.envelopes(t, feed)
-    base = no.merge_feed(None, env.filter(F.col("loaded_at") <= first_load()), feed, stamp=first_load())
+    base = sinks.materialize(no.merge_feed(None, env.filter(F.col("loaded_at") <= first_load()), feed, stamp=first_load()))
     return no.merge_feed(base, mg.changes_since(env, first_load()), feed, stamp=ts(AS_OF))
 
 

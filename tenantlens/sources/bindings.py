@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenantlens.functions.columns import ago, day, days_ago, dec, mapped, risk_level, sentiment_label, ts
+from tenantlens.schemas import SOURCES
 from tenantlens.settings import AS_OF, SHIFT_DAYS, configure
 
 _PRIORITY = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium"}
@@ -51,9 +52,12 @@ class Tables:
         self.spark = configure(spark)
         self.dir = sf_dir
         self.as_of = as_of
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.schema(SOURCES[name]).parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- tenancy ---------------------------------------------------------
     def _with_tenant(self, df: DataFrame, key: str) -> DataFrame:

@@ -66,7 +66,8 @@ def session():
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master("local[8]").appName("compare")
             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-            .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+            .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
 
 
 if __name__ == "__main__":
