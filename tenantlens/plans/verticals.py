@@ -111,11 +111,11 @@ def oee(equipment: DataFrame, *, as_of=AS_OF) -> DataFrame:
     scrap = F.coalesce(dec("good_units", 18, 4) / F.nullif(dec("total_units", 18, 4), dec(0, 18, 4)), F.lit(1)) < 0.95
     tenth = lambda cond, w: F.when(cond, w).otherwise(0)  # noqa: E731  integer tenths stay exact
     risk = tenth(F.col("mtbf_hours") < 100, 4) + tenth(scrap, 3) + tenth(due < day(as_of), 4)
-    product = avail.cast("double") * perf.cast("double") * qual.cast("double") / 10000
+    product = avail.cast("decimal(12,6)") * perf.cast("decimal(12,6)") * qual.cast("decimal(12,6)") / 10000
     return equipment.filter("is_active").select(
         "org_id", "equipment_id", "plant_id", day(as_of).alias("measurement_date"),
         avail.alias("availability_pct"), perf.alias("performance_pct"), qual.alias("quality_pct"),
-        F.round(product, 2).alias("oee_score"), "mtbf_hours", "mttr_hours", due.alias("maintenance_due"),
+        F.round(product, 2).cast("decimal(10,2)").alias("oee_score"), "mtbf_hours", "mttr_hours", due.alias("maintenance_due"),
         F.least(dec(risk, 4, 0) / 10, dec(0.99, 4, 2)).cast("decimal(5,4)").alias("failure_risk_score"))
 
 

@@ -88,9 +88,10 @@ def define(name: str, sql: str) -> None:
 
 
 def exact_avg(column: str, places: int, scale: int = 2) -> str:
-    """SQL for an average of a decimal rounded half away from zero, in integers.
+    """SQL for the average of a decimal, rounded half away from zero in integers.
 
     A floating average can fall just below a tie that decimal arithmetic hits.
     """
-    units = f"(CAST(abs(sum({column})) * {10 ** scale} AS HUGEINT) * {10 ** max(places - scale, 0)})"
-    return f"(sign(sum({column})) * (({units} * 2 + count({column})) // (2 * count({column}))) / {10 ** places})"
+    up, down = 10 ** max(places - scale, 0), 10 ** max(scale - places, 0)
+    units = f"CAST(abs(sum({column})) * {10 ** scale} AS HUGEINT) * {up}"
+    return f"(sign(sum({column})) * (({units} * 2 + {down} * count({column})) // (2 * {down} * count({column}))) / {10 ** places})"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tenantlens.functions.columns import ago
 from tenantlens.plans import verticals as v
-from tenantlens.registry.core import define, query
+from tenantlens.registry.core import define, exact_avg, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360
 from tenantlens.sources.sinks import materialize
@@ -31,9 +31,9 @@ def _(t):
     return portfolio(t)
 
 
-@query("e41_portfolio_rollup", """
+@query("e41_portfolio_rollup", f"""
 SELECT org_id, segment, risk_category, count(*) AS customer_count, sum(exposure_usd) AS total_exposure_usd,
-  round(avg(credit_score), 0) AS avg_credit_score, round(avg(concentration_pct::DECIMAL(7,2)), 2) AS avg_concentration_pct,
+  round(avg(credit_score), 0) AS avg_credit_score, {exact_avg('CAST(concentration_pct AS DECIMAL(7,2))', 2)} AS avg_concentration_pct,
   count(*) FILTER (aml_alert) AS aml_alerts, count(*) FILTER (days_past_due > 30) AS overdue_30d
 FROM m_portfolio GROUP BY 1, 2, 3""", nums="total_exposure_usd")
 def _(t):
@@ -83,9 +83,9 @@ def _(t):
 
 
 @query("e45_property_revpar", f"""
-SELECT org_id, property_id, round(avg(occupancy_rate), 1) AS avg_occupancy_pct, round(avg(adr_usd), 2) AS avg_adr_usd,
-  round(avg(revpar_usd), 2) AS avg_revpar_usd, round(avg(trevpar_usd), 2) AS avg_trevpar_usd, round(avg(cancellation_rate), 1) AS avg_cancellation_pct,
-  round(avg(avg_los_nights), 1) AS avg_los_nights, sum(ancillary_revenue) AS total_ancillary_revenue, max(performance_date) AS last_updated
+SELECT org_id, property_id, {exact_avg('occupancy_rate', 1)} AS avg_occupancy_pct, {exact_avg('adr_usd', 2)} AS avg_adr_usd,
+  {exact_avg('revpar_usd', 2)} AS avg_revpar_usd, {exact_avg('trevpar_usd', 2)} AS avg_trevpar_usd, {exact_avg('cancellation_rate', 1)} AS avg_cancellation_pct,
+  {exact_avg('avg_los_nights', 1)} AS avg_los_nights, sum(ancillary_revenue) AS total_ancillary_revenue, max(performance_date) AS last_updated
 FROM b_property_performance WHERE performance_date >= {D0} - 30 GROUP BY 1, 2""", dates="last_updated", nums="total_ancillary_revenue")
 def _(t):
     return v.property_revpar(t.property_performance)
@@ -101,7 +101,7 @@ def _(t):
 
 define("m_oee", f"""
 SELECT org_id, equipment_id, plant_id, {D0} AS measurement_date, a AS availability_pct, f AS performance_pct, q AS quality_pct,
-  round(a::DOUBLE * f::DOUBLE * q::DOUBLE / 10000, 2) AS oee_score, mtbf_hours, mttr_hours, due AS maintenance_due,
+  CAST(round(a::DECIMAL(12,6) * f::DECIMAL(12,6) * q::DECIMAL(12,6), -2) AS DECIMAL(18,2)) / 10000 AS oee_score, mtbf_hours, mttr_hours, due AS maintenance_due,
   least(0.99, (CASE WHEN mtbf_hours < 100 THEN 4 ELSE 0 END + CASE WHEN coalesce(good_units / nullif(total_units, 0), 1) < 0.95 THEN 3 ELSE 0 END
     + CASE WHEN due < {D0} THEN 4 ELSE 0 END) * 0.1) AS failure_risk_score
 FROM (SELECT *, CAST(coalesce(uptime_hours * 100 / nullif(planned_hours, 0), 95) AS DECIMAL(18,6)) AS a,
