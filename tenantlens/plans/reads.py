@@ -1,6 +1,6 @@
 """Dashboard, API and catalogue reads, for every tenant in one plan.
 
-The reference runs these for one tenant at a time. Here top-k lists are
+Dashboards ask for one tenant at a time. Here top-k lists are
 ranked per tenant (or per customer) with a group limit ahead of the exchange,
 and lists without a limit are left unsorted; sort when displaying.
 """
