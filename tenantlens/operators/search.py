@@ -54,13 +54,14 @@ def lexical_search(docs: DataFrame, terms: list[str], *, k: int = 5, k1: float =
     """BM25 top-k documents per tenant for a list of terms, over whole texts.
 
     Term counts are row-local and staged as a narrow table, so the texts are
-    read once; corpus statistics are one row per tenant, joined back.
+    read once. Corpus statistics are one row per tenant, written before the
+    join so that its size is known and the documents stay where they are.
     """
     tokens = words("extracted_text")
     tf = {i: F.size(tokens) - F.size(F.array_remove(tokens, term)) for i, term in enumerate(terms)}
     counted = materialize(docs.select("document_id", "org_id", F.size(tokens).alias("dl"), *[c.alias(f"tf{i}") for i, c in tf.items()]))
-    stats = counted.groupBy("org_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in tf])
+    stats = materialize(counted.groupBy("org_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in tf]))
     joined = counted.join(stats, "org_id")
     score = F.lit(0.0)
     for i in tf:

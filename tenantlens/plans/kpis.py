@@ -17,17 +17,16 @@ def _pending(recommendations: DataFrame) -> DataFrame:
     return recommendations.filter((F.col("status") == "pending") & F.col("is_active"))
 
 
-def executive_kpis(c360: DataFrame, churn_scores: DataFrame, tickets: DataFrame, recommendations: DataFrame, *, as_of=AS_OF) -> DataFrame:
+def executive_kpis(c360: DataFrame, tickets: DataFrame, recommendations: DataFrame, *, as_of=AS_OF) -> DataFrame:
     """Daily KPI row per tenant from the weighted customer 360.
 
-    Tickets and recommendations are summed per tenant first and joined to the
-    finished aggregate, so they cannot multiply customer rows.
+    The profile already carries the latest score, so scores are not joined
+    again. Tickets and recommendations are summed per tenant first and joined
+    to the finished aggregate, so they cannot multiply customer rows.
     """
-    keys = ["customer_id", "org_id"]
-    score = latest_scores(churn_scores).select(*keys, "risk_level", F.col("expected_revenue_at_risk").alias("score_revenue"))
     live = F.col("lifecycle_stage") != "churned"
     soon = F.col("lifecycle_stage").isin("active", "at_risk") & (F.col("nearest_renewal_date") <= day(as_of + dt.timedelta(days=90)))
-    base = c360.join(score, keys, "left").groupBy("org_id").agg(
+    base = c360.groupBy("org_id").agg(
         sum_if(live, F.col("arr")).alias("total_arr"), sum_if(live, F.col("mrr")).alias("total_mrr"),
         F.count_if(F.col("lifecycle_stage") == "active").alias("active_customers"),
         F.count_if(F.col("lifecycle_stage") == "at_risk").alias("at_risk_customers"),
@@ -35,7 +34,7 @@ def executive_kpis(c360: DataFrame, churn_scores: DataFrame, tickets: DataFrame,
         F.count(F.lit(1)).alias("total_customers"),
         F.round(mean_if(live, "health_score"), 1).alias("avg_health_score"),
         F.round(mean_if(live, "nps_score"), 1).alias("avg_nps"),
-        sum_if(F.col("risk_level").isin(*AT_RISK), nz("score_revenue")).alias("arr_at_risk"),
+        sum_if(F.col("churn_risk_level").isin(*AT_RISK), nz("expected_revenue_at_risk")).alias("arr_at_risk"),
         sum_if(soon, F.col("arr")).alias("renewals_90d_arr"),
     )
     is_open = F.col("status") == "open"

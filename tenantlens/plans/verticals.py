@@ -11,6 +11,7 @@ from tenantlens.functions.columns import (
 )
 from tenantlens.operators.latest import top_per
 from tenantlens.settings import AS_OF
+from tenantlens.sources.sinks import materialize
 
 CO = ["customer_id", "org_id"]
 SKU = ["org_id", "sku_id", "location_id"]
@@ -20,11 +21,13 @@ SKU = ["org_id", "sku_id", "location_id"]
 def portfolio_risk(c360: DataFrame, tickets: DataFrame, *, as_of=AS_OF) -> DataFrame:
     """Exposure, concentration, credit score and risk class per customer.
 
-    The tenant total is one row per tenant, joined back, not a window:
-    a window over the tenant would pull all its customers into one task.
+    The tenant total is one row per tenant, joined back, not a window: a
+    window over the tenant would pull all its customers into one task. It is
+    written first, so that Spark knows its size when it plans the join and
+    does not exchange the customers by tenant.
     """
     risk, health, arr = F.col("churn_risk_level"), F.col("health_score"), F.col("arr")
-    total = c360.groupBy("org_id").agg(F.sum("arr").alias("org_arr"))
+    total = materialize(c360.groupBy("org_id").agg(F.sum("arr").alias("org_arr")))
     overdue = tickets.filter((F.col("category") == "billing") & (F.col("status") == "open")).groupBy(*CO).agg(
         F.max(days_between(F.col("created_at"), ts(as_of))).alias("days_past_due"))
     category = (

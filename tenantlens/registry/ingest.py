@@ -218,6 +218,36 @@ for feed, prefix, kind, currency in (("sap_invoices", "SAP-", "invoice", True),
           dates="transaction_date", times="updated_at", nums="amount")(lambda t, feed=feed: merged_feed(t, feed))
 
 
+@query("b14_cdc_projection", f"""
+SELECT 'HS-' || o_orderkey AS transaction_id, org_id, CAST(o_totalprice AS DECIMAL(18,2)) + v AS amount, CAST(o_orderdate AS DATE) + 8218 AS transaction_date,
+  'HS-' || o_custkey AS customer_id, 'deal' AS transaction_type, {T0} - to_hours(CASE v WHEN 0 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS loaded_at
+FROM m_order_versions WHERE v <> 3""", dates="transaction_date", times="loaded_at", nums="amount")
+def _(t):
+    return no.project(en.envelopes(t, "hubspot_deals"), "hubspot_deals")
+
+
+@query("k6_empty_stream_is_skipped", "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM b_health_score_events")
+def _(t):
+    """The second run on the same checkpoint finds no new file and adds nothing."""
+    src, out = event_files(t, t.health_score_events, repeats=False), scratch(t)
+    for _run in range(2):
+        jobs.run(jobs.start_landing(la.read_event_stream(t.spark, src, sc.HEALTH_SCORE_EVENT), f"{out}/data", f"{out}/ck"))
+    return t.spark.read.parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("l6_backfill_late_days", f"""
+SELECT org_id, CAST(request_ts AS DATE) AS usage_date, model_name, count(*) AS api_calls FROM b_api_usage_events GROUP BY 1, 2, 3""", dates="usage_date")
+def _(t):
+    """Days before the window keep the streamed figures; the last week is recomputed with the late events."""
+    import datetime as dt
+    since = F.lit((AS_OF - dt.timedelta(days=7)).date())
+    keys = ["org_id", F.to_date("request_ts").alias("usage_date"), "model_name"]
+    late = (F.col("request_ts") >= ago(AS_OF, days=7)) & F.col("event_id").endswith("3")
+    on_time = t.api_usage_events.filter(~late).groupBy(*keys).agg(F.count(F.lit(1)).alias("api_calls"))
+    everything = t.api_usage_events.filter(F.col("request_ts") >= ago(AS_OF, days=7)).groupBy(*keys).agg(F.count(F.lit(1)).alias("api_calls"))
+    return mg.replace_window(on_time, everything, "usage_date", since)
+
+
 @query("k1_changes_since", f"SELECT org_id, count(*) AS n FROM m_customer_versions WHERE v > 0 GROUP BY org_id")
 def _(t):
     return mg.changes_since(en.envelopes(t, "sap_customers"), first_load()).groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))

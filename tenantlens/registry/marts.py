@@ -32,7 +32,7 @@ FROM base LEFT JOIN t USING (org_id) LEFT JOIN r USING (org_id)""")
 
 
 def kpis(t):
-    return k.executive_kpis(c360(t), t.churn_scores, t.tickets, t.recommendations)
+    return k.executive_kpis(c360(t), t.tickets, t.recommendations)
 
 
 @query("e9_executive_kpis", "SELECT * FROM m_kpis", dates="snapshot_date",

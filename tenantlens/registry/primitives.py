@@ -10,6 +10,7 @@ from tenantlens.plans import profile as p, verticals as v
 from tenantlens.registry.core import query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.settings import AS_OF
+from tenantlens.sources.sinks import materialize
 
 CO = ["customer_id", "org_id"]
 
@@ -165,7 +166,7 @@ def _(t):
 @query("f2_share_of_total", """
 SELECT customer_id, round(arr::DOUBLE * 100 / nullif(org_arr, 0)::DOUBLE, 4) AS pct_of_tenant FROM (SELECT customer_id, arr, sum(arr) OVER (PARTITION BY org_id) AS org_arr FROM b_customers)""")
 def _(t):
-    total = t.customers.groupBy("org_id").agg(F.sum("arr").alias("org_arr"))
+    total = materialize(t.customers.groupBy("org_id").agg(F.sum("arr").alias("org_arr")))
     share = F.col("arr").cast("double") * 100 / F.nullif(F.col("org_arr").cast("double"), F.lit(0.0))
     return t.customers.join(total, "org_id").select("customer_id", F.round(share, 4).alias("pct_of_tenant"))
 
