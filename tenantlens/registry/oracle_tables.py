@@ -58,7 +58,7 @@ SELECT 'CTR-' || o_orderkey AS contract_id, org_id, customer_id, 'Contract ' ||
   CAST(o_totalprice AS DECIMAL(18,2)) AS contract_value, CAST(o_orderdate AS DATE) + 8218 AS start_date,
   {D0} - 120 + CAST((o_orderkey * 7) % 700 AS INT) AS end_date, o_orderkey % 2 = 0 AS auto_renewal,
   CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'O' THEN 'active' ELSE 'pending' END AS status
-FROM orders JOIN b_tenants ON o_custkey = custkey WHERE o_orderkey % 10 = 0"""
+FROM orders JOIN b_tenants ON o_custkey = custkey"""
 
 CTES["b_opportunities"] = f"""
 SELECT 'OPP-' || o_orderkey AS opportunity_id, org_id, customer_id, ' Deal ' || o_orderkey AS opportunity_name,
@@ -69,7 +69,7 @@ SELECT 'OPP-' || o_orderkey AS opportunity_id, org_id, customer_id, ' Deal ' ||
   CASE WHEN o_orderkey % 13 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.2 AS DECIMAL(18,2)) END AS amount_usd,
   CAST((o_orderkey * 17) % 101 AS INT) AS probability_pct,
   {D0} - 30 + CAST(o_orderkey % 120 AS INT) AS close_date
-FROM orders JOIN b_tenants ON o_custkey = custkey WHERE o_orderkey % 4 = 0"""
+FROM orders JOIN b_tenants ON o_custkey = custkey"""
 
 _LINE_ID = """md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|' ||
      CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || '|' || strftime(l_shipdate, '%Y-%m-%d'))"""
@@ -157,7 +157,7 @@ SELECT 'REC-' || c_custkey AS recommendation_id, c.org_id, c.customer_id AS enti
   c_custkey % 6 NOT IN (4, 5) AS is_active,
   {T0} - to_days(CAST(c_custkey % 20 AS INT)) AS created_at,
   {T0} - to_days(CAST(c_custkey % 20 AS INT)) + INTERVAL 30 DAYS AS expires_at
-FROM b_customers c JOIN customer ON customer_id = 'CUST-' || c_custkey WHERE c_custkey % 3 = 0"""
+FROM b_customers c JOIN customer ON customer_id = 'CUST-' || c_custkey"""
 
 CTES["b_interactions"] = f"""
 SELECT conv_id || '-' || turn AS interaction_id, org_id, customer_id,
@@ -232,13 +232,13 @@ SELECT 'APR-' || o_orderkey AS approval_id, org_id,
   customer_id AS target_entity_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level,
   {T0} - INTERVAL 4 DAYS + to_hours(o_orderkey % 96) AS created_at
-FROM orders JOIN b_tenants ON o_custkey = custkey WHERE o_orderkey % 50 = 0"""
+FROM orders JOIN b_tenants ON o_custkey = custkey"""
 
 CTES["b_approval_events"] = f"""
-SELECT 'APR-' || o_orderkey AS approval_id, CASE WHEN (o_orderkey % 3 + v) % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
+SELECT 'APR-' || o_orderkey AS approval_id, CASE WHEN o_orderkey % 3 = 2 THEN 'comment' WHEN (o_orderkey % 3 + v) % 2 = 0 THEN 'approve' ELSE 'reject' END AS action,
   'mgr-' || (o_orderkey % 5) AS actor, 'reason ' || v AS reason,
   {T0} - INTERVAL 4 DAYS + to_hours(o_orderkey % 96) + to_hours((o_orderkey * 7) % 60 + v * 5) AS ev_at
-FROM orders, (VALUES (0), (1)) AS versions(v) WHERE o_orderkey % 50 = 0 AND o_orderkey % 3 <> 2"""
+FROM orders, (VALUES (0), (1)) AS versions(v)"""
 
 CTES["b_model_log"] = """
 SELECT 'model-' || m AS model_name, '1.' || (day(run_date) % 2) AS model_version, run_date, metric_name, metric_value,
@@ -261,11 +261,11 @@ SELECT 'TXT-' || o_orderkey AS document_id, org_id, CASE k % 3 WHEN 0 THEN 'cont
     || ' This contract is governed by the laws of ' || region || '.'
     || CASE WHEN k % 5 = 0 THEN ' Uptime of 99.5% with a response target and a resolution target; availability is reported.' ELSE '' END
     || CASE WHEN k % 11 = 0 THEN ' The vendor accepts unlimited liability.' ELSE '' END END AS extracted_text
-FROM (SELECT *, o_orderkey // 10 AS k, CAST(o_orderdate AS DATE) + 8218 AS d FROM orders WHERE o_orderkey % 10 = 0)
+FROM (SELECT *, o_orderkey AS k, CAST(o_orderdate AS DATE) + 8218 AS d FROM orders)
 JOIN b_tenants ON o_custkey = custkey JOIN b_customers USING (customer_id, org_id)"""
 
 CTES["b_status_events"] = """
-SELECT event_id, 'REC-' || (user_id * 3) AS recommendation_id,
+SELECT event_id, 'REC-' || user_id AS recommendation_id,
   CASE event_type WHEN 'click' THEN 'in_progress' WHEN 'view' THEN 'snoozed' WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'dismissed' ELSE 'archived' END AS new_status,
   'user-' || (event_id % 9) AS acted_by, ts AS ev_at FROM events"""
 

@@ -154,7 +154,7 @@ class Tables:
     @cached_property
     def contracts(self) -> DataFrame:
         k = F.col("o_orderkey")
-        return self._with_tenant(self.raw("orders").filter(k % 10 == 0), "o_custkey").select(
+        return self._with_tenant(self.raw("orders"), "o_custkey").select(
             F.concat(F.lit("CTR-"), k).alias("contract_id"), "org_id", "customer_id",
             F.concat(F.lit("Contract "), k).alias("contract_name"),
             dec("o_totalprice").alias("contract_value"),
@@ -170,7 +170,7 @@ class Tables:
         stages = ["prospecting", "qualification", "proposal", "negotiation", "closed_won", "closed_lost"]
         stage = mapped(k % 6, dict(enumerate(stages)))
         kind = mapped(k % 5, dict(enumerate(["new_business", "expansion", "renewal", "upsell", "cross_sell"])))
-        return self._with_tenant(self.raw("orders").filter(k % 4 == 0), "o_custkey").select(
+        return self._with_tenant(self.raw("orders"), "o_custkey").select(
             F.concat(F.lit("OPP-"), k).alias("opportunity_id"), "org_id", "customer_id",
             F.concat(F.lit(" Deal "), k).alias("opportunity_name"),
             kind.alias("opportunity_type"), stage.alias("stage"),
@@ -304,7 +304,7 @@ class Tables:
         base = self.customers.select(
             "customer_id", "org_id", "arr",
             F.substring("customer_id", 6, 20).cast("long").alias("k"),
-        ).filter(k % 19 != 0)
+        ).filter(k % 19 != 0)  # some customers have never been scored
         p = dec(((k * 7919 + v * 13) % 1000) / F.lit(1000), 5, 4)
         rows = base.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
         return rows.select(
@@ -326,7 +326,7 @@ class Tables:
         base = self.customers.select(
             "customer_id", "org_id", "arr",
             F.substring("customer_id", 6, 20).cast("long").alias("k"),
-        ).filter(k % 3 == 0)
+        )
         created = ts(self.as_of) - span(k % 20)
         return base.select(
             F.concat(F.lit("REC-"), k).alias("recommendation_id"), "org_id",
@@ -387,10 +387,9 @@ class Tables:
         Some texts lack a clause, carry an impossible date, or have no
         readable wording at all.
         """
-        k = F.col("o_orderkey") / 10
-        k = k.cast("long")
+        k = F.col("o_orderkey")
         names = self.customers.select("customer_id", F.col("name").alias("customer_name"), "region")
-        rows = self._with_tenant(self.raw("orders").filter(F.col("o_orderkey") % 10 == 0), "o_custkey").join(names, "customer_id")
+        rows = self._with_tenant(self.raw("orders"), "o_custkey").join(names, "customer_id")
         start = F.date_format(shifted("o_orderdate"), "yyyy-MM-dd")
         end = F.when(k % 6 == 0, "2024-13-45").otherwise(F.date_format(F.date_add(shifted("o_orderdate"), 730), "yyyy-MM-dd"))
         currency = F.when(k % 3 == 0, "EUR").otherwise("USD")
@@ -519,7 +518,7 @@ class Tables:
     @cached_property
     def approvals(self) -> DataFrame:
         k = F.col("o_orderkey")
-        rows = self._with_tenant(self.raw("orders").filter(k % 50 == 0), "o_custkey")
+        rows = self._with_tenant(self.raw("orders"), "o_custkey")
         created = ago(self.as_of, days=4) + span(F.lit(0), k % 96)
         return rows.select(
             F.concat(F.lit("APR-"), k).alias("approval_id"), "org_id",
@@ -533,11 +532,10 @@ class Tables:
     def approval_events(self) -> DataFrame:
         """Decisions, some of them late, repeated or contradicting."""
         k = F.col("o_orderkey")
-        rows = self.raw("orders").filter((k % 50 == 0) & (k % 3 != 2)).select(
-            k, F.explode(F.array(F.lit(0), F.lit(1))).alias("v")
-        )
+        rows = self.raw("orders").select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
         created = ago(self.as_of, days=4) + span(F.lit(0), k % 96)
-        flip = F.when((k % 3 + F.col("v")) % 2 == 0, "approve").otherwise("reject")
+        decision = F.when((k % 3 + F.col("v")) % 2 == 0, "approve").otherwise("reject")
+        flip = F.when(k % 3 == 2, "comment").otherwise(decision)
         return rows.select(
             F.concat(F.lit("APR-"), k).alias("approval_id"), flip.alias("action"),
             F.concat(F.lit("mgr-"), k % 5).alias("actor"),
@@ -567,7 +565,7 @@ class Tables:
         """Status changes requested for recommendations, some of them invalid or after the end."""
         wanted = {"click": "in_progress", "view": "snoozed", "purchase": "completed", "signup": "dismissed"}
         return self.raw("events").select(
-            F.col("event_id"), F.concat(F.lit("REC-"), F.col("user_id") * 3).alias("recommendation_id"),
+            F.col("event_id"), F.concat(F.lit("REC-"), F.col("user_id")).alias("recommendation_id"),
             mapped(F.col("event_type"), wanted, "archived").alias("new_status"),
             F.concat(F.lit("user-"), F.col("event_id") % 9).alias("acted_by"), F.col("ts").alias("at"),
         )
