@@ -208,7 +208,7 @@ FROM b_contract_texts""")
 
 @query("m13_contract_fields", f"""
 SELECT document_id, org_id, TRY_CAST(effective_date AS DATE) AS start_date, TRY_CAST(expiration_date AS DATE) AS end_date,
-  TRY_CAST(total_value AS DECIMAL(18,2)) AS contract_value, total_value_currency, renews AS auto_renewal, TRY_CAST(notice_days AS INT) AS notice_days,
+  TRY_CAST(total_value AS DECIMAL(18,2)) AS contract_value, total_value_currency, renews AS auto_renewal, TRY_CAST(notice_days AS BIGINT) AS notice_days,
   governing_law, party_a, party_b, payment_terms, TRY_CAST(uptime_pct AS DECIMAL(6,3)) AS sla_uptime_pct,
   concat_ws('|', CASE WHEN NOT found THEN 'Parsing failed - manual review required' END,
     CASE WHEN found AND TRY_CAST(expiration_date AS DATE) IS NULL THEN 'missing_expiration' END,

@@ -26,7 +26,7 @@ SELECT 'CUST-' || c_custkey AS customer_id, 'ORG-' || r_regionkey AS org_id, c_n
   r_name AS region, lower(c_mktsegment) AS industry,
   CASE WHEN c_custkey % 10 = 0 THEN 'churned' WHEN c_custkey % 10 IN (1, 2) THEN 'at_risk'
        WHEN c_custkey % 10 = 3 THEN 'onboarding' ELSE 'active' END AS lifecycle_stage,
-  CASE WHEN c_custkey % 11 <> 0 THEN CAST((c_custkey * 37) % 201 - 100 AS INT) END AS nps_score,
+  CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey * 37) % 201 - 100 END AS nps_score,
   CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS mrr,
   CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) * 12 AS DECIMAL(18,2)) AS arr,
   {D0} - 60 + CAST((c_custkey * 13) % 400 AS INT) - 365 AS contract_start_date,
@@ -44,7 +44,7 @@ SELECT 'SUB-' || o_orderkey AS subscription_id, org_id, customer_id, 'PROD-' ||
      WHEN '3-MEDIUM' THEN 'standard' END AS plan_tier,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'deleted'
      WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderstatus = 'F' THEN 'cancelled' ELSE 'paused' END AS status,
-  CAST(1 + o_orderkey % 50 AS INT) AS seats,
+  1 + o_orderkey % 50 AS seats,
   CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2)) AS mrr,
   CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.01 AS DECIMAL(18,2)) * 12 AS DECIMAL(18,2)) END AS arr,
   CAST(o_orderdate AS DATE) + 8218 AS current_period_start,
@@ -67,7 +67,7 @@ SELECT 'OPP-' || o_orderkey AS opportunity_id, org_id, customer_id, ' Deal ' ||
   CASE o_orderkey % 6 WHEN 0 THEN 'prospecting' WHEN 1 THEN 'qualification' WHEN 2 THEN 'proposal'
      WHEN 3 THEN 'negotiation' WHEN 4 THEN 'closed_won' ELSE 'closed_lost' END AS stage,
   CASE WHEN o_orderkey % 13 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.2 AS DECIMAL(18,2)) END AS amount_usd,
-  CAST((o_orderkey * 17) % 101 AS INT) AS probability_pct,
+  (o_orderkey * 17) % 101 AS probability_pct,
   {D0} - 30 + CAST(o_orderkey % 120 AS INT) AS close_date
 FROM orders JOIN b_tenants ON o_custkey = custkey"""
 
@@ -109,9 +109,9 @@ FROM events JOIN b_tenants ON user_id = custkey"""
 
 CTES["b_api_usage_events"] = """
 SELECT 'AP-' || event_id AS event_id, org_id, '/' || event_type AS endpoint, 'POST' AS method,
-  CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
-  CAST(round(CAST(value AS DECIMAL(12,2)) * 10) AS INT) AS latency_ms,
-  CAST(round(CAST(value AS DECIMAL(12,2)) * 100) AS INT) AS tokens_used,
+  CAST(CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS BIGINT) AS status_code,
+  CAST(round(CAST(value AS DECIMAL(12,2)) * 10) AS BIGINT) AS latency_ms,
+  CAST(round(CAST(value AS DECIMAL(12,2)) * 100) AS BIGINT) AS tokens_used,
   'model-' || (user_id % 3) AS model_name, ts AS request_ts
 FROM events JOIN b_tenants ON user_id = custkey"""
 
@@ -172,13 +172,13 @@ SELECT 'DOC-' || doc_id AS document_id, org_id, customer_id AS entity_id, 'doc_'
   CASE doc_id % 7 WHEN 0 THEN 'contract' WHEN 1 THEN 'sla' WHEN 2 THEN 'amendment' WHEN 3 THEN 'invoice'
      WHEN 4 THEN 'proposal' WHEN 5 THEN 'nda' ELSE 'other' END AS document_type,
   text AS extracted_text, CASE WHEN doc_id % 9 = 0 THEN 'pending' ELSE 'completed' END AS processing_status,
-  CAST(doc_id % 4 AS INT) AS risk_flag_count,
+  doc_id % 4 AS risk_flag_count,
   CASE WHEN doc_id % 13 <> 0 THEN {D0} - 100 + CAST((doc_id * 11) % 365 AS INT) END AS end_date,
   doc_id % 2 = 0 AS auto_renewal, {T0} - to_days(CAST(doc_id % 30 AS INT)) AS created_at
 FROM documents JOIN b_tenants ON doc_id % 150 = custkey"""
 
 CTES["b_embeddings"] = """
-SELECT vec_id AS chunk_id, 'ORG-' || (vec_id % 5) AS org_id, embedding, label FROM embeddings"""
+SELECT vec_id AS chunk_id, 'ORG-' || (vec_id % 5) AS org_id, embedding, CAST(label AS BIGINT) AS label FROM embeddings"""
 
 CTES["b_sales_history"] = """
 SELECT 'ORG-' || (l_suppkey % 5) AS org_id, l_partkey AS sku_id, l_suppkey AS location_id,
@@ -191,7 +191,7 @@ SELECT DISTINCT 'ORG-' || (l_suppkey % 5) AS org_id, l_partkey AS sku_id, l_supp
   (l_partkey * 31 + l_suppkey * 7) % 500 AS current_stock FROM lineitem"""
 
 CTES["b_promotions"] = f"""
-SELECT p_partkey AS promotion_id, p_name AS name, {D0} - 30 AS start_date, {D0} AS end_date, p_size AS discount_pct,
+SELECT p_partkey AS promotion_id, p_name AS name, {D0} - 30 AS start_date, {D0} AS end_date, CAST(p_size AS BIGINT) AS discount_pct,
   CAST(p_retailprice AS DECIMAL(18,2)) AS cost_usd FROM part WHERE p_type = 'PROMO'"""
 
 CTES["b_equipment"] = f"""
@@ -200,7 +200,7 @@ SELECT 'ORG-' || (p_partkey % 5) AS org_id, 'EQ-' || p_partkey AS equipment_id,
   1000 - p_size * 5 AS actual_units, 1000 AS ideal_units,
   CASE WHEN p_partkey % 101 = 0 THEN 0 ELSE 1000 - p_size * 5 - p_partkey % 60 END AS good_units,
   CASE WHEN p_partkey % 101 = 0 THEN 0 ELSE 1000 - p_size * 5 END AS total_units,
-  50 + p_partkey % 200 AS mtbf_hours, 1 + p_size % 12 AS mttr_hours,
+  50 + p_partkey % 200 AS mtbf_hours, CAST(1 + p_size % 12 AS BIGINT) AS mttr_hours,
   CASE WHEN p_partkey % 7 <> 0 THEN 90 END AS maintenance_interval_days,
   {D0} - CAST(p_partkey % 150 AS INT) AS last_maintenance_date, p_partkey % 37 <> 0 AS is_active FROM part"""
 

@@ -12,7 +12,7 @@ SELECT customer_id, org_id, sum(CASE WHEN status = 'active' THEN mrr ELSE 0 END)
   count(*) FILTER (status = 'active') AS active_subscriptions,
   min(renewal_date) FILTER (status = 'active' AND renewal_date >= {D0}) AS nearest_renewal_date,
   date_diff('day', {D0}, min(renewal_date) FILTER (status = 'active' AND renewal_date >= {D0})) AS days_to_renewal,
-  max(CASE WHEN status = 'active' AND plan_tier = 'enterprise' THEN 1 ELSE 0 END) AS is_enterprise,
+  max(CASE WHEN status = 'active' AND plan_tier = 'enterprise' THEN 1 ELSE 0 END)::BIGINT AS is_enterprise,
   count(*) FILTER (status = 'cancelled') AS cancelled_subs
 FROM m_stg_subscriptions GROUP BY customer_id, org_id""")
 define("m_tiers", """
@@ -74,7 +74,7 @@ LEFT JOIN m_usage_metrics u ON c.customer_id = u.customer_id AND c.org_id = u.or
 LEFT JOIN m_latest_churn h ON c.customer_id = h.customer_id AND c.org_id = h.org_id""")
 define("m_c360_points", """
 SELECT *, CAST((coalesce(nps_score, 0) + 100) * 0.5 AS DECIMAL(8,1)) AS nps_normalized,
-  CASE WHEN active_days_30d >= 20 THEN 100 WHEN active_days_30d >= 10 THEN 70 WHEN active_days_30d >= 5 THEN 40 ELSE 10 END AS usage_points,
+  CASE WHEN active_days_30d >= 20 THEN 100 WHEN active_days_30d >= 10 THEN 70 WHEN active_days_30d >= 5 THEN 40 ELSE 10 END::BIGINT AS usage_points,
   greatest(0, 100 - 15 * sla_breaches) AS sla_points
 FROM m_c360_joined""")
 define("m_c360", """
@@ -104,7 +104,7 @@ WITH s AS (SELECT customer_id, org_id, count(*) AS active_subscriptions, sum(mrr
 t AS (SELECT customer_id, org_id, count(*) AS total_tickets, count(*) FILTER (status = 'open') AS open_tickets,
     count(*) FILTER (status = 'open' AND priority IN ('urgent', 'high')) AS critical_open_tickets,
     count(*) FILTER (sla_breach) AS sla_breaches, round(avg(sentiment_score), 3) AS avg_sentiment_score,
-    max(CASE WHEN sentiment_score < -0.5 THEN 1 ELSE 0 END) AS has_critical_negative, max(created_at) AS last_ticket_date
+    max(CASE WHEN sentiment_score < -0.5 THEN 1 ELSE 0 END)::BIGINT AS has_critical_negative, max(created_at) AS last_ticket_date
   FROM b_tickets GROUP BY 1, 2),
 k AS (SELECT customer_id, org_id, max(contract_value) AS highest_contract_value, min(end_date) AS nearest_contract_end,
     count(*) FILTER (status = 'active') AS active_contracts, bool_or(auto_renewal) AS has_auto_renewal
@@ -238,7 +238,7 @@ define("m_features", """
 SELECT customer_id, org_id, customer_name, segment, region, industry, lifecycle_stage, health_score, coalesce(nps_score, 0) AS nps_score,
   events_30d, active_days_30d, days_since_last_activity, open_tickets, sla_breaches, mrr, arr, total_seats, events_7d, features_used,
   sla_breaches_30d, tickets_30d, ai_invocations_30d, coalesce(days_to_renewal, 365) AS days_to_renewal, churn_probability,
-  usage_trend, churn_risk_level, CASE WHEN lifecycle_stage = 'churned' THEN 1 ELSE 0 END AS is_churned,
+  usage_trend, churn_risk_level, CASE WHEN lifecycle_stage = 'churned' THEN 1 ELSE 0 END::BIGINT AS is_churned,
   CASE WHEN total_seats > 0 THEN round(open_tickets / total_seats, 3) ELSE 0 END AS tickets_per_seat,
   CASE WHEN events_30d > 0 THEN round(events_7d * 4.3 / events_30d, 2) ELSE 1 END AS usage_velocity_ratio,
   round(least(active_days_30d / 20, 1) * 0.5 + least(events_30d / 500, 1) * 0.3 + least(features_used / 10, 1) * 0.2, 3) AS engagement_score

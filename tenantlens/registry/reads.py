@@ -24,7 +24,7 @@ def _(t):
 
 
 @query("q2_risk_distribution", """
-SELECT org_id, risk_level, count(*) AS n, sum(expected_revenue_at_risk) AS total_arr_risk, CASE risk_level WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS sort_key
+SELECT org_id, risk_level, count(*) AS n, sum(expected_revenue_at_risk) AS total_arr_risk, CASE risk_level WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END::BIGINT AS sort_key
 FROM m_tied_scores GROUP BY 1, 2""", nums="total_arr_risk")
 def _(t):
     return r.risk_distribution(t.churn_scores)
@@ -121,7 +121,7 @@ def _(t):
 define("m_queue", """
 SELECT r.recommendation_id, r.entity_id AS customer_id, r.org_id, b.name AS customer, b.segment, r.recommendation_type, r.priority, r.expected_impact_usd, r.confidence_score,
   r.owner_role, r.status, c.health_score, c.churn_risk_level, c.churn_probability, c.arr, c.nearest_renewal_date, c.nps_score,
-  CASE r.priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS sort_key, r.created_at
+  CASE r.priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END::BIGINT AS sort_key, r.created_at
 FROM b_recommendations r JOIN b_customers b ON r.entity_id = b.customer_id LEFT JOIN m_c360 c ON r.entity_id = c.customer_id WHERE r.is_active""")
 _Q13 = dict(dates="nearest_renewal_date", nums="expected_impact_usd confidence_score health_score churn_probability arr")
 

@@ -72,7 +72,7 @@ define("m_guests", """
 SELECT customer_id AS guest_id, org_id, customer_name AS guest_name, arr AS lifetime_value_usd,
   CASE WHEN arr >= 50000 THEN 'ELITE' WHEN arr >= 20000 THEN 'PLATINUM' WHEN arr >= 10000 THEN 'GOLD' WHEN arr >= 5000 THEN 'SILVER' ELSE 'BRONZE' END AS loyalty_tier,
   greatest(1, CAST(round(arr * 0.005, 0) AS BIGINT)) AS stays_count,
-  CASE WHEN arr >= 20000 THEN 300 WHEN arr >= 10000 THEN 200 ELSE 120 END AS avg_daily_rate_usd, churn_risk_level AS churn_risk,
+  CASE WHEN arr >= 20000 THEN 300 WHEN arr >= 10000 THEN 200 ELSE 120 END::BIGINT AS avg_daily_rate_usd, churn_risk_level AS churn_risk,
   round(least(0.95, greatest(0, health_score * 0.006 + CASE WHEN churn_risk_level = 'LOW' THEN 0.3 ELSE 0 END + CASE WHEN arr > 10000 THEN 0.1 ELSE 0 END)), 4) AS upsell_propensity,
   nps_score FROM m_c360""")
 

@@ -32,3 +32,12 @@ def test_no_cross_join_in_plans(spark):
     for key in ("e9_executive_kpis", "d10_single_row_aggregates", "m16_vector_search", "g6_visible_rows", "e50_demand_forecast"):
         plan = entry.queries()[key](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Cross" not in plan, key
+
+
+TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+
+
+@pytest.mark.parametrize("key", ["b1_stg_customers", "e1_subscription_metrics", "e4_customer_360_weighted", "e47_oee", "q13_action_queue", "a2_land_api_usage"])
+def test_column_types_agree(spark, con, key):
+    duck_types = {r[0]: TYPES.get(r[1], r[1]) for r in con.execute("DESCRIBE " + ORACLES[key]).fetchall()}
+    assert dict(entry.queries()[key](spark, SF_DIR).dtypes) == duck_types
