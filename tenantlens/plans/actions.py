@@ -56,14 +56,16 @@ def _rate(x) -> Column:
 
 
 def opportunity_score(customers: DataFrame, churn_scores: DataFrame, *, existing: DataFrame | None = None, as_of=AS_OF) -> DataFrame:
-    """Six-band opportunity score per customer that has none yet.
+    """Six-band opportunity score per customer without a current one.
 
+    Scores older than six hours are discarded first and do not count.
     A missing probability fails every comparison and lands in the last band,
     and the reasoning text is then NULL.
     """
     live = customers.filter(F.col("lifecycle_stage") != "churned")
     if existing is not None:
-        live = live.join(existing.select("customer_id").distinct(), "customer_id", "left_anti")
+        current = existing.filter(F.col("scored_at") >= ago(as_of, hours=6)).select("customer_id")
+        live = live.join(current, "customer_id", "left_anti")
     score = latest_scores(churn_scores).select(*CO, "churn_probability")
     j = live.join(score, CO, "left")
     p, arr = F.col("churn_probability"), F.col("arr")

@@ -189,7 +189,7 @@ SELECT c.customer_id, c.org_id,
   CASE WHEN p IS NOT NULL THEN greatest(0.1, 1 - p) END AS confidence,
   'Score from churn_probability=' || p || ' ARR=' || arr || ' lifecycle=' || lifecycle_stage AS reasoning
 FROM b_customers c LEFT JOIN (SELECT customer_id, churn_probability AS p FROM m_latest_churn) h ON c.customer_id = h.customer_id
-WHERE lifecycle_stage <> 'churned' AND NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id)""",
+WHERE lifecycle_stage <> 'churned' AND NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id AND r.scored_at >= {T0} - INTERVAL 6 HOURS)""",
        nums="opportunity_score estimated_revenue_usd confidence")
 def _(t):
     return ac.opportunity_score(t.customers, t.churn_scores, existing=existing_scores(t))

@@ -59,7 +59,7 @@ def test_oee_defaults(frame):
               "mtbf_hours int, mttr_hours int, maintenance_interval_days int, last_maintenance_date date, is_active boolean")
     x = v.oee(e).first()
     assert (float(x.availability_pct), float(x.performance_pct), float(x.quality_pct), float(x.failure_risk_score)) == (95.0, 90.0, 98.0, 0.8)
-    assert x.oee_score == round(95 * 90 * 98 / 10000, 2)
+    assert float(x.oee_score) == round(95 * 90 * 98 / 10000, 2)
 
 
 def test_zero_demand_has_no_cover(frame):
