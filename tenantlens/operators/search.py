@@ -8,7 +8,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.text import words
-from tenantlens.operators.latest import top_per
+from tenantlens.operators.latest import top_per, top_per_tenant
 from tenantlens.sources.sinks import materialize
 
 
@@ -47,7 +47,7 @@ def search_by_group(vectors: DataFrame, queries: DataFrame, on: str, *, k: int =
     answer, never all of them.
     """
     scored = vectors.join(queries, on).select(id_col, on, F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return top_per(scored, [on], [F.col("score").desc_nulls_last(), F.col(id_col)], k, "rank")
+    return top_per(scored, [on], [F.col("score").desc_nulls_last(), F.col(id_col)], k, "rank", salt=16)
 
 
 def lexical_search(docs: DataFrame, terms: list[str], *, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -69,4 +69,4 @@ def lexical_search(docs: DataFrame, terms: list[str], *, k: int = 5, k1: float =
         idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * f * (k1 + 1) / (f + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     hits = joined.withColumn("score", F.round(score, 6)).filter(F.col("score") > 0)
-    return top_per(hits.select("document_id", "org_id", "score"), ["org_id"], [F.col("score").desc(), F.col("document_id")], k, "rank")
+    return top_per_tenant(hits.select("document_id", "org_id", "score"), [F.col("score").desc(), F.col("document_id")], k)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.columns import ago, day, dec, mapped, null_greatest, nz, priority_weight
-from tenantlens.operators.latest import latest_scores, top_per
+from tenantlens.operators.latest import latest_scores, top_per_tenant
 from tenantlens.settings import AS_OF
 
 CO = ["customer_id", "org_id"]
@@ -127,7 +127,7 @@ def recommend(churn_scores: DataFrame, customers: DataFrame, c360: DataFrame, re
     known = customers.select(*CO, "name")
     context = c360.select(*CO, "health_score", "nps_score", "arr", "segment", "nearest_renewal_date")
     pool = risky.join(known, CO).join(context, CO).join(recent, CO, "left_anti")
-    best = top_per(pool, ["org_id"], [F.col("expected_revenue_at_risk").desc_nulls_last(), F.col("customer_id")], per_org, "rank")
+    best = top_per_tenant(pool, [F.col("expected_revenue_at_risk").desc_nulls_last(), F.col("customer_id")], per_org)
     return best.select(
         *CO, F.lit("churn_prevention").alias("recommendation_type"),
         mapped(F.col("risk_level"), {"HIGH": "HIGH"}, "MEDIUM").alias("priority"),

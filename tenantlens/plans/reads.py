@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.columns import ago, day, days_between, dec, hours_between, mapped, mean, nz, sum_if, ts
-from tenantlens.operators.latest import latest_with_ties, top_per
+from tenantlens.operators.latest import latest_with_ties, top_per, top_per_tenant
 from tenantlens.plans.actions import open_recommendations
 from tenantlens.settings import AS_OF
 
@@ -39,7 +39,7 @@ def _names(customers: DataFrame, *extra: str) -> DataFrame:
 
 
 def _top(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
-    return df if k is None else top_per(df, ["org_id"], order, k, "rank")
+    return df if k is None else top_per_tenant(df, order, k)
 
 
 # -- home ----------------------------------------------------------------------

@@ -10,11 +10,18 @@ from tenantlens.settings import AS_OF
 
 
 def feature_usage(events: DataFrame, *, lookback_days: int | None = 90, as_of=AS_OF) -> DataFrame:
-    """Hourly usage per customer and event type (batch: exact distinct counts)."""
+    """Hourly usage per customer and event type (batch: exact distinct counts).
+
+    Events are first reduced to one row per user and session within the hour,
+    so the two distinct counts expand that frame and not the raw events.
+    """
     kept = events if lookback_days is None else events.filter(F.col("server_ts") >= ago(as_of, days=lookback_days))
-    return kept.groupBy("org_id", "customer_id", F.date_trunc("hour", "server_ts").alias("event_hour"), "event_type").agg(
-        F.count(F.lit(1)).alias("event_count"), F.count_distinct("user_id").alias("unique_users"),
-        F.count_distinct("session_id").alias("unique_sessions"), F.max("server_ts").alias("last_seen"))
+    keys = ["org_id", "customer_id", "event_hour", "event_type"]
+    facts = kept.withColumn("event_hour", F.date_trunc("hour", "server_ts")).groupBy(*keys, "user_id", "session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("server_ts").alias("last"))
+    return facts.groupBy(*keys).agg(
+        F.sum("n").alias("event_count"), F.count_distinct("user_id").alias("unique_users"),
+        F.count_distinct("session_id").alias("unique_sessions"), F.max("last").alias("last_seen"))
 
 
 def api_cost_measures(usd_per_token: float = 3e-6) -> list[Column]:

@@ -181,7 +181,7 @@ SELECT org_id, priority, recommendation_id, expected_impact_usd, rank FROM (SELE
   ORDER BY CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, expected_impact_usd DESC NULLS LAST, recommendation_id) AS rank FROM b_recommendations) WHERE rank <= 100""", nums="expected_impact_usd")
 def _(t):
     order = [cb.mapped(F.col("priority"), {"HIGH": 1, "MEDIUM": 2}, 3), F.col("expected_impact_usd").desc_nulls_last(), F.col("recommendation_id")]
-    return la.top_per(t.recommendations, ["org_id"], order, 100, "rank").select("org_id", "priority", "recommendation_id", "expected_impact_usd", "rank")
+    return la.top_per_tenant(t.recommendations, order, 100).select("org_id", "priority", "recommendation_id", "expected_impact_usd", "rank")
 
 
 @query("f7_top_k", "SELECT customer_id, arr FROM b_customers ORDER BY arr DESC, customer_id LIMIT 50", nums="arr")
@@ -193,7 +193,7 @@ def _(t):
 SELECT org_id, customer_id, expected_revenue_at_risk, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY expected_revenue_at_risk DESC, customer_id) AS rank FROM m_latest_churn) WHERE rank <= 20""", nums="expected_revenue_at_risk")
 def _(t):
     order = [F.col("expected_revenue_at_risk").desc_nulls_last(), F.col("customer_id")]
-    return la.top_per(la.latest_scores(t.churn_scores), ["org_id"], order, 20, "rank").select("org_id", "customer_id", "expected_revenue_at_risk", "rank")
+    return la.top_per_tenant(la.latest_scores(t.churn_scores), order, 20).select("org_id", "customer_id", "expected_revenue_at_risk", "rank")
 
 
 @query("f9_union_all", """

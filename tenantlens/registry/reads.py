@@ -272,9 +272,9 @@ SELECT org_id, customer_name, segment, churn_probability, arr, expected_revenue_
   ORDER BY churn_probability DESC, expected_revenue_at_risk DESC, customer_id) AS rank FROM m_c360 WHERE churn_risk_level = 'HIGH' AND lifecycle_stage <> 'churned') WHERE rank <= 20""",
        nums="churn_probability arr expected_revenue_at_risk")
 def _(t):
-    from tenantlens.operators.latest import top_per
+    from tenantlens.operators.latest import top_per_tenant
     rows = c360(t).filter((F.col("churn_risk_level") == "HIGH") & (F.col("lifecycle_stage") != "churned"))
-    return top_per(rows, ["org_id"], [F.col("churn_probability").desc(), F.col("expected_revenue_at_risk").desc(), F.col("customer_id")], 20, "rank") \
+    return top_per_tenant(rows, [F.col("churn_probability").desc(), F.col("expected_revenue_at_risk").desc(), F.col("customer_id")], 20) \
         .select("org_id", "customer_name", "segment", "churn_probability", "arr", "expected_revenue_at_risk", "rank")
 
 
@@ -313,10 +313,10 @@ SELECT customer_id, org_id, customer_name, segment, churn_risk_level, n AS pendi
   JOIN (SELECT entity_id, count(*) AS n, sum(expected_impact_usd) AS s FROM b_recommendations WHERE status = 'pending' AND is_active GROUP BY 1) ON entity_id = customer_id) WHERE rank <= 20""",
        nums="total_expected_impact")
 def _(t):
-    from tenantlens.operators.latest import top_per
+    from tenantlens.operators.latest import top_per_tenant
     pend = t.recommendations.filter((F.col("status") == "pending") & F.col("is_active")).groupBy(F.col("entity_id").alias("customer_id"), "org_id").agg(
         F.count(F.lit(1)).alias("pending_actions"), F.sum("expected_impact_usd").alias("total_expected_impact"))
-    best = top_per(c360(t).join(pend, ["customer_id", "org_id"]), ["org_id"], [F.col("total_expected_impact").desc_nulls_last(), F.col("customer_id")], 20, "rank")
+    best = top_per_tenant(c360(t).join(pend, ["customer_id", "org_id"]), [F.col("total_expected_impact").desc_nulls_last(), F.col("customer_id")], 20)
     return best.select("customer_id", "org_id", "customer_name", "segment", "churn_risk_level", "pending_actions", "total_expected_impact", "rank")
 
 

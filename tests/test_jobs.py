@@ -134,6 +134,12 @@ def test_hot_key_is_limited_before_the_exchange(spark):
     assert out.filter("k = 'hot'").first().t == 29997 and out.count() == 20001
 
 
+def test_salted_top_equals_plain_top(spark):
+    df = spark.range(9000).select((F.col("id") % 2).cast("string").alias("org_id"), (F.col("id") * 7919 % 1000).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id")]
+    assert rows(la.top_per(df, ["org_id"], order, 25, "rank", salt=8)) == rows(la.top_per(df, ["org_id"], order, 25, "rank"))
+
+
 def test_shuffle_sizing(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     assert size_shuffles(spark, 100 * 2 ** 40) == 409600
