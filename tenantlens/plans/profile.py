@@ -25,18 +25,26 @@ def left_all(base: DataFrame, *sides: DataFrame) -> DataFrame:
 
 
 def subscription_metrics(subs: DataFrame, *, as_of=AS_OF) -> DataFrame:
-    """Active subscription totals per customer from staged subscriptions."""
+    """Active subscription totals per customer from staged subscriptions.
+
+    Summed per plan tier first: the dominant tier is then the smallest of a
+    few rows, and everything stays a plain hash aggregate. A ``mode`` aggregate
+    keeps a map per customer and falls back to sorting all rows.
+    """
     active = F.col("status") == "active"
-    next_renewal = F.min(F.when(active & (F.col("renewal_date") >= day(as_of)), F.col("renewal_date")))
-    out = subs.groupBy(*CO).agg(
-        sum_if(active, F.col("mrr")).alias("mrr"),
-        sum_if(active, F.col("arr")).alias("arr"),
-        sum_if(active, F.col("seats")).alias("total_seats"),
-        F.count_if(active).alias("active_subscriptions"),
-        next_renewal.alias("nearest_renewal_date"),
-        F.mode(F.when(active, F.col("plan_tier")), True).alias("primary_plan_tier"),
-        F.max(F.when(active & (F.col("plan_tier") == "enterprise"), 1).otherwise(0)).alias("is_enterprise"),
-        F.count_if(F.col("status") == "cancelled").alias("cancelled_subs"),
+    per_tier = subs.groupBy(*CO, "plan_tier").agg(
+        sum_if(active, F.col("mrr")).alias("mrr"), sum_if(active, F.col("arr")).alias("arr"),
+        sum_if(active, F.col("seats")).alias("seats"), F.count_if(active).alias("n"),
+        F.min(F.when(active & (F.col("renewal_date") >= day(as_of)), F.col("renewal_date"))).alias("renewal"),
+        F.count_if(F.col("status") == "cancelled").alias("cancelled"),
+    )
+    held = F.col("n") > 0
+    out = per_tier.groupBy(*CO).agg(
+        F.sum("mrr").alias("mrr"), F.sum("arr").alias("arr"), F.sum("seats").alias("total_seats"), F.sum("n").alias("active_subscriptions"),
+        F.min("renewal").alias("nearest_renewal_date"),
+        F.min_by("plan_tier", F.when(held, F.struct(-F.col("n"), F.col("plan_tier")))).alias("primary_plan_tier"),
+        F.max(F.when(held & (F.col("plan_tier") == "enterprise"), 1).otherwise(0)).alias("is_enterprise"),
+        F.sum("cancelled").alias("cancelled_subs"),
     )
     return out.withColumn("days_to_renewal", days_between(day(as_of), F.col("nearest_renewal_date")))
 
@@ -44,19 +52,24 @@ def subscription_metrics(subs: DataFrame, *, as_of=AS_OF) -> DataFrame:
 def ticket_metrics(tickets: DataFrame, *, as_of=AS_OF) -> DataFrame:
     recent = F.col("created_at") >= ago(as_of, days=30)
     breached = F.col("sla_breached")
-    return tickets.groupBy(*CO).agg(
+    label = F.col("sentiment_label")
+    counts = tickets.groupBy(*CO).agg(
         F.count(F.lit(1)).alias("total_tickets"),
         F.count_if(F.col("status") == "open").alias("open_tickets"),
         F.count_if(F.col("status") == "resolved").alias("resolved_tickets"),
         F.count_if(F.col("priority").isin("high", "critical")).alias("high_priority_tickets"),
         F.count_if(breached).alias("sla_breaches"),
         F.round(mean("sentiment_score"), 3).alias("avg_sentiment_score"),
-        F.mode("sentiment_label", True).alias("dominant_sentiment"),
+        *[F.count_if(label == x).alias(f"_{x}") for x in ("negative", "neutral", "positive")],
         F.round(F.avg("resolution_hours"), 1).alias("avg_resolution_hours"),
         F.max("created_at").alias("last_ticket_at"),
         F.count_if(recent).alias("tickets_30d"),
         F.count_if(recent & breached).alias("sla_breaches_30d"),
     )
+    # Most frequent label; ties go to the first in alphabetical order.
+    negative, neutral, positive = F.col("_negative"), F.col("_neutral"), F.col("_positive")
+    top = (F.when((negative >= neutral) & (negative >= positive), "negative").when(neutral >= positive, "neutral").otherwise("positive"))
+    return counts.withColumn("dominant_sentiment", top).drop("_negative", "_neutral", "_positive")
 
 
 def _day_bit(time: str, as_of) -> Column:

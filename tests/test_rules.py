@@ -111,3 +111,13 @@ def test_masks(frame):
 def test_plan_names_are_distinct_and_ordered(frame):
     subs = frame([("c", "o", "basic", 5), ("c", "o", "pro", 50), ("c", "o", "basic", 7), ("c", "o", "add", 7)], "customer_id string, org_id string, plan_name string, arr int")
     assert p.plan_names(subs).first().plan_names == "pro | add | basic"
+
+
+def test_dominant_tier_and_sentiment_ties(frame):
+    subs = frame([("c", "o", "active", "b", 1, 1, 1, None), ("c", "o", "active", "a", 1, 1, 1, None), ("c", "o", "cancelled", "0", 1, 1, 1, None), ("d", "o", "paused", "a", 1, 1, 1, None)],
+                 "customer_id string, org_id string, status string, plan_tier string, mrr int, arr int, seats int, renewal_date date")
+    got = {x.customer_id: (x.primary_plan_tier, x.active_subscriptions, x.cancelled_subs) for x in p.subscription_metrics(subs).collect()}
+    assert got == {"c": ("a", 2, 1), "d": (None, 0, 0)}
+    tickets = frame([("c", "o", x, "open", "low", False, 0.1, None, AS_OF) for x in ("positive", "neutral", "neutral", "positive")] + [("d", "o", "positive", "open", "low", True, 0.5, 3, AS_OF)],
+                    "customer_id string, org_id string, sentiment_label string, status string, priority string, sla_breached boolean, sentiment_score double, resolution_hours int, created_at timestamp")
+    assert {x.customer_id: x.dominant_sentiment for x in p.ticket_metrics(tickets).collect()} == {"c": "neutral", "d": "positive"}
