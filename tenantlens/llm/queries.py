@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["simhash"]
+MODULES = ["packing", "simhash", "decontaminate"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
