@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "simhash", "decontaminate"]
+MODULES = ["packing", "toxicity", "simhash", "decontaminate"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
