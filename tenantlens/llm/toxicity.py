@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,8 +16,9 @@ from tenantlens.llm.common import HELD_OUT, fold, stage, table
 THRESHOLD = 0.3
 SAMPLE = 16_000  # labelled documents the grammar is fitted on
 STEMS = 4_000  # learned arcs at most
-STEM_LENGTHS = (4, 5, 6, 8)
-ALPHA = 0.01
+STEM_LENGTHS = (4, 5, 6, 7, 8)
+WHOLE = "$"  # ends a stem that is a whole word
+ALPHA = 0.1
 
 # General words of abuse and the words that turn a clause, in the four languages of the corpus.
 INSULTS = """idiot idiots moron morons imbecile stupid dumb loser losers pathetic worthless disgusting scum trash garbage clown
@@ -92,11 +94,11 @@ class Lexicon(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.lengths = model, sorted({len(s) for s in model.stems})
+        self.model = model
 
     def __missing__(self, word: str):
         arc = self.model.arcs.get(word)
-        weight = max((self.model.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), default=0.0)
+        weight = max(self.model.stems.get(s, 0.0) for s in beginnings(word))
         if weight and (arc is None or arc[0] == INSULT):  # a learned stem
             arc = (INSULT, max(weight, arc[1] if arc else 0.0))
         if len(self) > 300_000:
@@ -135,8 +137,12 @@ def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     return x
 
 
+def beginnings(word: str) -> list[str]:
+    return [word[:n] for n in STEM_LENGTHS if len(word) >= n] + [word + WHOLE]
+
+
 def learn_stems(sample: DataFrame, alpha: float = ALPHA, most: int = STEMS) -> dict[str, float]:
-    """Word beginnings that toxic documents have and others lack: beginning -> log odds (at most 5).
+    """Word beginnings and whole words that toxic documents have and others lack, with weights (at most 2).
 
     Each beginning counts once per distinct text. One is kept if its
     log-likelihood ratio exceeds the logarithm of candidates / alpha, so that
@@ -144,26 +150,31 @@ def learn_stems(sample: DataFrame, alpha: float = ALPHA, most: int = STEMS) -> d
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text, toxic in zip(b["text"], b["toxic"]):
-                words = {w for w in _TOKEN.findall(text.lower()) if len(w) >= 4}
-                rows += [(s, toxic) for s in {w[:n] for w in words for n in STEM_LENGTHS}]
-            yield pd.DataFrame(rows, columns=["stem", "toxic"])
+            met, toxic = Counter(), Counter()
+            for text, y in zip(b["text"], b["toxic"]):
+                stems = {s for w in {w for w in _TOKEN.findall(text.lower()) if len(w) >= STEM_LENGTHS[0]} for s in beginnings(w)}
+                met.update(stems)
+                if y:
+                    toxic.update(stems)
+            yield pd.DataFrame([(s, toxic[s], n) for s, n in met.items()], columns=["stem", "p", "n"])
 
     totals = sample.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     pos, rows = int(totals[0] or 0), int(totals[1])
     if not 0 < pos < rows:
         return {}
     base = pos / rows
-    counts = stage(sample.mapInPandas(run, "stem string, toxic int").groupBy("stem").agg(F.sum("toxic").alias("p"), F.count(F.lit(1)).alias("n")))
+    counts = stage(sample.mapInPandas(run, "stem string, p long, n long").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     tried = counts.count()
     share = F.col("p") / F.col("n")
     ratio = F.col("p") * F.log(share / base) + F.when(F.col("p") < F.col("n"), (F.col("n") - F.col("p")) * F.log((1 - share) / (1 - base))).otherwise(0)
     best = counts.where((F.col("p") >= 4) & (share > 0.8)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(tried / alpha)))
     kept = best.orderBy(F.desc("ratio"), "stem").limit(most).collect()
     odds = {r.stem: min(5.0, float(np.log((r.p + .5) / (r.n - r.p + .5) * (1 - base) / base))) for r in kept}
-    # a longer stem adds nothing where a beginning of it is kept
-    return {s: w / 2.5 for s, w in odds.items() if not any(s[:n] in odds for n in range(1, len(s)))}
+    stems: dict[str, float] = {}
+    for stem, w in odds.items():  # by falling ratio: of a word's beginnings only the most telling one
+        if not any(stem[:n] in stems for n in STEM_LENGTHS) and not any(k.startswith(stem) for k in stems):
+            stems[stem] = w / 2.5
+    return stems
 
 
 def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, bias: float, l2: float = 2.0, turns: int = 40) -> tuple[np.ndarray, float]:
@@ -183,7 +194,7 @@ def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, bias: float, l2: float
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` labelled rows outside the held-out fold, chosen by hash of the id, equal texts once.
 
-    Stems are learned on two thirds of the sample; the clause weights on the
+    Stems are learned on four fifths of the sample; the clause weights on the
     rest, where the stems were not chosen. Without labels of both kinds the
     model keeps its prior weights.
     """
@@ -193,15 +204,15 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     known = stage(known)
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.col("turn"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
-    chosen = stage(chosen.select("text", "toxic", F.pmod(F.shiftright("turn", 32), F.lit(3)).alias("part")))
-    model = Model(learn_stems(chosen.where("part < 2")))
+    chosen = stage(chosen.select("text", "toxic", F.pmod(F.shiftright("turn", 32), F.lit(5)).alias("part")))
+    model = Model(learn_stems(chosen.where("part < 4")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(model)
         for b in batches:
             yield pd.DataFrame({"x": [clause_features(t, lexicon) for t in b["text"]], "toxic": b["toxic"]})
 
-    rest = chosen.where("part = 2").select("text", "toxic").mapInPandas(run, "x array<double>, toxic int").toPandas()
+    rest = chosen.where("part = 4").select("text", "toxic").mapInPandas(run, "x array<double>, toxic int").toPandas()
     if rest["toxic"].nunique() == 2:
         x, y = np.stack(rest["x"]), rest["toxic"].to_numpy(float)
         model.weights, model.bias = _fit(x, y, prior(), float(np.log(y.mean() / (1 - y.mean()))))
