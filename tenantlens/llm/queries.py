@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["packing", "toxicity", "linededup", "simhash", "decontaminate"]
+MODULES = ["linefreq", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
