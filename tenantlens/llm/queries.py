@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["linefreq", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
+MODULES = ["warc", "linefreq", "langid", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
