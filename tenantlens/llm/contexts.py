@@ -59,27 +59,49 @@ def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(a[:len(a) - (width - have)], a[width - have:]) if have < width else a
 
 
-def contexts(h: Hashes, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, content hash, start, windows, anchor place) of every context of a sequence, in order."""
+def contexts(h: Hashes, size: int, gram: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, anchor hash, content hash, start, windows) of every context of several sequences laid end to end.
+
+    Sequence k is units[bounds[k] : bounds[k + 1]]; starts count from its first
+    unit. Contexts come in order.
+    """
     n = len(h.sums) - 1
     if n < size:
         none = np.empty(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     g = h.all_runs(gram)
     width = size - gram + 1
-    low = _sliding(g, width, np.minimum)  # of each window
-    # leftmost place of the minimum: the next place from the window's start with that value
-    edge = np.concatenate((np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)))
-    is_anchor = _sliding(edge, width, np.maximum) == g
-    place = np.flatnonzero(is_anchor)
-    first = np.searchsorted(place, np.arange(len(low)))
-    at = place[first]
-    wrong = g[at] != low  # an earlier anchor in reach belongs to other windows
-    while wrong.any():
-        first[wrong] += 1
-        at[wrong] = place[first[wrong]]
-        wrong[wrong] = g[at[wrong]] != low[wrong]
-    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    windows = np.diff(np.append(start, len(low)))
-    anchor = at[start]
-    return g[anchor], h.runs(start, windows + size - 1), start, windows, anchor
+    order = (g >> np.uint64(32)).astype(np.uint32)  # smallest here, leftmost of equals, is the anchor
+    low = _sliding(order, width, np.minimum)  # of each window
+    crossing = np.zeros(n + 1, np.int64)
+    np.add.at(crossing, np.maximum(bounds[:-1], bounds[1:] - size + 1), 1)
+    np.add.at(crossing, bounds[1:], -1)
+    low[np.cumsum(crossing)[:len(low)] > 0] = 0  # windows over an end are none and have no anchor
+    edge = np.zeros(width - 1, np.uint32)
+    place = np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), width, np.maximum) == order)
+    value = order[place]
+    before = _nearest(place, value, width, -1, np.less_equal)  # the last anchor before that is no larger
+    after = _nearest(place, value, width, 1, np.less)  # the first behind that is smaller
+    which = np.searchsorted(bounds, place, "right") - 1
+    start = np.maximum(np.maximum(place - width, before) + 1, bounds[which])
+    windows = np.minimum(np.minimum(place, bounds[which + 1] - size), after - width) - start + 1
+    own = np.flatnonzero(windows > 0)
+    start, windows, which = start[own], windows[own], which[own]
+    return which, g[place[own]], h.runs(start, windows + size - 1), start - bounds[which], windows
+
+
+def _nearest(place: np.ndarray, value: np.ndarray, reach: int, way: int, beats) -> np.ndarray:
+    """Place of the nearest anchor to one side whose value beats the own one; out of reach where there is none."""
+    n, far = len(place), np.iinfo(np.int64).max // 2
+    out = np.full(n, far * way)
+    live, step = np.arange(n), way
+    while len(live):
+        other = live + step
+        inside = (other >= 0) & (other < n)
+        live, other = live[inside], other[inside]
+        inside = np.abs(place[other] - place[live]) < reach
+        live, other = live[inside], other[inside]
+        found = beats(value[other], value[live])
+        out[live[found]] = place[other[found]]
+        live, step = live[~found], step + way
+    return out

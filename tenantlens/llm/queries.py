@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["warc", "linefreq", "langid", "doubling", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
+MODULES = ["warc", "linefreq", "langid", "doubling", "suffixdedup", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:

@@ -16,6 +16,9 @@ from tenantlens.llm.common import stage
 from tenantlens.llm.contexts import Hashes, contexts
 
 
+SLAB = 300_000
+
+
 def text_hash():
     """64-bit name of a text. Two texts with one name are told apart by the content hashes of their contexts."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -25,6 +28,18 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _slabs(texts: pd.Series, units: Callable, size: int, gram: int):
+    """(place of the first text, contexts) of runs of texts with about SLAB units together."""
+    held, total, first = [], 0, 0
+    for k, t in enumerate(texts):
+        u = units(t)
+        held.append(u)
+        total += len(u)
+        if total >= SLAB or k == len(texts) - 1:
+            yield first, contexts(Hashes(np.concatenate(held)), size, gram, np.concatenate(([0], np.cumsum([len(x) for x in held]))))
+            held, total, first = [], 0, k + 1
+
+
 def survey(docs: DataFrame, units: Callable, size: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(places, contents, mixed) of the contexts whose anchor occurs twice or more.
 
@@ -35,16 +50,15 @@ def survey(docs: DataFrame, units: Callable, size: int, gram: int) -> tuple[Data
     """
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            each = [contexts(Hashes(units(t)), size, gram)[0] for t in b["text"]]
-            value, n = np.unique(np.concatenate(each or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"anchor": _signed(value), "n": n})
+            for _, (_, anchor, *_) in _slabs(b["text"], units, size, gram):
+                value, n = np.unique(anchor, return_counts=True)
+                yield pd.DataFrame({"anchor": _signed(value), "n": n})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            each = [contexts(Hashes(units(t)), size, gram)[:4] for t in b["text"]]
-            anchor, content, start, windows = (np.concatenate([e[k] for e in each]) if each else np.empty(0, np.int64) for k in range(4))
-            yield pd.DataFrame({"anchor": _signed(anchor), "content": _signed(content), "name": np.repeat(b["name"].to_numpy(), [len(e[0]) for e in each]),
-                                "start": start, "windows": windows})
+            name = b["name"].to_numpy()
+            for first, (which, anchor, content, start, windows) in _slabs(b["text"], units, size, gram):
+                yield pd.DataFrame({"anchor": _signed(anchor), "content": _signed(content), "name": name[first + which], "start": start, "windows": windows})
 
     texts = docs.where(F.col("text").isNotNull()).select("text", text_hash().alias("name"))
     twice = stage(texts.select("text").mapInPandas(anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
@@ -86,24 +100,23 @@ def places_to_cut(places: DataFrame, contents: DataFrame, offsets: DataFrame) ->
     part = offsets.join(contents.where("n = 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
     verdict = stage(whole.unionByName(part.select("anchor", "content", F.col("offsets").cast("array<int>").alias("offsets"))))
     hit = places.join(verdict, ["anchor", "content"]).select("name", F.struct("start", "windows", "content", "offsets").alias("spot"))
-    return stage(hit.groupBy("name").agg(F.collect_set("spot").alias("spots")))
+    return stage(hit.groupBy("name").agg(F.collect_set("spot").alias("spots")).select("name", "spots.start", "spots.windows", "spots.content", "spots.offsets"))
 
 
-def covered(h: Hashes, spots, size: int) -> np.ndarray:
-    """Which units of a sequence lie in a repeated window."""
+def covered(h: Hashes, spots: tuple, size: int) -> np.ndarray:
+    """Which units of a sequence lie in a repeated window; ``spots`` are a row's starts, windows, contents and offsets."""
     n = len(h.sums) - 1
+    start, windows, content = (np.asarray(x, np.int64) for x in spots[:3])
+    own = start + windows + size - 1 <= n
+    own[own] = _signed(h.runs(start[own], windows[own] + size - 1)) == content[own]  # else of another text with this name
     change = np.zeros(n + 1, np.int64)
-    for s in spots if spots is not None else ():
-        start, windows = int(s["start"]), int(s["windows"])
-        if start + windows + size - 1 > n or _signed(h.runs(np.array([start]), windows + size - 1))[0] != s["content"]:
-            continue  # of another text with this name
-        if s["offsets"] is None:
-            change[start] += 1
-            change[start + windows + size - 1] -= 1
-        else:
-            first = start + np.asarray(s["offsets"], np.int64)
-            np.add.at(change, first, 1)
-            np.add.at(change, first + size, -1)
+    whole = own & np.array([o is None for o in spots[3]])
+    np.add.at(change, start[whole], 1)
+    np.add.at(change, (start + windows + size - 1)[whole], -1)
+    for k in np.flatnonzero(own & ~whole):
+        first = start[k] + np.asarray(spots[3][k], np.int64)
+        np.add.at(change, first, 1)
+        np.add.at(change, first + size, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -113,9 +126,10 @@ def rewrite(docs: DataFrame, spots: DataFrame, keep: Callable, schema: str) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *keep(t, s)) for i, t, s in zip(b["doc_id"], b["text"], b["spots"])]
+            at = [None if s[0] is None else s for s in zip(b["start"], b["windows"], b["content"], b["offsets"])]
+            rows = [(i, *keep(t, s)) for i, t, s in zip(b["doc_id"], b["text"], at)]
             yield pd.DataFrame(rows, columns=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", text_hash().alias("name")).join(spots, "name", "left")
-    return rows.select("doc_id", "text", "spots").mapInPandas(run, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.drop("name").mapInPandas(run, f"doc_id string, {schema}").withColumn("doc_id", F.col("doc_id").cast(kind))
