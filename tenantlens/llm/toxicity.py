@@ -199,11 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
     model keeps its prior weights.
     """
     truth = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = (docs.where(F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", "text").join(truth, "doc_id")
-             .withColumn("turn", F.xxhash64("doc_id")))
-    known = stage(known)
+    known = stage(docs.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id").join(truth, "doc_id").distinct().withColumn("turn", F.xxhash64("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.col("turn"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
+    picked = stage(known.where(F.pmod(F.col("turn"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    # some 16 bytes for each of about ``sample`` rows: small enough to broadcast, so no other text moves
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text"])
     chosen = stage(chosen.select("text", "toxic", F.pmod(F.shiftright("turn", 32), F.lit(5)).alias("part")))
     model = Model(learn_stems(chosen.where("part < 4")))
 
