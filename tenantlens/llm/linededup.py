@@ -217,14 +217,14 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     lost = (judged_lines(docs, **options).groupBy("id", "text_id")
             .agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_lost"), F.count_if("kept").alias("_left"))
             .where("size(_lost) > 0"))
-    named = stage(lost.withColumnsRenamed({"id": "_id", "text_id": "_text_id"}))
-    i, t = _identity()
-    out = docs.join(named, (i == F.col("_id")) & (t == F.col("_text_id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, n: ~F.array_contains("_lost", n)), "\n")
-    out = out.where("_left is null or _left > 0").withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept))
+    rows = docs.select(*_identity(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stage(lost), ["id", "text_id"], "left")
+    rows = rows.where("_left is null or _left > 0")
+    whole = F.col("_lost").isNull()
+    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, n: ~F.array_contains("_lost", n)), "\n")
+    new = {"text": F.when(whole, F.col("row.text")).otherwise(kept)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lost").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_fuzzy_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
