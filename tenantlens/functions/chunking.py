@@ -1,14 +1,16 @@
-"""Sequential chunkers used inside Arrow-batched UDFs.
+"""Chunkers whose cuts depend on one another, for use inside Arrow-batched UDFs.
 
-A chunk's start depends on where the previous one ended, so these two cannot
-be written as column expressions. Each call sees one whole document; Spark
-spreads the documents.
+Both work in two steps: measure the text once (break positions, lengths of
+paragraphs or sentences), then choose cuts by binary search in those numbers.
+Each call sees one whole document; Spark spreads the documents.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 
@@ -19,32 +21,43 @@ _PARAGRAPH = re.compile(r"\n{2,}")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
-def _cut(text: str, start: int, size: int) -> int:
-    """End of the piece starting at ``start``: a break in its second half, else the size limit."""
-    limit = start + size
-    if limit >= len(text):
-        return len(text)
-    half = start + size // 2
-    for mark in BREAKS:
-        at = text.rfind(mark, start, limit)
-        if at > half:
-            return at + len(mark)
-    return limit
+def break_ends(text: str) -> list[tuple[int, list[int]]]:
+    """For each kind of break its length and where its occurrences end, rising."""
+    return [(len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in BREAKS]
 
 
-def boundary_chunks(text: str | None, size: int = 800, overlap: int = 100) -> Iterator[str]:
-    """Overlapping pieces that end on a paragraph, line, sentence or word where possible.
+def boundary_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of pieces of at most ``size``, each ending at the best break in its second half.
 
-    The next start always moves forward, even if the overlap is larger than
-    the piece.
+    A text no longer than ``size`` is one piece. The next start always moves
+    forward, even if the overlap is larger than the piece.
     """
-    start = 0
-    while text and start < len(text):
-        end = _cut(text, start, size)
-        piece = text[start:end].strip()
-        if piece:
-            yield piece
-        start = len(text) if end >= len(text) else max(end - overlap, start + 1)
+    kinds, n = break_ends(text), len(text)
+    start, end = 0, 0
+    while end < n:
+        reach = start + size
+        middle = start + size // 2
+        last_ends = ((ends[bisect_right(ends, reach) - 1] if ends and ends[0] <= reach else 0, width) for width, ends in kinds)
+        end = n if reach >= n else next((e for e, width in last_ends if e - width > middle), reach)
+        yield start, end
+        start = max(end - overlap, start + 1)
+
+
+def boundary_chunks(text: str | None, size: int = 800, overlap: int = 100) -> Iterator[str]:
+    """Overlapping pieces that end on a paragraph, line, sentence or word where possible; blank ones are left out."""
+    text = text or ""
+    return filter(None, (text[a:b].strip() for a, b in boundary_spans(text, size, overlap)))
+
+
+class Lengths:
+    """Running lengths of parts that are joined by a gap."""
+
+    def __init__(self, parts: list[str], gap: int):
+        self.totals, self.gap = list(accumulate((len(p) + gap for p in parts), initial=0)), gap
+
+    def fit(self, first: int, room: int) -> int:
+        """End of the longest run of parts from ``first`` that is no longer than ``room``; one part at least."""
+        return max(first + 1, bisect_right(self.totals, self.totals[first] + self.gap + room) - 1)
 
 
 def sentence_groups(text: str, limit: int) -> Iterator[str]:
@@ -53,41 +66,32 @@ def sentence_groups(text: str, limit: int) -> Iterator[str]:
     A sentence longer than the limit is cut into limit-sized parts, so no
     text is lost.
     """
-    held = ""
-    for sentence in _SENTENCE.split(text.strip()):
-        joined = f"{held} {sentence}" if held else sentence
-        if len(joined) <= limit:
-            held = joined
-            continue
-        if held:
-            yield held
-        held = sentence
-        while len(held) > limit:
-            yield held[:limit]
-            held = held[limit:]
-    if held:
-        yield held
+    parts = [s[k:k + limit] for s in _SENTENCE.split(text.strip()) for k in range(0, len(s), limit)]
+    lengths, at = Lengths(parts, 1), 0
+    while at < len(parts):
+        end = lengths.fit(at, limit)
+        yield " ".join(parts[at:end])
+        at = end
 
 
 def packed_chunks(text: str | None, size: int = 1500, overlap: int = 200) -> Iterator[str]:
-    """Paragraphs packed up to ``size``; each new chunk opens with the tail of the last one."""
+    """Paragraphs packed up to ``size``; each new chunk opens with the tail of the last one.
+
+    A text no longer than ``size`` is one chunk. A longer paragraph that no
+    tail precedes is packed by sentences.
+    """
     text = (text or "").strip()
-    if len(text) <= size:
-        yield from [text] if text else []
-        return
-    held = ""
-    for paragraph in filter(None, map(str.strip, _PARAGRAPH.split(text))):
-        if held and len(held) + len(paragraph) + 2 > size:
-            yield held
-            held = f"{held[-overlap:]}\n\n{paragraph}".strip()
-        elif held:
-            held = f"{held}\n\n{paragraph}"
-        elif len(paragraph) > size:
-            yield from sentence_groups(paragraph, size)
-        else:
-            held = paragraph
-    if held:
-        yield held
+    parts = [text] if 0 < len(text) <= size else [p for p in (x.strip() for x in _PARAGRAPH.split(text)) if p]
+    lengths, at, tail = Lengths(parts, 2), 0, ""
+    while at < len(parts):
+        if not tail and len(parts[at]) > size:
+            yield from sentence_groups(parts[at], size)
+            at += 1
+            continue
+        end = lengths.fit(at, size - (len(tail) + 2 if tail else 0))
+        chunk = "\n\n".join([tail, *parts[at:end]] if tail else parts[at:end])
+        yield chunk
+        at, tail = end, chunk[-overlap:].lstrip()
 
 
 METHODS = {"boundary": boundary_chunks, "packed": packed_chunks}

@@ -40,7 +40,7 @@ def support_tickets(envelope: DataFrame) -> DataFrame:
     rows = _parsed(envelope, _TICKET)
     return rows.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("ticket_id"), "org_id", nz("requester_id", "").alias("customer_id"),
-        F.substring(nz("subject", ""), 1, 500).alias("subject"),
+        nz("subject", "").alias("subject"),
         mapped(nz("status", "open"), TICKET_STATUS, "open").alias("status"),
         mapped(nz("priority", "normal"), TICKET_PRIORITY, "medium").alias("priority"),
         nz(F.col("metric_set.first_reply_time_in_minutes.breached"), False).alias("sla_breached"),

@@ -85,8 +85,8 @@ def approval_log(decided: DataFrame) -> DataFrame:
 
 
 def normalize_audit(log: DataFrame) -> DataFrame:
-    """Audit rows with bounded text: 4000 characters of prompt, 500 of answer."""
+    """Audit rows; prompt and answer stay whole."""
     return log.select(
-        "log_id", "session_id", "org_id", "user_name", "agent_id", F.substring("prompt", 1, 4000).alias("prompt_text"),
-        F.substring(nz("answer", ""), 1, 500).alias("response_summary"), nz("tokens_used").alias("tokens_used"),
+        "log_id", "session_id", "org_id", "user_name", "agent_id", F.col("prompt").alias("prompt_text"),
+        nz("answer", "").alias("response_summary"), nz("tokens_used").alias("tokens_used"),
         nz("latency_ms").alias("latency_ms"), "created_at")

@@ -38,8 +38,15 @@ def _names(customers: DataFrame, *extra: str) -> DataFrame:
     return customers.select(*CO, F.col("name").alias("customer"), *extra)
 
 
-def _top(df: DataFrame, order: list[Column], k: int | None) -> DataFrame:
-    return df if k is None else top_per_tenant(df, order, k)
+def _top(df: DataFrame, order: list[Column], k: int | None, keys: tuple = ("org_id",)) -> DataFrame:
+    """The first ``k`` rows per key with their rank; without ``k`` all rows, unranked."""
+    if k is None:
+        return df
+    return top_per_tenant(df, order, k) if keys == ("org_id",) else top_per(df, list(keys), order, k, "rank")
+
+
+def _listed(df: DataFrame, *columns) -> DataFrame:
+    return df.select(*columns, *(["rank"] if "rank" in df.columns else []))
 
 
 # -- home ----------------------------------------------------------------------
@@ -106,15 +113,15 @@ def what_if(c360: DataFrame, *, retain_pct: int = 20, avg_arr: int = 50000, upse
 
 
 # -- customer page -------------------------------------------------------------
-def event_breakdown(events: DataFrame, *, days: int = 14, k: int = 20, as_of=AS_OF) -> DataFrame:
+def event_breakdown(events: DataFrame, *, days: int = 14, k: int | None = None, as_of=AS_OF) -> DataFrame:
     daily = events.filter(F.col("occurred_at") >= ago(as_of, days=days)).groupBy(*CO, F.to_date("occurred_at").alias("day"), "event_type", "feature_name") \
         .agg(F.count(F.lit(1)).alias("n"))
-    return top_per(daily, CO, [F.col("day").desc(), F.col("event_type"), F.col("feature_name")], k, "rank")
+    return _top(daily, [F.col("day").desc(), F.col("event_type"), F.col("feature_name")], k, tuple(CO))
 
 
-def customer_tickets(tickets: DataFrame, *, k: int = 10) -> DataFrame:
+def customer_tickets(tickets: DataFrame, *, k: int | None = None) -> DataFrame:
     order = [F.when(F.col("status") == "open", 0).otherwise(1), F.col("created_at").desc(), F.col("ticket_id")]
-    return top_per(tickets, CO, order, k, "rank").select(*CO, "ticket_id", "subject", "status", "priority", nz("sentiment_label", "neutral").alias("sentiment_label"), "sla_breach", "created_at", "rank")
+    return _listed(_top(tickets, order, k, tuple(CO)), *CO, "ticket_id", "subject", "status", "priority", nz("sentiment_label", "neutral").alias("sentiment_label"), "sla_breach", "created_at")
 
 
 def active_subscriptions(subscriptions: DataFrame) -> DataFrame:
@@ -143,10 +150,10 @@ def expiring_contracts(intelligence: DataFrame, *, k: int = 10) -> DataFrame:
     return _top(due, [F.col("days_to_expiry"), F.col("document_id")], k).select("org_id", "document_id", "contract_name", "customer_name", "end_date", "auto_renewal", "days_to_expiry", "rank")
 
 
-def open_approvals(queue: DataFrame, *, k: int = 30, as_of=AS_OF) -> DataFrame:
+def open_approvals(queue: DataFrame, *, k: int | None = None, as_of=AS_OF) -> DataFrame:
     live = queue.filter((F.col("status") == "pending") & (F.col("expires_at") > ts(as_of)))
     order = [mapped(F.col("risk_level"), RISK_RANK, 4), F.col("created_at"), F.col("approval_id")]
-    return _top(live, order, k).select("org_id", "approval_id", "action_type", "risk_level", hours_between(ts(as_of), F.col("expires_at")).alias("hours_remaining"), "created_at", "rank")
+    return _listed(_top(live, order, k), "org_id", "approval_id", "action_type", "risk_level", hours_between(ts(as_of), F.col("expires_at")).alias("hours_remaining"), "created_at")
 
 
 # -- operations ----------------------------------------------------------------
@@ -194,8 +201,10 @@ def pipeline_by_type(scores: DataFrame) -> DataFrame:
 
 
 # -- admin and agents ------------------------------------------------------------
-def recent_log(log: DataFrame, columns: list[str], *, days_back: int = 30, k: int = 200, as_of=AS_OF) -> DataFrame:
-    return _top(where(log, days_back=days_back, as_of=as_of), [F.col("created_at").desc(), F.col("log_id")], k).select("org_id", "log_id", "created_at", *columns, "rank")
+def recent_log(log: DataFrame, columns: list[str], *, days_back: int | None = None, k: int | None = None, as_of=AS_OF) -> DataFrame:
+    """Log rows of every tenant; ``days_back`` and ``k`` (newest first) bound the list on request."""
+    rows = where(log, days_back=days_back, as_of=as_of)
+    return _listed(_top(rows, [F.col("created_at").desc(), F.col("log_id")], k), "org_id", "log_id", "created_at", *columns)
 
 
 def log_stats(prompts: DataFrame, access: DataFrame) -> DataFrame:
@@ -212,10 +221,10 @@ def agent_stats(sessions: DataFrame, *, as_of=AS_OF) -> DataFrame:
         F.count_if(week).alias("sessions_7d"), F.round(F.avg("message_count"), 2).alias("avg_messages"))
 
 
-def customer_list(c360: DataFrame, *, limit: int = 200, **filters) -> DataFrame:
+def customer_list(c360: DataFrame, *, limit: int | None = None, **filters) -> DataFrame:
     rows = where(c360, **filters)
-    return _top(rows, [F.col("arr").desc_nulls_last(), F.col("customer_id")], min(limit, 200)).select(
-        *CO, "customer_name", "health_score", "churn_risk_level", "arr", "segment", "nearest_renewal_date", "rank")
+    return _listed(_top(rows, [F.col("arr").desc_nulls_last(), F.col("customer_id")], limit),
+                   *CO, "customer_name", "health_score", "churn_risk_level", "arr", "segment", "nearest_renewal_date")
 
 
 # -- digests ---------------------------------------------------------------------

@@ -247,7 +247,7 @@ def _(t):
 
 
 @query("w3_normalize_audit", """
-SELECT log_id, session_id, org_id, user_name, agent_id, substring(prompt, 1, 4000) AS prompt_text, substring(coalesce(answer, ''), 1, 500) AS response_summary,
+SELECT log_id, session_id, org_id, user_name, agent_id, prompt AS prompt_text, coalesce(answer, '') AS response_summary,
   tokens_used, latency_ms, created_at FROM b_prompt_log""", times="created_at")
 def _(t):
     return wf.normalize_audit(t.prompt_log)

@@ -117,7 +117,7 @@ def _(t):
 # -- normalisers ---------------------------------------------------------------
 define("m_desk", f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, org_id, CAST(o_custkey AS VARCHAR) AS customer_id,
-  substring('Order ' || o_orderkey || ' ' || repeat('x', CAST(o_orderkey % 700 AS INT)), 1, 500) AS subject,
+  'Order ' || o_orderkey || ' ' || repeat('x', CAST(o_orderkey % 700 AS INT)) AS subject,
   CASE WHEN v > 0 OR o_orderkey % 7 IN (4, 5) THEN 'resolved' ELSE 'open' END AS status,
   CASE o_orderkey % 5 WHEN 0 THEN 'low' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' ELSE 'medium' END AS priority,
   o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 AS sla_breached, o_orderdate AS created_at,

@@ -177,11 +177,11 @@ def _(t):
 
 
 @query("f6_order_nulls", """
-SELECT org_id, priority, recommendation_id, expected_impact_usd, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id
-  ORDER BY CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, expected_impact_usd DESC NULLS LAST, recommendation_id) AS rank FROM b_recommendations) WHERE rank <= 100""", nums="expected_impact_usd")
+SELECT org_id, priority, recommendation_id, expected_impact_usd FROM b_recommendations
+ORDER BY org_id, CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, expected_impact_usd DESC NULLS LAST, recommendation_id""", nums="expected_impact_usd")
 def _(t):
-    order = [cb.mapped(F.col("priority"), {"HIGH": 1, "MEDIUM": 2}, 3), F.col("expected_impact_usd").desc_nulls_last(), F.col("recommendation_id")]
-    return la.top_per_tenant(t.recommendations, order, 100).select("org_id", "priority", "recommendation_id", "expected_impact_usd", "rank")
+    order = [F.col("org_id"), cb.mapped(F.col("priority"), {"HIGH": 1, "MEDIUM": 2}, 3), F.col("expected_impact_usd").desc_nulls_last(), F.col("recommendation_id")]
+    return t.recommendations.orderBy(*order).select("org_id", "priority", "recommendation_id", "expected_impact_usd")
 
 
 @query("f7_top_k", "SELECT customer_id, arr FROM b_customers ORDER BY arr DESC, customer_id LIMIT 50", nums="arr")

@@ -86,17 +86,14 @@ def _(t):
 
 # -- customer page ---------------------------------------------------------------
 @query("q10_event_breakdown", f"""
-SELECT * FROM (SELECT customer_id, org_id, CAST(occurred_at AS DATE) AS day, event_type, feature_name, count(*) AS n,
-  row_number() OVER (PARTITION BY customer_id, org_id ORDER BY CAST(occurred_at AS DATE) DESC, event_type, feature_name) AS rank
-  FROM b_product_events WHERE occurred_at >= {T0} - INTERVAL 14 DAYS GROUP BY 1, 2, 3, 4, 5) WHERE rank <= 20""", dates="day")
+SELECT customer_id, org_id, CAST(occurred_at AS DATE) AS day, event_type, feature_name, count(*) AS n
+  FROM b_product_events WHERE occurred_at >= {T0} - INTERVAL 14 DAYS GROUP BY 1, 2, 3, 4, 5""", dates="day")
 def _(t):
     return r.event_breakdown(t.product_events)
 
 
 @query("q11_customer_tickets", """
-SELECT customer_id, org_id, ticket_id, subject, status, priority, sentiment_label, sla_breach, created_at, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY customer_id, org_id ORDER BY CASE WHEN status = 'open' THEN 0 ELSE 1 END, created_at DESC, ticket_id) AS rank FROM b_tickets)
-WHERE rank <= 10""", times="created_at")
+SELECT customer_id, org_id, ticket_id, subject, status, priority, sentiment_label, sla_breach, created_at FROM b_tickets""", times="created_at")
 def _(t):
     return r.customer_tickets(t.tickets)
 
@@ -154,9 +151,7 @@ def _(t):
 
 
 @query("q16_open_approvals", f"""
-SELECT org_id, approval_id, action_type, risk_level, hours_remaining, created_at, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id
-  ORDER BY CASE risk_level WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, created_at, approval_id) AS rank
-  FROM m_approvals WHERE status = 'pending' AND expires_at > {T0}) WHERE rank <= 30""", times="created_at")
+SELECT org_id, approval_id, action_type, risk_level, hours_remaining, created_at FROM m_approvals WHERE status = 'pending' AND expires_at > {T0}""", times="created_at")
 def _(t):
     return r.open_approvals(wf.apply_approval_events(wf.submit(t.approvals), t.approval_events))
 
@@ -221,14 +216,12 @@ def _(t):
 
 # -- admin and agents --------------------------------------------------------------
 def _log_sql(table, cols):
-    return f"""SELECT org_id, log_id, created_at, {cols}, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY created_at DESC, log_id) AS rank
-  FROM {table} WHERE created_at >= {T0} - INTERVAL 30 DAYS) WHERE rank <= 200"""
+    return f"SELECT org_id, log_id, created_at, {cols} FROM {table}"
 
 
-@query("q22_analyst_log", _log_sql("b_prompt_log", "user_name, session_id, substring(prompt, 1, 200) AS preview, latency_ms"), times="created_at")
+@query("q22_analyst_log", _log_sql("b_prompt_log", "user_name, session_id, prompt, latency_ms"), times="created_at")
 def _(t):
-    log = t.prompt_log.withColumn("preview", F.substring("prompt", 1, 200))
-    return r.recent_log(log, ["user_name", "session_id", "preview", "latency_ms"])
+    return r.recent_log(t.prompt_log, ["user_name", "session_id", "prompt", "latency_ms"])
 
 
 @query("q22_access_log", _log_sql("b_access_log", "user_name, resource_type, success"), times="created_at")
@@ -251,16 +244,14 @@ def _(t):
 
 
 @query("q23_session_list", """
-SELECT org_id, log_id, created_at, agent_type, user_name, message_count, rank FROM (SELECT *, session_id AS log_id, started_at AS created_at,
-  row_number() OVER (PARTITION BY org_id ORDER BY started_at DESC, session_id) AS rank FROM b_agent_sessions) WHERE rank <= 20""", times="created_at")
+SELECT org_id, session_id AS log_id, started_at AS created_at, agent_type, user_name, message_count FROM b_agent_sessions""", times="created_at")
 def _(t):
     log = t.agent_sessions.withColumns({"log_id": F.col("session_id"), "created_at": F.col("started_at")})
-    return r.recent_log(log, ["agent_type", "user_name", "message_count"], k=20)
+    return r.recent_log(log, ["agent_type", "user_name", "message_count"])
 
 
 @query("q24_customer_list", """
-SELECT customer_id, org_id, customer_name, health_score, churn_risk_level, arr, segment, nearest_renewal_date, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY arr DESC NULLS LAST, customer_id) AS rank FROM m_c360 WHERE churn_risk_level = 'HIGH') WHERE rank <= 200""",
+SELECT customer_id, org_id, customer_name, health_score, churn_risk_level, arr, segment, nearest_renewal_date FROM m_c360 WHERE churn_risk_level = 'HIGH'""",
        dates="nearest_renewal_date", nums="health_score arr")
 def _(t):
     return r.customer_list(c360(t), churn_risk_level="HIGH")
@@ -268,14 +259,11 @@ def _(t):
 
 # -- verified questions --------------------------------------------------------------
 @query("q25_high_risk", """
-SELECT org_id, customer_name, segment, churn_probability, arr, expected_revenue_at_risk, rank FROM (SELECT *, row_number() OVER (PARTITION BY org_id
-  ORDER BY churn_probability DESC, expected_revenue_at_risk DESC, customer_id) AS rank FROM m_c360 WHERE churn_risk_level = 'HIGH' AND lifecycle_stage <> 'churned') WHERE rank <= 20""",
+SELECT org_id, customer_name, segment, churn_probability, arr, expected_revenue_at_risk FROM m_c360 WHERE churn_risk_level = 'HIGH' AND lifecycle_stage <> 'churned'""",
        nums="churn_probability arr expected_revenue_at_risk")
 def _(t):
-    from tenantlens.operators.latest import top_per_tenant
     rows = c360(t).filter((F.col("churn_risk_level") == "HIGH") & (F.col("lifecycle_stage") != "churned"))
-    return top_per_tenant(rows, [F.col("churn_probability").desc(), F.col("expected_revenue_at_risk").desc(), F.col("customer_id")], 20) \
-        .select("org_id", "customer_name", "segment", "churn_probability", "arr", "expected_revenue_at_risk", "rank")
+    return rows.select("org_id", "customer_name", "segment", "churn_probability", "arr", "expected_revenue_at_risk")
 
 
 _LIVE = "lifecycle_stage <> 'churned'"
@@ -308,16 +296,15 @@ def _(t):
 
 
 @query("q25_pending_actions", """
-SELECT customer_id, org_id, customer_name, segment, churn_risk_level, n AS pending_actions, s AS total_expected_impact, rank FROM (
-  SELECT c.*, n, s, row_number() OVER (PARTITION BY c.org_id ORDER BY s DESC NULLS LAST, c.customer_id) AS rank FROM m_c360 c
-  JOIN (SELECT entity_id, count(*) AS n, sum(expected_impact_usd) AS s FROM b_recommendations WHERE status = 'pending' AND is_active GROUP BY 1) ON entity_id = customer_id) WHERE rank <= 20""",
+SELECT customer_id, c.org_id, customer_name, segment, churn_risk_level, n AS pending_actions, s AS total_expected_impact FROM m_c360 c
+  JOIN (SELECT entity_id, org_id, count(*) AS n, sum(expected_impact_usd) AS s FROM b_recommendations WHERE status = 'pending' AND is_active GROUP BY 1, 2) p
+  ON entity_id = customer_id AND p.org_id = c.org_id""",
        nums="total_expected_impact")
 def _(t):
-    from tenantlens.operators.latest import top_per_tenant
     pend = t.recommendations.filter((F.col("status") == "pending") & F.col("is_active")).groupBy(F.col("entity_id").alias("customer_id"), "org_id").agg(
         F.count(F.lit(1)).alias("pending_actions"), F.sum("expected_impact_usd").alias("total_expected_impact"))
-    best = top_per_tenant(c360(t).join(pend, ["customer_id", "org_id"]), [F.col("total_expected_impact").desc_nulls_last(), F.col("customer_id")], 20)
-    return best.select("customer_id", "org_id", "customer_name", "segment", "churn_risk_level", "pending_actions", "total_expected_impact", "rank")
+    return c360(t).join(pend, ["customer_id", "org_id"]).select(
+        "customer_id", "org_id", "customer_name", "segment", "churn_risk_level", "pending_actions", "total_expected_impact")
 
 
 _KPI = "total_arr total_mrr arr_at_risk renewals_90d_arr total_expected_impact"
@@ -457,9 +444,9 @@ def _(t):
     return me.model_metric("interactions", t.interactions, ["interaction_count"], ["channel"])
 
 
-@query("q27_ops_daily_interactions", "SELECT CAST(occurred_at AS DATE) AS day, count(*) AS n FROM b_interactions GROUP BY 1 ORDER BY 1 DESC LIMIT 30", dates="day")
+@query("q27_ops_daily_interactions", "SELECT CAST(occurred_at AS DATE) AS day, count(*) AS n FROM b_interactions GROUP BY 1", dates="day")
 def _(t):
-    return t.interactions.groupBy(F.to_date("occurred_at").alias("day")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("day").desc()).limit(30)
+    return t.interactions.groupBy(F.to_date("occurred_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q28_risk_digest", """
@@ -581,18 +568,25 @@ def _(t):
     return ch.score_churn(ch.fit_churn(features), features)
 
 
-_RULES = "concat_ws('|', " + ", ".join(f"CASE WHEN {c} {op} {b} THEN '{name}' END" for name, (c, op, b) in ch.DRIVER_RULES.items()) + ")"
+# Written out, so that a wrong constant in the rules shows.
+_RULES = """concat_ws('|', CASE WHEN health_score < 40 THEN 'critical_health_score' END, CASE WHEN nps_score < -20 THEN 'very_low_nps' END,
+  CASE WHEN active_days_30d < 5 THEN 'low_engagement' END, CASE WHEN days_since_last_activity > 14 THEN 'long_inactivity' END,
+  CASE WHEN sla_breaches > 2 THEN 'repeated_sla_breaches' END, CASE WHEN open_tickets > 3 THEN 'ticket_backlog' END, CASE WHEN mrr < 100 THEN 'low_mrr' END)"""
 
 
 @query("m2_risk_rules", f"""
 SELECT customer_id, org_id, churn_probability, risk_level, top_drivers,
-  CASE WHEN risk_level = 'HIGH' AND (contains(top_drivers, 'low_engagement') OR contains(top_drivers, 'long_inactivity')) THEN '{ch.ACTIONS['engage']}'
-    WHEN risk_level = 'HIGH' AND contains(top_drivers, 'repeated_sla_breaches') THEN '{ch.ACTIONS['sla']}' WHEN risk_level = 'HIGH' THEN '{ch.ACTIONS['contact']}'
-    WHEN risk_level = 'MEDIUM' AND contains(top_drivers, 'very_low_nps') THEN '{ch.ACTIONS['nps']}' WHEN risk_level = 'MEDIUM' THEN '{ch.ACTIONS['cadence']}' ELSE '{ch.ACTIONS['keep']}' END AS recommended_action,
-  CAST(mrr * 12 * churn_probability AS DECIMAL(18,2)) AS expected_revenue_at_risk, '{ch.MODEL_VERSION}' AS model_version, {T0} AS scored_at
+  CASE risk_level
+    WHEN 'HIGH' THEN CASE coalesce(nullif(list_filter(string_split(top_drivers, '|'), lambda d: d IN ('low_engagement', 'long_inactivity', 'repeated_sla_breaches'))[1], ''), '-')
+      WHEN 'repeated_sla_breaches' THEN 'Open a service recovery case with the support lead'
+      WHEN '-' THEN 'Offer a renewal conversation before the end of the month' ELSE 'Call the sponsor this week and agree on a usage plan' END
+    WHEN 'MEDIUM' THEN CASE WHEN list_contains(string_split(top_drivers, '|'), 'very_low_nps') THEN 'Ask for the reasons behind the survey score'
+      ELSE 'Check in every two weeks until the score recovers' END
+    ELSE 'No action, look again at the next renewal' END AS recommended_action,
+  CAST(mrr * 12 * churn_probability AS DECIMAL(18,2)) AS expected_revenue_at_risk, '1.0.0-lr' AS model_version, {T0} AS scored_at
 FROM (SELECT customer_id, org_id, CAST(churn_probability AS DECIMAL(5,4)) AS churn_probability, CAST(mrr AS DECIMAL(18,2)) AS mrr,
     CASE WHEN churn_probability >= 0.65 THEN 'HIGH' WHEN churn_probability >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
-    CASE WHEN rules = '' THEN '{ch.DEFAULT_DRIVER}' ELSE array_to_string(list_slice(string_split(rules, '|'), 1, 3), '|') END AS top_drivers
+    CASE WHEN rules = '' THEN 'moderate_risk_profile' ELSE array_to_string(list_slice(string_split(rules, '|'), 1, 3), '|') END AS top_drivers
   FROM (SELECT *, {_RULES} AS rules FROM m_features))""", times="scored_at", nums="churn_probability expected_revenue_at_risk")
 def _(t):
     return ch.score_rows(p.churn_features(c360(t)), F.col("churn_probability"))

@@ -45,11 +45,11 @@ def test_drivers_are_ranked_and_limited(frame):
 
 
 @pytest.mark.parametrize("risk,drivers,action", [
-    ("HIGH", ["low_engagement"], "engage"), ("HIGH", ["repeated_sla_breaches"], "sla"), ("HIGH", ["low_mrr"], "contact"),
-    ("MEDIUM", ["very_low_nps"], "nps"), ("MEDIUM", ["low_mrr"], "cadence"), ("LOW", ["very_low_nps"], "keep")])
+    ("HIGH", ["low_engagement"], "low_engagement"), ("HIGH", ["low_mrr", "repeated_sla_breaches"], "repeated_sla_breaches"), ("HIGH", ["low_mrr"], "any"),
+    ("MEDIUM", ["low_mrr", "very_low_nps"], "very_low_nps"), ("MEDIUM", ["low_mrr"], "any"), ("LOW", ["very_low_nps"], "any"), ("HIGH", [], "any")])
 def test_actions(frame, risk, drivers, action):
     df = frame([(risk, drivers)], "r string, d array<string>")
-    assert df.select(ch.recommended_action(F.col("r"), F.col("d"))).first()[0] == ch.ACTIONS[action]
+    assert df.select(ch.recommended_action(F.col("r"), F.col("d"))).first()[0] == ch.ACTIONS[risk, action]
 
 
 def test_score_rows_clamps_and_prices(frame):
