@@ -173,9 +173,10 @@ def merge_feed(target: DataFrame | None, envelope: DataFrame, feed: str, *, stam
     times and would otherwise parse the JSON as often.
     """
     f = FEEDS[feed]
-    rows = dedupe(project(envelope, feed, as_of=as_of), [f.key], ("loaded_at",))
+    keys = [f.key, "org_id"]  # two tenants may use one source id
+    rows = dedupe(project(envelope, feed, as_of=as_of), keys, ("loaded_at",))
     extra = {"status": F.lit("completed")} if f.key == "transaction_id" else {}
     always = {**extra, "updated_at": stamp}
     if target is None:
         return rows.drop("loaded_at").withColumns(always)
-    return merge_upsert(target, materialize(rows), [f.key], list(f.updates), order_by=(), on_update=always, on_insert=always)
+    return merge_upsert(target, materialize(rows), keys, list(f.updates), order_by=(), on_update=always, on_insert=always)

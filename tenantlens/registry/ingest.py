@@ -267,7 +267,7 @@ def _(t):
     env = en.envelopes(t, "sap_customers")
     base = no.project(env.filter(F.col("loaded_at") <= first_load()), "sap_customers")
     later = no.project(mg.changes_since(env, first_load()), "sap_customers")
-    return mg.insert_absent(base, later, ["customer_id"]).select("customer_id", "name")
+    return mg.insert_absent(base, later, ["customer_id", "org_id"]).select("customer_id", "name")
 
 
 @query("k5_trailing_reprocess", f"""
@@ -306,9 +306,9 @@ def _(t):
     path, feed = scratch(t), "sap_customers"
     env = en.envelopes(t, feed)
     base = no.merge_feed(None, env.filter(F.col("loaded_at") <= first_load()), feed, stamp=first_load())
-    sinks.create_merge_table(base, path, ["customer_id"], 16)
+    sinks.create_merge_table(base, path, ["customer_id", "org_id"], rows_per_bucket=100)
     stamp = {"updated_at": ts(AS_OF)}
-    sinks.merge_into(t.spark, path, no.project(mg.changes_since(env, first_load()), feed), ["customer_id"], ["name", "email"], buckets=16, on_update=stamp, on_insert=stamp)
+    sinks.merge_into(t.spark, path, no.project(mg.changes_since(env, first_load()), feed), ["name", "email"], on_update=stamp, on_insert=stamp)
     return sinks.read_merge_table(t.spark, path)
 
 
@@ -380,9 +380,9 @@ def _(t):
     feed, out = "sap_customers", scratch(t)
     env = en.envelopes(t, feed)
     base = no.merge_feed(None, env.filter(F.col("loaded_at") <= first_load()), feed, stamp=first_load())
-    sinks.create_merge_table(base, f"{out}/table", ["customer_id"], 16)
+    sinks.create_merge_table(base, f"{out}/table", ["customer_id", "org_id"], rows_per_bucket=100)
     mg.changes_since(env, first_load()).write.parquet(f"{out}/changes")
     stream = t.spark.readStream.schema(sc.ENVELOPE).parquet(f"{out}/changes")
     stamp = {"updated_at": ts(AS_OF)}
-    jobs.run(jobs.start_merge(no.project(stream, feed), f"{out}/table", f"{out}/ck", ["customer_id"], ["name", "email"], on_update=stamp, on_insert=stamp))
+    jobs.run(jobs.start_merge(no.project(stream, feed), f"{out}/table", f"{out}/ck", ["name", "email"], on_update=stamp, on_insert=stamp))
     return sinks.read_merge_table(t.spark, f"{out}/table")

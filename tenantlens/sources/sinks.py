@@ -11,6 +11,8 @@ from tenantlens.operators.merge import dedupe, merge_upsert
 from tenantlens.settings import checkpoint_root
 
 BUCKET = "_bucket"
+LAYOUT = "_layout"  # beside the buckets; readers of the table skip it
+ROWS_PER_BUCKET = 500_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -55,19 +57,29 @@ def with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
 
-def create_merge_table(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    full_refresh(with_bucket(df, keys, buckets), path, [BUCKET])
+def create_merge_table(df: DataFrame, path: str, keys: list[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+    """Write a table that ``merge_into`` can update.
+
+    The number of buckets follows the number of rows, and is stored with the
+    keys beside the table, so every later merge uses the same ones.
+    """
+    rows = materialize(df)
+    buckets = max(1, -(-rows.count() // rows_per_bucket))
+    full_refresh(with_bucket(rows, keys, buckets), path, [BUCKET])
+    df.sparkSession.createDataFrame([(buckets, list(keys))], "buckets int, keys array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
 
 
-def merge_into(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], update_cols: list[str] | None = None, *,
-               buckets: int = 64, order_by: tuple[str, ...] = ("loaded_at",), on_update=None, on_insert=None) -> None:
-    """Merge a batch into a bucketed Parquet table.
+def merge_into(spark: SparkSession, path: str, batch: DataFrame, update_cols: list[str] | None = None, *,
+               order_by: tuple[str, ...] = ("loaded_at",), on_update=None, on_insert=None) -> None:
+    """Merge a batch into a table made by ``create_merge_table``.
 
     Only the buckets the batch touches are read and rewritten. The bucket
-    numbers are the one thing collected; there are at most ``buckets`` of
-    them. The deduplicated batch is staged once because the merge refers to
-    it three times. Rerunning a batch after a failure gives the same table.
+    numbers are the one thing collected; there are at most as many as the
+    table has. The deduplicated batch is staged once because the merge refers
+    to it three times. The buckets are replaced in place: keep a copy of the
+    table where a failure while they are written must not lose any.
     """
+    buckets, keys = spark.read.parquet(f"{path}/{LAYOUT}").first()
     source = materialize(with_bucket(dedupe(batch, keys, order_by), keys, buckets))
     touched = [r[0] for r in source.select(BUCKET).distinct().collect()]
     if not touched:

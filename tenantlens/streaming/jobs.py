@@ -73,12 +73,12 @@ def start_latest_health(events: DataFrame, path: str, checkpoint: str) -> Stream
     return _start_updates(last.select("customer_id", "org_id", "m.event_ts", "m.new_score", "m.score_driver"), path, checkpoint)
 
 
-def start_merge(rows: DataFrame, path: str, checkpoint: str, keys: list[str], update_cols: list[str], *, buckets: int = 16,
+def start_merge(rows: DataFrame, path: str, checkpoint: str, update_cols: list[str], *,
                 order_by: tuple[str, ...] = ("loaded_at",), on_update=None, on_insert=None) -> StreamingQuery:
     """CDC upsert: merge every micro-batch into a bucketed Parquet table."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        merge_into(batch.sparkSession, path, batch, keys, update_cols, buckets=buckets, order_by=order_by,
+        merge_into(batch.sparkSession, path, batch, update_cols, order_by=order_by,
                    on_update=on_update, on_insert=on_insert)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()

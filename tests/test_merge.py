@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tenantlens.operators import merge as mg
+from tenantlens.operators import merge as mg, normalize as no
 from tenantlens.settings import AS_OF, checkpoint_root
 from tenantlens.sources import sinks
 
@@ -54,18 +54,42 @@ def test_rejects(batch):
 
 def test_bucketed_merge_equals_pure_merge(spark, target, batch):
     path = f"{checkpoint_root(spark)}/merge-{dt.datetime.now().timestamp()}"
-    sinks.create_merge_table(target, path, ["id"], 4)
-    sinks.merge_into(spark, path, batch, ["id"], buckets=4)
+    sinks.create_merge_table(target, path, ["id"], rows_per_bucket=1)
+    sinks.merge_into(spark, path, batch)
     want = rows(mg.merge_upsert(target, batch, ["id"]).na.fill("-"))
     assert rows(sinks.read_merge_table(spark, path).select("id", "a", "b").na.fill("-")) == want
-    sinks.merge_into(spark, path, batch, ["id"], buckets=4)
+    sinks.merge_into(spark, path, batch)
     assert rows(sinks.read_merge_table(spark, path).select("id", "a", "b").na.fill("-")) == want
 
 
+def test_many_small_merges_never_repeat_a_key(spark):
+    path = f"{checkpoint_root(spark)}/merge-{dt.datetime.now().timestamp()}"
+    rows_of = lambda a, b, v: spark.range(a, b).selectExpr("id", "'o' || id % 3 AS org_id", f"{v} AS x", "1 AS loaded_at")
+    sinks.create_merge_table(rows_of(0, 200, 0), path, ["id", "org_id"], rows_per_bucket=3)
+    for k in range(3):
+        sinks.merge_into(spark, path, rows_of(150 + 20 * k, 200 + 20 * k, k + 1))
+    got = sinks.read_merge_table(spark, path)
+    assert got.count() == got.select("id", "org_id").distinct().count() == 240 and "buckets" not in got.columns
+
+
+def test_tenants_with_one_source_id_stay_apart(spark):
+    load = lambda org, name, hour: (org, f'{{"CustomerID": 1, "Name": "{name}", "Email": "{name}@x"}}', dt.datetime(2024, 1, 30, hour))
+    frame = lambda *r: spark.createDataFrame(r, "org_id string, raw_data string, loaded_at timestamp")
+    stamp = F.lit(dt.datetime(2024, 1, 31))
+    first = no.merge_feed(None, frame(load("A", "a1", 1), load("B", "b1", 2)), "sap_customers", stamp=stamp)
+    assert rows(first, "customer_id", "org_id", "name") == [("SAP-1", "A", "a1"), ("SAP-1", "B", "b1")]
+    later = frame(load("B", "b2", 3))
+    assert rows(no.merge_feed(first, later, "sap_customers", stamp=stamp), "customer_id", "org_id", "name") == [("SAP-1", "A", "a1"), ("SAP-1", "B", "b2")]
+    path = f"{checkpoint_root(spark)}/merge-{dt.datetime.now().timestamp()}"
+    sinks.create_merge_table(first, path, ["customer_id", "org_id"])
+    sinks.merge_into(spark, path, no.project(later, "sap_customers"), ["name", "email"])
+    assert rows(sinks.read_merge_table(spark, path), "org_id", "name") == [("A", "a1"), ("B", "b2")]
+
+
 def test_empty_batch_changes_nothing(spark, target, batch):
     path = f"{checkpoint_root(spark)}/merge-{dt.datetime.now().timestamp()}"
-    sinks.create_merge_table(target, path, ["id"], 4)
-    sinks.merge_into(spark, path, batch.filter("false"), ["id"], buckets=4)
+    sinks.create_merge_table(target, path, ["id"], rows_per_bucket=1)
+    sinks.merge_into(spark, path, batch.filter("false"))
     assert sinks.read_merge_table(spark, path).count() == 3
 
 
