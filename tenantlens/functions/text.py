@@ -77,27 +77,39 @@ def words(col: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(r"[a-z]+"), F.lit(0))
 
 
-def _hits(tokens: Column, vocabulary: list[str]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(vocabulary)))
-
-
 def sentiment_score(col: Column | str, positive=POSITIVE, negative=NEGATIVE) -> Column:
     """(positive - negative) / hits over the whole text, 0 without any hit.
 
     Counts run inside the row with array functions: no explode, no shuffle.
     """
     tokens = words(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")))
-    up, down = _hits(tokens, positive), _hits(tokens, negative)
-    total = up + down
-    return F.when(total > 0, F.round((up - down) / total, 3)).otherwise(F.lit(0.0))
+    # one fold over the tokens: the text is split once, whatever the result refers to
+    zero = F.struct(F.lit(0).alias("up"), F.lit(0).alias("down"))
+    counted = F.aggregate(tokens, zero, lambda a, t: F.struct((a.up + t.isin(positive).cast("int")).alias("up"), (a.down + t.isin(negative).cast("int")).alias("down")),
+                          lambda a: F.when(a.up + a.down > 0, F.round((a.up - a.down) / (a.up + a.down), 3)).otherwise(F.lit(0.0)))
+    return counted
+
+
+def best_label(col: Column | str, vocabulary=LABEL_WORDS) -> Column:
+    """Struct (score, rank, label) of the label with the largest share, the first listed of equals; null score without hits.
+
+    One fold over the tokens counts all labels, so the text is split once.
+    """
+    return F.aggregate(words(col), _no_hits(vocabulary), lambda a, t: _count(a, t, vocabulary), lambda a: F.array_max(F.array(*[
+        F.struct(F.round(a[f"n{i}"] / _all_hits(a, vocabulary), 4).alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
+        for i, label in enumerate(vocabulary)])))
+
+
+def _no_hits(vocabulary) -> Column:
+    return F.struct(*[F.lit(0).alias(f"n{i}") for i in range(len(vocabulary))])
+
+
+def _count(a: Column, token: Column, vocabulary) -> Column:
+    return F.struct(*[(a[f"n{i}"] + token.isin(terms).cast("int")).alias(f"n{i}") for i, terms in enumerate(vocabulary.values())])
 
 
-def label_scores(col: Column | str, vocabulary=LABEL_WORDS) -> dict[str, Column]:
-    """Share of keyword hits per label; NULL when the text has none."""
-    tokens = words(col)
-    counts = {label: _hits(tokens, terms) for label, terms in vocabulary.items()}
-    total = reduce(lambda a, b: a + b, counts.values())
-    return {label: n / F.nullif(total, F.lit(0)) for label, n in counts.items()}
+def _all_hits(a: Column, vocabulary) -> Column:
+    return F.nullif(reduce(lambda x, y: x + y, [a[f"n{i}"] for i in range(len(vocabulary))]), F.lit(0))
 
 
 def sentences(col: Column | str) -> Column:

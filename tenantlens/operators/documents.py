@@ -77,11 +77,7 @@ def classify(docs: DataFrame, *, min_score: float = 0.6, vocabulary=tx.LABEL_WOR
 
     Ties go to the label listed first.
     """
-    scores = tx.label_scores("extracted_text", vocabulary)
-    ranked = F.array_max(F.array(*[
-        F.struct(F.round(s, 4).alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
-        for i, (label, s) in enumerate(scores.items())]))
-    out = docs.withColumn("_best", ranked)
+    out = docs.withColumn("_best", tx.best_label("extracted_text", vocabulary))
     score, label = nz(F.col("_best.score"), 0.0), F.when(F.col("_best.score").isNotNull(), F.col("_best.label"))
     given = F.lower(nz("document_type", "other"))
     return out.select(
@@ -116,13 +112,14 @@ def extract_contract_fields(docs: DataFrame) -> DataFrame:
         flags.alias("risk_flags"), (~found).alias("parse_error"), F.lit("completed").alias("extraction_status"))
 
 
-def pending(items: DataFrame, done: DataFrame, key: str, *, text: str | None = None, min_chars: int = 0, limit: int | None = None,
+def pending(items: DataFrame, done: DataFrame, key: str | list[str], *, text: str | None = None, min_chars: int = 0, limit: int | None = None,
             order: str = "created_at") -> DataFrame:
     """Items without a result yet; ``limit`` bounds one run's cost, oldest first."""
-    left = items.join(done.select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    left = items.join(done.select(*keys).distinct(), keys, "left_anti")
     if text is not None:
         left = left.filter(F.length(F.trim(text)) > min_chars)
-    return left if limit is None else left.orderBy(order, key).limit(limit)
+    return left if limit is None else left.orderBy(order, *keys).limit(limit)
 
 
 def advance_status(docs: DataFrame, finished: DataFrame, failed: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def opportunity_score(customers: DataFrame, churn_scores: DataFrame, *, existing
     """
     live = customers.filter(F.col("lifecycle_stage") != "churned")
     if existing is not None:
-        current = existing.filter(F.col("scored_at") >= ago(as_of, hours=6)).select("customer_id")
-        live = live.join(current, "customer_id", "left_anti")
+        current = existing.filter(F.col("scored_at") >= ago(as_of, hours=6)).select(*CO)
+        live = live.join(current, CO, "left_anti")
     score = latest_scores(churn_scores).select(*CO, "churn_probability")
     j = live.join(score, CO, "left")
     p, arr = F.col("churn_probability"), F.col("arr")
@@ -99,9 +99,9 @@ def opportunity_score_live(customers: DataFrame, churn_scores: DataFrame, *, as_
 
 def opportunity_score_refresh(customers: DataFrame, churn_scores: DataFrame, *, existing: DataFrame, as_of=AS_OF) -> DataFrame:
     """Six-hourly refresh: score customers without a score in the last six hours."""
-    fresh = existing.filter(F.col("scored_at") > ago(as_of, hours=6)).select("customer_id").distinct()
+    fresh = existing.filter(F.col("scored_at") > ago(as_of, hours=6)).select(*CO)
     score = latest_scores(churn_scores).select(*CO, "churn_probability")
-    j = customers.join(fresh, "customer_id", "left_anti").join(score, CO, "left")
+    j = customers.join(fresh, CO, "left_anti").join(score, CO, "left")
     p, arr = F.coalesce("churn_probability", dec(0.5, 5, 4)), F.col("arr")
     return j.select(
         *CO, F.col("name").alias("customer_name"),

@@ -109,10 +109,10 @@ def as_json(df: DataFrame, keys: list[str], name: str = "payload") -> DataFrame:
 
 
 def weekly_briefing(customers: DataFrame, churn_scores: DataFrame, *, as_of=AS_OF) -> DataFrame:
-    """KPIs over the scores of the last seven days, as one JSON payload per tenant."""
-    recent = churn_scores.filter(F.col("scored_at") >= ago(as_of, days=7)).select("customer_id", "risk_level")
+    """KPIs over the customers scored in the last seven days, each once with the latest score, as one JSON payload per tenant."""
+    recent = latest_scores(churn_scores.filter(F.col("scored_at") >= ago(as_of, days=7))).select("customer_id", "org_id", "risk_level")
     high = F.col("risk_level") == "HIGH"
-    kpis = customers.join(recent, "customer_id").groupBy("org_id").agg(
+    kpis = customers.join(recent, ["customer_id", "org_id"]).groupBy("org_id").agg(
         F.count(F.lit(1)).alias("total_customers"), F.count_if(high).alias("high_risk_customers"),
         sum_if(high, F.col("arr"), dec(0, 18, 2)).alias("arr_at_risk"))
     return as_json(kpis, ["org_id"])

@@ -338,13 +338,13 @@ def customer_health_segmented(customers, churn_scores, tickets, interactions, *,
     The counts come from pre-aggregated sides, so they equal the distinct
     counts of the fanned-out form.
     """
-    open_t = tickets.filter(F.col("status") == "open").groupBy("customer_id").agg(F.count_distinct("ticket_id").alias("open_ticket_count"))
-    calls = interactions.filter(F.col("occurred_at") >= ago(as_of, days=30)).groupBy("customer_id") \
+    open_t = tickets.filter(F.col("status") == "open").groupBy(*CO).agg(F.count_distinct("ticket_id").alias("open_ticket_count"))
+    calls = interactions.filter(F.col("occurred_at") >= ago(as_of, days=30)).groupBy(*CO) \
         .agg(F.count_distinct("interaction_id").alias("interaction_count_30d"))
-    scores = churn_scores.select("customer_id", "churn_probability", "risk_level", "recommended_action").distinct()
+    scores = churn_scores.select(*CO, "churn_probability", "risk_level", "recommended_action").distinct()
     prob = F.coalesce("churn_probability", dec(0.5, 5, 4))
     return (
-        customers.join(scores, "customer_id", "left").join(open_t, "customer_id", "left").join(calls, "customer_id", "left")
+        customers.join(scores, CO, "left").join(open_t, CO, "left").join(calls, CO, "left")
         .select(
             *CO, "name", "segment", "region", "arr", "mrr", "nps_score", "lifecycle_stage", "contract_end_date",
             prob.alias("churn_risk_score"), nz("risk_level", "MEDIUM").alias("risk_level"),

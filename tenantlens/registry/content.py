@@ -222,11 +222,12 @@ def _(t):
 
 
 @query("m14_pending_chunks", """
-SELECT chunk_id, document_id, chunk_index FROM m_window_chunks k WHERE NOT EXISTS (SELECT 1 FROM b_documents d WHERE d.document_id = k.document_id
+SELECT chunk_id, document_id, chunk_index FROM m_window_chunks k WHERE NOT EXISTS (SELECT 1 FROM b_documents d WHERE d.document_id = k.document_id AND d.org_id = k.org_id
   AND d.processing_status = 'completed') AND length(trim(chunk_text)) > 20""")
 def _(t):
     done = t.documents.filter(F.col("processing_status") == "completed")
-    return doc.pending(window_chunks(t), done, "document_id", text="chunk_text", min_chars=20).select("chunk_id", "document_id", "chunk_index")
+    left = doc.pending(t.documents, done, ["document_id", "org_id"])  # texts of finished documents are not cut
+    return doc.chunk(left, method="window").filter(F.length(F.trim("chunk_text")) > 20).select("chunk_id", "document_id", "chunk_index")
 
 
 @query("m14_status_transition", """

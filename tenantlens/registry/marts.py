@@ -169,14 +169,14 @@ def _(t):
 
 # Scores that already exist: every second recommendation subject, half of them stale.
 define("m_existing_scores", f"""
-SELECT DISTINCT entity_id AS customer_id, {T0} - to_hours(CASE WHEN priority = 'HIGH' THEN 2 ELSE 12 END) AS scored_at
+SELECT DISTINCT entity_id AS customer_id, org_id, {T0} - to_hours(CASE WHEN priority = 'HIGH' THEN 2 ELSE 12 END) AS scored_at
 FROM b_recommendations WHERE priority <> 'LOW'""")
 
 
 def existing_scores(t):
     from tenantlens.functions.columns import ago
     recent = F.when(F.col("priority") == "HIGH", ago(AS_OF, hours=2)).otherwise(ago(AS_OF, hours=12))
-    return t.recommendations.filter(F.col("priority") != "LOW").select(F.col("entity_id").alias("customer_id"), recent.alias("scored_at"))
+    return t.recommendations.filter(F.col("priority") != "LOW").select(F.col("entity_id").alias("customer_id"), "org_id", recent.alias("scored_at"))
 
 
 @query("e19_opportunity_score", f"""
@@ -189,7 +189,7 @@ SELECT c.customer_id, c.org_id,
   CASE WHEN p IS NOT NULL THEN greatest(0.1, 1 - p) END AS confidence,
   'Score from churn_probability=' || p || ' ARR=' || arr || ' lifecycle=' || lifecycle_stage AS reasoning
 FROM b_customers c LEFT JOIN (SELECT customer_id, churn_probability AS p FROM m_latest_churn) h ON c.customer_id = h.customer_id
-WHERE lifecycle_stage <> 'churned' AND NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id AND r.scored_at >= {T0} - INTERVAL 6 HOURS)""",
+WHERE lifecycle_stage <> 'churned' AND NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id AND r.org_id = c.org_id AND r.scored_at >= {T0} - INTERVAL 6 HOURS)""",
        nums="opportunity_score estimated_revenue_usd confidence")
 def _(t):
     return ac.opportunity_score(t.customers, t.churn_scores, existing=existing_scores(t))
@@ -223,7 +223,7 @@ SELECT c.customer_id, c.org_id, c.name AS customer_name,
   CAST(arr * CASE WHEN p < 0.3 THEN 0.25 WHEN p < 0.5 THEN 0.1 ELSE 0.05 END AS DECIMAL(18,2)) AS estimated_revenue_usd,
   1 - p AS confidence, p AS churn_risk, contract_end_date, arr
 FROM (SELECT b.*, coalesce(h.churn_probability, 0.5) AS p FROM b_customers b LEFT JOIN m_latest_churn h ON b.customer_id = h.customer_id) c
-WHERE NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id AND r.scored_at > {T0} - INTERVAL 6 HOURS)""",
+WHERE NOT EXISTS (SELECT 1 FROM m_existing_scores r WHERE r.customer_id = c.customer_id AND r.org_id = c.org_id AND r.scored_at > {T0} - INTERVAL 6 HOURS)""",
        dates="contract_end_date", nums="opportunity_score estimated_revenue_usd confidence churn_risk arr")
 def _(t):
     return ac.opportunity_score_refresh(t.customers, t.churn_scores, existing=existing_scores(t))
@@ -305,7 +305,8 @@ def _(t):
 @query("e29b_weekly_briefing", f"""
 SELECT org_id, '{{"total_customers":' || count(*) || ',"high_risk_customers":' || count(*) FILTER (risk_level = 'HIGH') || ',"arr_at_risk":'
   || sum(CASE WHEN risk_level = 'HIGH' THEN arr ELSE 0 END)::DECIMAL(28,2) || '}}' AS payload
-FROM b_customers JOIN b_churn_scores USING (customer_id, org_id) WHERE scored_at >= {T0} - INTERVAL 7 DAYS GROUP BY org_id""")
+FROM b_customers JOIN (SELECT customer_id, org_id, risk_level FROM b_churn_scores WHERE scored_at >= {T0} - INTERVAL 7 DAYS
+  QUALIFY row_number() OVER (PARTITION BY customer_id, org_id ORDER BY scored_at DESC, score_id) = 1) USING (customer_id, org_id) GROUP BY org_id""")
 def _(t):
     return k.weekly_briefing(t.customers, t.churn_scores)
 

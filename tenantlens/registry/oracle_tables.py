@@ -88,15 +88,14 @@ CTES["b_tickets"] = f"""
 SELECT {_LINE_ID} AS ticket_id, org_id, customer_id, 'Order ' || l_orderkey AS subject,
   CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' ELSE 'pending' END AS status,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS priority,
-  CASE WHEN l_linenumber = 1 THEN 'billing' ELSE 'support' END AS category,
+  CASE WHEN l_returnflag = 'R' THEN 'return' WHEN l_linenumber = 1 THEN 'billing' ELSE 'support' END AS category,
   CAST(l_tax AS DECIMAL(4,2)) > 0.06 AS sla_breach,
   CAST(20 * CAST(l_discount AS DECIMAL(4,2)) - 1 AS DECIMAL(4,3)) AS sentiment_score,
   CASE WHEN 20 * CAST(l_discount AS DECIMAL(4,2)) - 1 > 0.2 THEN 'positive'
        WHEN 20 * CAST(l_discount AS DECIMAL(4,2)) - 1 < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-  l_shipdate + INTERVAL 8218 DAYS AS created_at,
-  CASE WHEN o_orderstatus = 'F' THEN l_shipdate + INTERVAL 8218 DAYS + to_hours(CAST(l_quantity AS INT)) END AS resolved_at
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN b_tenants ON o_custkey = custkey
-WHERE l_returnflag = 'R' AND CAST(l_shipdate AS DATE) + 8218 <= {D0}"""
+  least(l_shipdate + INTERVAL 8218 DAYS, {T0}) AS created_at,
+  CASE WHEN o_orderstatus = 'F' THEN least(l_shipdate + INTERVAL 8218 DAYS, {T0}) + to_hours(CAST(l_quantity AS INT)) END AS resolved_at
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN b_tenants ON o_custkey = custkey"""
 
 CTES["b_product_events"] = """
 SELECT 'EV-' || event_id AS event_id, org_id, customer_id,
@@ -119,7 +118,7 @@ CTES["b_health_score_events"] = """
 SELECT 'HS-' || event_id AS event_id, org_id, customer_id,
   CAST(CAST(value AS DECIMAL(12,2)) % 10 - 5 AS DECIMAL(5,2)) AS score_delta,
   CAST(CAST(value AS DECIMAL(12,2)) % 100 AS DECIMAL(5,2)) AS new_score, event_type AS score_driver, ts AS event_ts
-FROM events JOIN b_tenants ON user_id = custkey WHERE event_type = 'click'"""
+FROM events JOIN b_tenants ON user_id = custkey"""
 
 CTES["b_access_log"] = """
 SELECT 'LOG-' || event_id AS log_id, org_id, 'user-' || user_id AS user_name,
@@ -142,8 +141,7 @@ SELECT 'SC-' || c_custkey || '-' || v AS score_id, c.org_id, c.customer_id,
   'driver_' || (c_custkey % 4) AS top_driver, 'action_' || (c_custkey % 3) AS recommended_action,
   CAST(arr * CAST(((c_custkey * 7919 + v * 13) % 1000) * 0.001 AS DECIMAL(5,4)) AS DECIMAL(18,2)) AS expected_revenue_at_risk,
   {T0} - to_days(CAST(11 - v * 10 AS INT)) AS scored_at
-FROM b_customers c JOIN customer ON customer_id = 'CUST-' || c_custkey, (VALUES (0), (1)) AS versions(v)
-WHERE c_custkey % 19 <> 0"""
+FROM b_customers c JOIN customer ON customer_id = 'CUST-' || c_custkey, (VALUES (0), (1)) AS versions(v)"""
 
 CTES["b_recommendations"] = f"""
 SELECT 'REC-' || c_custkey AS recommendation_id, c.org_id, c.customer_id AS entity_id, 'customer' AS entity_type,
@@ -192,7 +190,7 @@ SELECT DISTINCT 'ORG-' || (l_suppkey % 5) AS org_id, l_partkey AS sku_id, l_supp
 
 CTES["b_promotions"] = f"""
 SELECT p_partkey AS promotion_id, p_name AS name, {D0} - 30 AS start_date, {D0} AS end_date, CAST(p_size AS BIGINT) AS discount_pct,
-  CAST(p_retailprice AS DECIMAL(18,2)) AS cost_usd FROM part WHERE p_type = 'PROMO'"""
+  CAST(p_retailprice AS DECIMAL(18,2)) AS cost_usd FROM part"""
 
 CTES["b_equipment"] = f"""
 SELECT 'ORG-' || (p_partkey % 5) AS org_id, 'EQ-' || p_partkey AS equipment_id, p_brand AS plant_id,

@@ -226,9 +226,9 @@ SELECT c.customer_id, c.org_id, c.name, c.segment, c.region, c.arr, c.mrr, c.nps
   CASE WHEN coalesce(h.churn_probability, 0.5) >= 0.7 THEN 'CRITICAL' WHEN coalesce(h.churn_probability, 0.5) >= 0.5 THEN 'AT_RISK'
     WHEN coalesce(h.churn_probability, 0.5) >= 0.3 THEN 'HEALTHY' ELSE 'CHAMPION' END AS health_segment,
   count(DISTINCT t.ticket_id) AS open_ticket_count, count(DISTINCT i.interaction_id) AS interaction_count_30d
-FROM b_customers c LEFT JOIN b_churn_scores h ON c.customer_id = h.customer_id
-LEFT JOIN b_tickets t ON c.customer_id = t.customer_id AND t.status = 'open'
-LEFT JOIN b_interactions i ON c.customer_id = i.customer_id AND i.occurred_at >= {T0} - INTERVAL 30 DAYS
+FROM b_customers c LEFT JOIN b_churn_scores h ON c.customer_id = h.customer_id AND c.org_id = h.org_id
+LEFT JOIN b_tickets t ON c.customer_id = t.customer_id AND c.org_id = t.org_id AND t.status = 'open'
+LEFT JOIN b_interactions i ON c.customer_id = i.customer_id AND c.org_id = i.org_id AND i.occurred_at >= {T0} - INTERVAL 30 DAYS
 GROUP BY ALL""", dates="contract_end_date", nums="arr mrr churn_risk_score")
 def _(t):
     return p.customer_health_segmented(t.customers, t.churn_scores, t.tickets, t.interactions)

@@ -198,19 +198,17 @@ class Tables:
 
     @cached_property
     def tickets(self) -> DataFrame:
-        # Filter on the raw column so the predicate reaches the Parquet scan.
-        lines = self.raw("lineitem").filter(
-            (F.col("l_returnflag") == "R") & (F.col("l_shipdate") < ago(self.as_of, days=SHIFT_DAYS - 1))
-        )
+        """One per order line; a line shipped after ``as_of`` is a ticket of that moment."""
+        lines = self.raw("lineitem")
         score = dec(F.lit(20) * dec("l_discount", 4, 2) - 1, 4, 3)
         status = mapped(F.col("o_orderstatus"), {"F": "resolved", "O": "open"}, "pending")
-        created = shifted_ts("l_shipdate")
+        created = F.least(shifted_ts("l_shipdate"), ts(self.as_of))
         return lines.join(self._tenant_orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             line_id().alias("ticket_id"), "org_id", "customer_id",
             F.concat(F.lit("Order "), F.col("l_orderkey")).alias("subject"),
             status.alias("status"),
             mapped(F.col("o_orderpriority"), _PRIORITY, "low").alias("priority"),
-            F.when(F.col("l_linenumber") == 1, "billing").otherwise("support").alias("category"),
+            F.when(F.col("l_returnflag") == "R", "return").when(F.col("l_linenumber") == 1, "billing").otherwise("support").alias("category"),
             (dec("l_tax", 4, 2) > dec(0.06, 4, 2)).alias("sla_breach"),
             score.alias("sentiment_score"),
             sentiment_label(score, 0.2).alias("sentiment_label"),
@@ -263,7 +261,7 @@ class Tables:
 
     @cached_property
     def health_score_events(self) -> DataFrame:
-        clicks = self._with_tenant(self.raw("events").filter(F.col("event_type") == "click"), "user_id")
+        clicks = self._user_events
         value = dec("value", 12, 2)
         return clicks.select(
             F.concat(F.lit("HS-"), F.col("event_id")).alias("event_id"), "org_id", "customer_id",
@@ -304,7 +302,7 @@ class Tables:
         base = self.customers.select(
             "customer_id", "org_id", "arr",
             F.substring("customer_id", 6, 20).cast("long").alias("k"),
-        ).filter(k % 19 != 0)  # some customers have never been scored
+        )
         p = dec(((k * 7919 + v * 13) % 1000) / F.lit(1000), 5, 4)
         rows = base.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
         return rows.select(
@@ -359,12 +357,20 @@ class Tables:
         )
 
     # -- documents -----------------------------------------------------------
+    @cached_property
+    def _document_owners(self) -> DataFrame:
+        """The 150 customers that own documents, staged so that their size is known and texts need not move."""
+        from tenantlens.sources.sinks import materialize
+
+        owners = self._with_tenant(self.raw("customer").filter(F.col("c_custkey") < 150), "c_custkey")
+        return materialize(owners.select(F.col("c_custkey").alias("entity"), "customer_id", "org_id"))
+
     @cached_property
     def documents(self) -> DataFrame:
         k = F.col("doc_id")
         kinds = dict(enumerate(["contract", "sla", "amendment", "invoice", "proposal", "nda", "other"]))
         docs = self.raw("documents").withColumn("entity", k % 150)
-        return self._with_tenant(docs, "entity").select(
+        return docs.join(self._document_owners, "entity").select(
             F.concat(F.lit("DOC-"), k).alias("document_id"), "org_id",
             F.col("customer_id").alias("entity_id"),
             F.lit("customer").alias("entity_type"),
@@ -448,7 +454,7 @@ class Tables:
 
     @cached_property
     def promotions(self) -> DataFrame:
-        return self.raw("part").filter(F.col("p_type") == "PROMO").select(
+        return self.raw("part").select(
             F.col("p_partkey").alias("promotion_id"), F.col("p_name").alias("name"),
             days_ago(self.as_of, 30).alias("start_date"), day(self.as_of).alias("end_date"),
             F.col("p_size").alias("discount_pct"), dec("p_retailprice").alias("cost_usd"),
