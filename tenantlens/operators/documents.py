@@ -14,9 +14,10 @@ from tenantlens.functions.columns import nz, stable_id
 LABELS = list(tx.LABEL_WORDS)
 
 
-def _finish(df: DataFrame, chunk_text: Column) -> DataFrame:
-    """Common chunk columns; the id derives from document and position."""
-    keep = [c for c in ("document_id", "org_id", "document_name", "document_type") if c in df.columns]
+def _finish(df: DataFrame, chunk_text: Column, all_columns: bool = False) -> DataFrame:
+    """Common chunk columns, or with ``all_columns`` all of the document's but its text; the id derives from document and position."""
+    keep = [c for c in df.columns if c not in ("extracted_text", "piece", "chunk_index", "chunks")] if all_columns else [
+        c for c in ("document_id", "org_id", "document_name", "document_type") if c in df.columns]
     return df.select(
         stable_id(F.col("document_id"), F.col("chunk_index").cast("string")).alias("chunk_id"), *keep, "chunk_index",
         chunk_text.alias("chunk_text"), F.length(chunk_text).alias("char_count"))
@@ -29,7 +30,7 @@ def chunk_paragraphs(docs: DataFrame, *, sep: str = "\n\n", min_chars: int = 50)
     return _finish(pieces.filter(F.length(F.trim("piece")) > min_chars), F.trim("piece"))
 
 
-def chunk_window(docs: DataFrame, *, size: int = 1500, overlap: int = 200) -> DataFrame:
+def chunk_window(docs: DataFrame, *, size: int = 1500, overlap: int = 200, all_columns: bool = False) -> DataFrame:
     """Fixed windows with overlap.
 
     The text is cut once into pieces of one step; a window is a piece plus the
@@ -45,7 +46,7 @@ def chunk_window(docs: DataFrame, *, size: int = 1500, overlap: int = 200) -> Da
     windows = F.transform("_p", lambda piece, i: F.concat(piece, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, overlap)))
     whole = F.when(F.length(text) <= size, F.array(text)).otherwise(windows)
     rows = parts.withColumn("_w", whole).drop("extracted_text", "_p").select("*", F.posexplode("_w").alias("chunk_index", "piece")).drop("_w")
-    return _finish(rows, F.col("piece"))
+    return _finish(rows, F.col("piece"), all_columns)
 
 
 def chunk_sequential(docs: DataFrame, *, method: str, size: int, overlap: int) -> DataFrame:
@@ -145,6 +146,19 @@ def kb_view(kb: DataFrame, *, min_chars: int = 50) -> DataFrame:
     return kb.filter("is_active").filter(F.length("content") > min_chars)
 
 
+def term_frequencies(docs: DataFrame) -> DataFrame:
+    """(document_id, org_id, term, tf): how often each word stands in each document."""
+    words = docs.select("document_id", "org_id", F.explode(F.split(F.lower("extracted_text"), r"[^\p{L}\p{N}]+")).alias("term")).filter("term != ''")
+    return words.groupBy("document_id", "org_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_weights(docs: DataFrame) -> DataFrame:
+    """(document_id, org_id, term, weight): term frequency times ln((documents + 1) / (documents with the term + 1))."""
+    tf, n = term_frequencies(docs), docs.count()
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df, "term").select("document_id", "org_id", "term", (F.col("tf") * F.log((F.lit(float(n)) + 1) / (F.col("df") + 1))).alias("weight"))
+
+
 def embed(docs: DataFrame, *, dims: int = 1 << 12) -> DataFrame:
     """TF-IDF features of the whole text with Spark ML."""
     from pyspark.ml import Pipeline

@@ -54,11 +54,13 @@ def apply_masks(df: DataFrame, table: str, role: str, policy=POLICY) -> DataFram
     return df.withColumns(masked) if masked else df
 
 
-def tenant_filter(df: DataFrame, user_org_map: DataFrame, user: str, *, is_admin: bool = False) -> DataFrame:
-    """Rows of the tenants mapped to ``user``; administrators and an empty map see everything.
+def tenant_filter(df: DataFrame, user_org_map: DataFrame, user: str, *, is_admin: bool = False, open_without_map: bool = False) -> DataFrame:
+    """Rows of the tenants mapped to ``user``; administrators see everything.
+
+    An empty map opens nothing unless ``open_without_map`` says so.
     """
     mapping = user_org_map.filter(F.col("org_id").isNotNull())
-    if is_admin or user == "SYSTEM" or mapping.isEmpty():
+    if is_admin or user == "SYSTEM" or (open_without_map and mapping.isEmpty()):
         return df
     mine = mapping.filter(F.col("user_name") == user).select("org_id").distinct()
     return df.join(mine, "org_id", "left_semi")

@@ -103,7 +103,7 @@ def mart_lag(marts: dict[str, tuple[DataFrame, str]], *, hours: int = 2, as_of=A
 
 
 def latest_results(results: DataFrame) -> DataFrame:
-    return latest_by(results, ["org_id", "table_name", "metric_name"], "measured_at")
+    return latest_by(results, ["org_id", "table_name", "metric_name"], "measured_at", ["metric_value"])
 
 
 def hourly_history(results: DataFrame, *, days: int = 7, as_of=AS_OF) -> DataFrame:

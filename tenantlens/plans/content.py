@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tenantlens.functions.columns import day, days_between, nz
+from tenantlens.operators.documents import chunk_window
 from tenantlens.settings import AS_OF
 
 CONTRACT_LIKE = ("contract", "sla", "amendment", "addendum")
@@ -32,14 +33,17 @@ def document_chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
         "document_id", "org_id", "document_name", "document_type", "processing_status", "created_at", nz("chunk_count").alias("chunk_count"))
 
 
-def contract_chunks(chunks: DataFrame, documents: DataFrame, customers: DataFrame) -> DataFrame:
-    """Chunk rows of contract-like documents with contract and customer context."""
+def contract_chunks(documents: DataFrame, customers: DataFrame) -> DataFrame:
+    """Chunk rows of contract-like documents with contract and customer context.
+
+    The names are joined to the documents before they are cut, so a text moves
+    at most once.
+    """
     docs = documents.filter(F.col("document_type").isin(*CONTRACT_LIKE)).select(
         "document_id", "org_id", F.col("document_name").alias("contract_name"), "document_type", F.col("entity_id").alias("customer_id"),
-        "end_date", "auto_renewal")
+        "end_date", "auto_renewal", "extracted_text")
     names = customers.select("customer_id", "org_id", F.col("name").alias("customer_name"))
-    body = chunks.filter(F.col("chunk_text").isNotNull()).select("chunk_id", "document_id", "chunk_index", "chunk_text")
-    return body.join(docs, "document_id").join(names, ["customer_id", "org_id"], "left")
+    return chunk_window(docs.join(names, ["customer_id", "org_id"], "left"), all_columns=True).drop("char_count")
 
 
 def document_library(documents: DataFrame, customers: DataFrame, chunks: DataFrame) -> DataFrame:

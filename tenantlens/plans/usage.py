@@ -78,8 +78,8 @@ def model_registry(log: DataFrame) -> DataFrame:
     metric name however long the log is.
     """
     per_metric = log.groupBy("model_name", "model_version", "metric_name").agg(
-        F.max("run_date").alias("last_run"), F.max_by("metric_value", "created_at").alias("value"),
-        F.max_by("dataset_split", "created_at").alias("split"))
+        F.max("run_date").alias("last_run"), F.max_by("metric_value", F.struct("created_at", "metric_value")).alias("value"),
+        F.max_by("dataset_split", F.struct("created_at", "metric_value", "dataset_split")).alias("split"))
     entries = F.array_sort(F.collect_list(F.struct("metric_name", "value")))
     return per_metric.groupBy("model_name", "model_version").agg(
         F.max("last_run").alias("last_evaluated"), F.count(F.lit(1)).alias("metric_count"),
@@ -89,7 +89,7 @@ def model_registry(log: DataFrame) -> DataFrame:
 
 def model_health(log: DataFrame, *, as_of=AS_OF) -> DataFrame:
     tested = log.filter(F.col("dataset_split").isin("test", "production"))
-    last = latest_by(tested, ["model_name", "model_version", "metric_name"], "run_date")
+    last = latest_by(tested, ["model_name", "model_version", "metric_name"], "run_date", ["metric_value", "dataset_split"])
     age = days_between(F.col("run_date"), day(as_of))
     state = (F.when(age > 30, "STALE")
              .when((F.col("metric_name") == "accuracy") & (F.col("metric_value") < 0.75), "DEGRADED")

@@ -9,8 +9,44 @@ from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0
 from tenantlens.registry.profile import c360
 
+# Values written out again, so that a wrong one in the package shows.
+HTML_STEPS = [
+    (r"<script[^>]*>[\s\S]*?</script>", ""),
+    (r"<style[^>]*>[\s\S]*?</style>", ""),
+    (r"<[^>]+>", " "),
+    (r"&nbsp;", " "),
+    (r"&lt;", "<"),
+    (r"&gt;", ">"),
+    (r"&amp;", "&"),
+    (r"\s{3,}", "\n\n"),
+]
+POSITIVE = ["good", "great", "excellent", "happy", "love", "thanks", "resolved", "fast", "helpful", "easy",
+            "reliable", "perfect", "pleased", "improved", "success", "recommend", "smooth", "best"]
+NEGATIVE = ["bad", "poor", "terrible", "angry", "hate", "broken", "slow", "error", "failed", "issue", "problem",
+            "outage", "refund", "cancel", "worst", "trash", "idiot", "late", "unacceptable"]
+LABEL_WORDS = {
+    "contract": ["agreement", "contract", "parties", "term", "termination"],
+    "sla": ["uptime", "availability", "response", "resolution"],
+    "amendment": ["amendment", "amended", "supersedes"],
+    "invoice": ["invoice", "billed", "due"],
+    "proposal": ["proposal", "offer", "scope"],
+    "nda": ["confidential", "disclosure", "nondisclosure"],
+}
+CONTRACT_RULES = {
+    "effective_date": r"[Ee]ffective date: *([0-9]{4}-[0-9]{2}-[0-9]{2})",
+    "expiration_date": r"[Ee]xpiration date: *([0-9]{4}-[0-9]{2}-[0-9]{2})",
+    "total_value_currency": r"[Tt]otal value: *([A-Z]{3})",
+    "total_value": r"[Tt]otal value: *[A-Z]{3} *([0-9.]+)",
+    "notice_days": r"notice of ([0-9]+) days",
+    "governing_law": r"laws of ([A-Z][A-Z ]*[A-Z])",
+    "party_a": r"between ([^,]+), ",
+    "party_b": r", and ([^.]+)\.",
+    "payment_terms": r"[Pp]ayment terms: *([^.]+)\.",
+    "uptime_pct": r"[Uu]ptime of ([0-9.]+)%",
+}
+
 _HTML = "html"
-for pattern, repl in tx.HTML_STEPS:
+for pattern, repl in HTML_STEPS:
     _HTML = f"regexp_replace({_HTML}, '{pattern}', {'chr(10) || chr(10)' if repl.strip(chr(10)) == '' and repl else chr(39) + repl + chr(39)}, 'g')"
 define("m_kb", f"""
 SELECT page_id AS doc_id, CASE page_id % 3 WHEN 0 THEN 'product_docs' WHEN 1 THEN 'support_articles' ELSE 'release_notes' END AS kb_name, url,
@@ -68,7 +104,7 @@ SELECT k.chunk_id, k.document_id, k.chunk_index, k.chunk_text, d.org_id, d.docum
 FROM m_window_chunks k JOIN b_documents d ON k.document_id = d.document_id LEFT JOIN b_customers c ON d.entity_id = c.customer_id
 WHERE d.document_type IN ('contract', 'sla', 'amendment')""", dates="end_date")
 def _(t):
-    return co.contract_chunks(window_chunks(t), t.documents, t.customers)
+    return co.contract_chunks(t.documents, t.customers)
 
 
 define("m_library", """
@@ -112,7 +148,7 @@ def _n(ws):
 @query("m6_sentiment", f"""
 SELECT document_id, score AS sentiment_score, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label
 FROM (SELECT document_id, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 3) ELSE 0 END AS score
-  FROM (SELECT document_id, {_n(tx.POSITIVE)} AS p, {_n(tx.NEGATIVE)} AS n FROM b_documents))""")
+  FROM (SELECT document_id, {_n(POSITIVE)} AS p, {_n(NEGATIVE)} AS n FROM b_documents))""")
 def _(t):
     from tenantlens.functions.columns import sentiment_label
     return t.documents.select("document_id", tx.sentiment_score("extracted_text").alias("sentiment_score")) \
@@ -174,7 +210,7 @@ def _(t):
     return doc.chunk(docs, method="packed", size=1500, overlap=200)
 
 
-_SC = {label: _n(ws) for label, ws in tx.LABEL_WORDS.items()}
+_SC = {label: _n(ws) for label, ws in LABEL_WORDS.items()}
 _TOT = " + ".join(f"n_{label}" for label in _SC)
 _BEST = "CASE " + " ".join(f"WHEN n_{label} = top THEN '{label}'" for label in _SC) + " END"
 
@@ -198,10 +234,10 @@ def _(t):
 
 
 def _rx(field):
-    return f"nullif(regexp_extract(extracted_text, '{tx.CONTRACT_RULES[field]}', 1), '')"
+    return f"nullif(regexp_extract(extracted_text, '{CONTRACT_RULES[field]}', 1), '')"
 
 
-define("m_fields_raw", "SELECT document_id, org_id, extracted_text, " + ", ".join(f"{_rx(f)} AS {f}" for f in tx.CONTRACT_RULES) + """,
+define("m_fields_raw", "SELECT document_id, org_id, extracted_text, " + ", ".join(f"{_rx(f)} AS {f}" for f in CONTRACT_RULES) + """,
   CASE WHEN contains(lower(extracted_text), 'does not renew') THEN false WHEN contains(lower(extracted_text), 'renews automatically') THEN true END AS renews
 FROM b_contract_texts""")
 
@@ -215,7 +251,7 @@ SELECT document_id, org_id, TRY_CAST(effective_date AS DATE) AS start_date, TRY_
     CASE WHEN renews AND notice_days IS NULL THEN 'renewal_without_notice' END,
     CASE WHEN contains(lower(extracted_text), 'unlimited liability') THEN 'unlimited_liability' END) AS risk_flags,
   NOT found AS parse_error, 'completed' AS extraction_status
-FROM (SELECT *, coalesce({", ".join(tx.CONTRACT_RULES)}) IS NOT NULL AS found FROM m_fields_raw)""",
+FROM (SELECT *, coalesce({", ".join(CONTRACT_RULES)}) IS NOT NULL AS found FROM m_fields_raw)""",
        dates="start_date end_date", nums="contract_value sla_uptime_pct")
 def _(t):
     return doc.extract_contract_fields(t.contract_texts)
@@ -239,12 +275,14 @@ def _(t):
     return doc.advance_status(d, d.filter("auto_renewal"), failed).select("document_id", "processing_status")
 
 
-@query("m15_embed")
+@query("m15_embed", r"""
+WITH tf AS (SELECT document_id, org_id, term, count(*) AS tf FROM (SELECT document_id, org_id, unnest(regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}]+')) AS term FROM b_documents) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+SELECT document_id, org_id, count(*) AS terms, round(sqrt(sum(power(tf * ln(((SELECT count(*) FROM b_documents) + 1.0::DOUBLE) / (df + 1)), 2))), 4) AS norm
+FROM tf JOIN df USING (term) GROUP BY 1, 2""")
 def _(t):
-    from pyspark.ml.functions import vector_to_array
-    out = doc.embed(t.documents)
-    arr = vector_to_array("embedding")
-    return out.select("document_id", "org_id", F.round(F.sqrt(se.dot(arr, arr)), 6).alias("norm"), F.size(arr).alias("dims"))
+    weights = doc.term_weights(t.documents.select("document_id", "org_id", "extracted_text"))
+    return weights.groupBy("document_id", "org_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 4).alias("norm"))
 
 
 @query("m16_vector_search", """

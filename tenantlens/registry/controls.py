@@ -158,7 +158,12 @@ def _(t):
     return gv.visible_rows(t.customers, t.user_org_map)
 
 
-_PAT = gv.PII_PATTERNS
+# Written out again, so that a wrong pattern in the package shows.
+_PAT = {
+    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z.]+",
+    "phone": r"(^|[^0-9])[0-9]{10,13}([^0-9]|$)",
+    "ip": r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)",
+}
 define("m_pii_scan", " UNION ALL ".join(
     f"SELECT 'customers' AS table_name, '{c}' AS column_name, count({c}) AS non_null, " + ", ".join(
         f"count(*) FILTER (regexp_matches({c}, '{p}')) AS {k}_hits" for k, p in _PAT.items()) + " FROM b_customers"

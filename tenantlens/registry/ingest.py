@@ -90,12 +90,6 @@ def _(t):
     return env.select("org_id", F.variant_get(v, "$.c_custkey", "string").alias("id"), F.variant_get(v, "$.c_name", "string").alias("name"), "loaded_at")
 
 
-@query("a7_discover_files")
-def _(t):
-    done = t.raw("documents").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("relative_path")).distinct()
-    return la.discover_files(t.spark, t.dir, done, pattern="*.parquet")
-
-
 @query("a14_check_contract", """
 SELECT 'customers' AS table_name, false AS valid, 'tax_id' AS missing_columns, count(*) AS row_count,
   'customer_id=' || count(*) FILTER (customer_id IS NULL) || '|email=' || count(*) FILTER (email IS NULL) || '|nps_score=' || count(*) FILTER (nps_score IS NULL) AS null_counts

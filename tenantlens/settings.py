@@ -6,7 +6,9 @@ Jobs never read the clock: each takes ``as_of`` explicitly and defaults to
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,12 +63,24 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tenantlens-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables below ``checkpoint_root``."""
+    return f"{checkpoint_root(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int, *, minimum: int = 200) -> int:
     """Shuffle partitions for a job that reads ``input_bytes``.
 

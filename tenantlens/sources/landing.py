@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+FILES_PER_TRIGGER = 1000
 
-def read_event_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """JSON lines as a stream, with the untouched record kept in ``_metadata_json``."""
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+
+def read_event_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """JSON lines as a stream, with the untouched record kept in ``_metadata_json``; a backlog is read in bounded batches."""
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger)
     return parse_events(reader.load(path).withColumnRenamed("value", "_raw"), schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tenantlens.operators.merge import dedupe, merge_upsert
 
-from tenantlens.settings import checkpoint_root
+from tenantlens.settings import run_folder
 
 BUCKET = "_bucket"
 LAYOUT = "_layout"  # beside the buckets; readers of the table skip it
@@ -21,7 +21,7 @@ def materialize(df: DataFrame) -> DataFrame:
     For results that several branches of a plan use: column pruning makes the
     branches differ, so Spark would compute each of them from the sources.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

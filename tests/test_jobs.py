@@ -82,7 +82,8 @@ def test_tenant_filter(frame):
     assert gv.tenant_filter(data, users, "u").count() == 2
     assert gv.tenant_filter(data, users, "w").count() == 0
     assert gv.tenant_filter(data, users, "nobody", is_admin=True).count() == 3
-    assert gv.tenant_filter(data, users.filter("false"), "u").count() == 3
+    assert gv.tenant_filter(data, users.filter("false"), "u").count() == 0
+    assert gv.tenant_filter(data, users.filter("false"), "u", open_without_map=True).count() == 3
 
 
 def test_masks_depend_on_role(frame):
