@@ -434,6 +434,61 @@ def _(t):
     return me.metric(fact, {m: names[m] for m in ("interaction_count", "inbound_count")}, ["org_id", "dim_segment", "channel"])
 
 
+@query("q26_metric_recommendations", """
+SELECT recommendation_type, priority, sum(CASE WHEN status = 'pending' AND is_active THEN 1 ELSE 0 END)::BIGINT AS pending_recommendations, sum(expected_impact_usd) AS expected_impact
+FROM b_recommendations GROUP BY 1, 2""", nums="expected_impact")
+def _(t):
+    return me.model_metric("recommendations", t.recommendations, ["pending_recommendations", "expected_impact"], ["recommendation_type", "priority"])
+
+
+@query("q26_metric_interactions", f"""
+SELECT channel, direction, count(*) AS interaction_count, {exact_avg('sentiment_score', 4)} AS avg_sentiment,
+  sum(CASE WHEN sentiment_score < 0 THEN 1 ELSE 0 END)::BIGINT AS negative_interactions FROM b_interactions GROUP BY 1, 2""", nums="avg_sentiment")
+def _(t):
+    out = me.model_metric("interactions", t.interactions, ["interaction_count", "avg_sentiment", "negative_interactions"], ["channel", "direction"])
+    return out.withColumn("avg_sentiment", F.round("avg_sentiment", 4))
+
+
+@query("q26_metric_transactions", "SELECT transaction_type, status, currency, sum(amount) AS total_revenue, count(*) AS transaction_count FROM b_transactions GROUP BY 1, 2, 3", nums="total_revenue")
+def _(t):
+    return me.model_metric("transactions", t.transactions, ["total_revenue", "transaction_count"], ["transaction_type", "status", "currency"])
+
+
+@query("q26_metric_customer_health", """
+SELECT segment, risk_level, sum(open_ticket_count)::BIGINT AS total_open_tickets, sum(arr) AS total_arr, sum(CASE WHEN risk_level = 'HIGH' THEN 1 ELSE 0 END)::BIGINT AS critical_customers
+FROM m_seg_health GROUP BY 1, 2""", nums="total_arr")
+def _(t):
+    return me.model_metric("customer_health", seg_health(t), ["total_open_tickets", "total_arr", "critical_customers"], ["segment", "risk_level"])
+
+
+@query("q26_metric_executive_kpis", "SELECT snapshot_date, sum(total_arr) AS total_arr, sum(active_customers)::BIGINT AS active_customers, sum(open_tickets)::BIGINT AS open_tickets FROM m_kpis GROUP BY 1",
+       dates="snapshot_date", nums="total_arr")
+def _(t):
+    return me.model_metric("executive_kpis", kpis(t), ["total_arr", "active_customers", "open_tickets"], ["snapshot_date"])
+
+
+def _star_sql(fact, key, dim, on, column, measures):
+    return f"SELECT f.org_id, d.{column} AS dim_{column}, {measures} FROM {fact} f LEFT JOIN {dim} d ON f.{key} = d.{on} AND f.org_id = d.org_id GROUP BY 1, 2"
+
+
+@query("d14_star_recommendations", _star_sql("b_recommendations", "entity_id", "m_c360", "customer_id", "segment", "sum(expected_impact_usd) AS expected_impact"), nums="expected_impact")
+def _(t):
+    fact = me.star("recommendations", t.recommendations, "customer_360", c360(t), ["segment"])
+    return me.metric(fact, {"expected_impact": me.MODELS["recommendations"][1]["expected_impact"]}, ["org_id", "dim_segment"])
+
+
+@query("d14_star_transactions", _star_sql("b_transactions", "customer_id", "m_c360", "customer_id", "region", "sum(amount) AS total_revenue, count(*) AS transaction_count"), nums="total_revenue")
+def _(t):
+    fact = me.star("transactions", t.transactions, "customer_360", c360(t), ["region"])
+    return me.metric(fact, me.MODELS["transactions"][1], ["org_id", "dim_region"])
+
+
+@query("d14_star_tickets", _star_sql("b_tickets", "customer_id", "m_seg_health", "customer_id", "segment", "count(*) AS ticket_count"))
+def _(t):
+    fact = me.star("tickets", t.tickets, "customer_health", seg_health(t), ["segment"])
+    return me.metric(fact, {"ticket_count": me.MODELS["tickets"][1]["ticket_count"]}, ["org_id", "dim_segment"])
+
+
 @query("q27_ops_tickets_by_status", "SELECT status, count(*) AS ticket_count FROM b_tickets GROUP BY 1")
 def _(t):
     return r.tickets_by(t.tickets, "status")
