@@ -44,9 +44,10 @@ def search_by_group(vectors: DataFrame, queries: DataFrame, on: str, *, k: int =
     """Top-k per query where each query carries its own equality filter.
 
     Joined on the filter attribute: a vector meets only the query it may
-    answer, never all of them.
+    answer, never all of them. The queries are staged, so that their size is
+    known and the vectors need not move to a few labels.
     """
-    scored = vectors.join(queries, on).select(id_col, on, F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    scored = vectors.join(materialize(queries), on).select(id_col, on, F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
     return top_per(scored, [on], [F.col("score").desc_nulls_last(), F.col(id_col)], k, "rank", salt=16)
 
 

@@ -12,7 +12,7 @@ from tenantlens.functions.columns import (
     ago, bands, clamp, day, days_ago, days_between, dec, health_score, mean, nz, sum_if, ts,
 )
 from tenantlens.operators import staging as st
-from tenantlens.operators.latest import latest_by, latest_scores
+from tenantlens.operators.latest import latest_scores
 from tenantlens.settings import AS_OF
 
 CO = ["customer_id", "org_id"]
@@ -204,19 +204,24 @@ def plan_names(active_subs: DataFrame) -> DataFrame:
     not by how many subscriptions a customer holds.
     """
     per_plan = active_subs.groupBy(*CO, "plan_name").agg(F.max(nz("arr")).alias("top_arr"))
+    return per_plan.groupBy(*CO).agg(plan_list().alias("plan_names"))
+
+
+def plan_list() -> Column:
+    """Aggregate over (plan_name, top_arr) rows: the names, largest ARR first."""
     pairs = F.collect_list(F.struct((-F.col("top_arr")).alias("o"), "plan_name"))
-    return per_plan.groupBy(*CO).agg(
-        F.array_join(F.transform(F.array_sort(pairs), lambda p: p["plan_name"]), " | ").alias("plan_names")
-    )
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: p["plan_name"]), " | ")
 
 
 def customer_360_bucketed(customers, subscriptions, tickets, events, contracts, churn_scores, *, as_of=AS_OF) -> DataFrame:
     """Second definition: points per bucket, plan list, contract metrics."""
-    active = subscriptions.filter(F.col("status") == "active")
-    subs = active.groupBy(*CO).agg(
+    # one pass per plan, then per customer
+    per_plan = subscriptions.filter(F.col("status") == "active").groupBy(*CO, "plan_name").agg(
         F.count(F.lit(1)).alias("active_subscriptions"), F.sum("mrr").alias("total_mrr"), F.sum("arr").alias("total_arr"),
-        F.sum("seats").alias("total_seats"), F.min("current_period_end").alias("nearest_renewal_date"),
-    ).join(plan_names(active), CO, "left")
+        F.sum("seats").alias("total_seats"), F.min("current_period_end").alias("nearest_renewal_date"), F.max(nz("arr")).alias("top_arr"))
+    subs = per_plan.groupBy(*CO).agg(
+        *[F.sum(c).cast(per_plan.schema[c].dataType).alias(c) for c in ("active_subscriptions", "total_mrr", "total_arr", "total_seats")],
+        F.min("nearest_renewal_date").alias("nearest_renewal_date"), plan_list().alias("plan_names"))
     is_open = F.col("status") == "open"
     tick = tickets.groupBy(*CO).agg(
         F.count(F.lit(1)).alias("total_tickets"), F.count_if(is_open).alias("open_tickets"),
@@ -276,15 +281,15 @@ def customer_360_inverse_churn(customers, subscriptions, tickets, events, churn_
         F.count_if(is_open & F.col("priority").isin("urgent", "high")).alias("critical_open_tickets"),
         F.count_if("sla_breach").alias("sla_breaches"),
         F.round(mean("sentiment_score"), 6).alias("avg_sentiment_score"),
+        F.max(F.when(F.col("sentiment_label").isNotNull(), F.struct("created_at", "ticket_id", "sentiment_label")))["sentiment_label"].alias("sentiment_label"),
     )
-    mood = latest_by(tickets.filter(F.col("sentiment_label").isNotNull()), CO, "created_at", ["ticket_id"]).select(*CO, "sentiment_label")
     renewal = subscriptions.filter((F.col("status") == "active") & (F.col("current_period_end") >= day(as_of))) \
         .groupBy(*CO).agg(F.min("current_period_end").alias("nearest_renewal_date"))
     churn = latest_scores(churn_scores).select(
         *CO, "churn_probability", F.col("risk_level").alias("churn_risk_level"), "expected_revenue_at_risk",
         F.col("recommended_action").alias("churn_recommended_action"), "scored_at",
     )
-    j = left_all(customers, tick, mood, renewal, churn, usage_windows(events, as_of=as_of, agent_event="ai_agent_invocation"))
+    j = left_all(customers, tick, renewal, churn, usage_windows(events, as_of=as_of, agent_event="ai_agent_invocation"))
     zeros = ["total_tickets", "open_tickets", "critical_open_tickets", "sla_breaches", "events_30d", "active_days_30d",
              "distinct_features", "events_7d", "active_days_7d", "agent_invocations_30d"]
     j = j.withColumns({c: nz(c) for c in zeros})

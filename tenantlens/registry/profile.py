@@ -134,7 +134,7 @@ WITH t AS (SELECT customer_id, org_id, count(*) AS total_tickets, count(*) FILTE
     count(*) FILTER (status = 'open' AND priority IN ('urgent', 'high')) AS critical_open_tickets,
     count(*) FILTER (sla_breach) AS sla_breaches, round(avg(sentiment_score), 6) AS avg_sentiment_score FROM b_tickets GROUP BY 1, 2),
 m AS (SELECT customer_id, org_id, sentiment_label FROM (SELECT *, row_number() OVER (PARTITION BY customer_id, org_id
-    ORDER BY created_at DESC, ticket_id) AS rn FROM b_tickets) WHERE rn = 1),
+    ORDER BY created_at DESC, ticket_id DESC) AS rn FROM b_tickets) WHERE rn = 1),
 r AS (SELECT customer_id, org_id, min(current_period_end) AS nearest_renewal_date FROM b_subscriptions
     WHERE status = 'active' AND current_period_end >= {D0} GROUP BY 1, 2)
 SELECT c.customer_id, c.org_id, c.name AS customer_name, c.segment, c.lifecycle_stage, c.nps_score, c.arr, c.mrr, c.contract_end_date,
