@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import __spark_entry__ as entry
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
@@ -80,3 +81,24 @@ def test_trailing_window_recomputes_only_recent_days(spark):
     since = (AS_OF - dt.timedelta(days=30)).date()
     days = rv.revenue_daily(st.stg_transactions(t.transactions), since=since)
     assert days.agg(F.min("revenue_date")).first()[0] >= since
+
+
+def optimized(spark, key):
+    return entry.queries()[key](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_revenue_is_not_expanded(spark):
+    for key in ("e12_revenue_daily", "e13_revenue_movement"):
+        assert "Expand" not in optimized(spark, key), key
+
+
+def test_each_text_is_split_once(spark):
+    assert optimized(spark, "m6_sentiment").count("regexp_extract_all") == 1
+    assert optimized(spark, "m11_classify").count("regexp_extract_all") == 2  # two branches of a union
+
+
+def test_texts_stay_where_they_are(spark):
+    for key in ("m6_sentiment", "m7_paragraph_chunks", "m8_window_chunks", "m12_summary"):
+        plan = entry.queries()[key](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, key
+
