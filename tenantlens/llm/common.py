@@ -31,18 +31,24 @@ def partitions_for(rows: int, per_task: int) -> int:
     return max(1, -(-rows // per_task))
 
 
-def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups from batches sorted by ``keys``; holds one group and one batch."""
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Frames of whole groups from batches sorted by ``keys``, with the bounds of each group; holds one group and one batch."""
     rest = None
     for batch in batches:
         if not len(batch):
             continue
         if rest is not None:
             batch = pd.concat([rest, batch], ignore_index=True)
-        changed = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-        starts = changed.nonzero()[0].tolist()
-        for a, b in zip(starts, starts[1:]):
-            yield batch.iloc[a:b]
+        starts = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        if len(starts) > 1:
+            yield batch.iloc[:starts[-1]], starts
         rest = batch.iloc[starts[-1]:]
     if rest is not None:
-        yield rest
+        yield rest, [0, len(rest)]
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups from batches sorted by ``keys``; holds one group and one batch."""
+    for frame, starts in whole_groups(batches, keys):
+        for a, b in zip(starts, starts[1:]):
+            yield frame.iloc[a:b]

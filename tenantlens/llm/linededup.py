@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenantlens.llm.common import groups, stage, table
+from tenantlens.llm.common import stage, table, whole_groups
 from tenantlens.llm.components import components
 
 SHINGLE = 8  # characters
@@ -128,20 +128,32 @@ def _members(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"members": np.repeat(sign, count)[many].view(np.int64), "handle": rows[many, 1]})
 
 
+def _links(sets: list[set], one: np.ndarray, two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs that connect what exact Jaccard connects between the places ``one`` and ``two``."""
+    size, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    for i in one:
+        # pairs already connected need no check
+        fit = two[(label[two] != label[i]) & (np.minimum(size[two], size[i]) >= similarity * np.maximum(size[two], size[i]))]
+        for j in fit:
+            if label[i] != label[j] and jaccard_at_least(sets[i], sets[j], similarity):
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
 def _verify(similarity: float):
     """Per pair of shards of a bucket: links (a, b) that connect what exact Jaccard connects."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(batches, ["members", "one", "two"]):
-            one, two = int(g["one"].iloc[0]), int(g["two"].iloc[0])
-            sets, key, shard = [shingles(x) for x in g["line"]], g["key"].tolist(), g["shard"].to_numpy()
-            size, label, found = np.array([len(s) for s in sets]), np.arange(len(sets)), []
-            for i in np.flatnonzero(shard == one):
-                open_to = label != label[i]  # pairs already connected need no check
-                fit = open_to & (shard == two) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
-                for j in np.flatnonzero(fit):
-                    if label[i] != label[j] and jaccard_at_least(sets[i], sets[j], similarity):
-                        found.append((key[i], key[j]))
-                        label[label == label[j]] = label[i]
+        for g, starts in whole_groups(batches, ["members", "one", "two"]):
+            key, line, found = g["key"].tolist(), g["line"].tolist(), []
+            one, two, shard = (g[c].to_numpy() for c in ("one", "two", "shard"))
+            for a, b in zip(starts, starts[1:]):
+                sets = [shingles(x) for x in line[a:b]]
+                if b - a == 2:  # most buckets
+                    if (one[a] == two[a] or shard[a] != shard[a + 1]) and jaccard_at_least(*sets, similarity):
+                        found.append((key[a], key[a + 1]))
+                else:
+                    places = _links(sets, np.flatnonzero(shard[a:b] == one[a]), np.flatnonzero(shard[a:b] == two[a]), similarity)
+                    found += [(key[a + i], key[a + j]) for i, j in places]
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
     return run
