@@ -206,6 +206,17 @@ def test_bands_find_similar_lines():
     assert pairs > 60 and missed <= 1
 
 
+def test_similar_pairs_by_matrix_are_exact():
+    r = random.Random(1)
+    base = prose(50, 77).replace("\n", " ").split()
+    lines = list({" ".join(w if r.random() > rate else r.choice(VOCABULARY) for w in base) for rate in (.01, .05, .3) for _ in range(12)})
+    sets = [linededup.shingles(x) for x in lines]
+    alike = linededup._alike(sets, .8)
+    for i in range(len(sets)):
+        for j in range(i):
+            assert alike[i, j] == linededup.jaccard_at_least(sets[i], sets[j], .8)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
