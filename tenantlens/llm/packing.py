@@ -20,7 +20,7 @@ REOPEN = 256  # a sequence with more free tokens is packed again in the next rou
 CACHE_WORDS = 500_000
 
 _SPLITS_MORE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for Unicode
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PLAIN = re.compile("([A-Za-z]+)([.,]?)")
 _ENCODERS: dict = {}
 
