@@ -144,23 +144,27 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, group_tokens: int = GROU
 
     Rows are dealt to groups of a bounded number of tokens and rows, each
     packed by one task. Sequences that a group leaves with much room are taken
-    apart, and their rows go to the next round, which has far fewer groups; the
-    round with one group is the last. Equal rows are separate items; an empty
-    table gives an empty result.
+    apart, and their rows go to the next round. The last round, which keeps all
+    its sequences, is the one with one group or with more than half the tokens
+    of the round before: what comes back then are pieces that fill no sequence.
+    So all rounds together write at most twice the first. Equal rows are
+    separate items; an empty table gives an empty result.
     """
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long, _again boolean"
-    left, done, turn = stage(items), None, 0
+    left, done, turn, before = stage(items), None, 0, None
     while True:
         rows, tokens = left.agg(F.count(F.lit(1)), F.sum("length")).first()
         count = max(partitions_for(tokens or 0, group_tokens), partitions_for(rows, group_pieces))
+        last = count == 1 or (before is not None and 2 * tokens > before)
         dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)))
         out = stage(dealt.repartition(min(count, max(width, 1)), "_group").sortWithinPartitions("_group", F.desc("length"))
-                    .mapInPandas(_pack_groups(capacity, turn, count == 1), schema))
+                    .mapInPandas(_pack_groups(capacity, turn, last), schema))
         placed = out.where("not _again").drop("_again")
         done = placed if done is None else done.unionByName(placed)
-        if count == 1:
+        if last:
             return done
+        before = tokens
         left, turn = out.where("_again").drop("_again", "sequence_id", "offset"), turn + 1
 
 

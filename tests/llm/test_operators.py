@@ -252,6 +252,14 @@ def test_packing_in_rounds_stays_near_the_bound(spark):
     assert check_places(got, 4096) <= -(-sum(sizes) // 4096) * 1.02 + 1
 
 
+def test_packing_ends_when_no_sequence_can_be_filled(spark):
+    for sizes, bins in (([2500] * 4000, 4000), ([2500] * 3000 + [1500] * 1000 + [90] * 500, 3000)):
+        items = spark.createDataFrame(list(enumerate(sizes)), "i int, length long")
+        got = packing.pack(items, group_tokens=300_000).collect()
+        assert sorted((x.i, x.length) for x in got) == list(enumerate(sizes))
+        assert bins <= check_places(got, 4096) <= bins * 1.02
+
+
 def test_packed_ids(docs):
     seqs = packing.sequences(docs.where("doc_id in (16, 17, 18)"), packing.default_tokenizer()).collect()
     assert len(seqs) == 1 and seqs[0].ids.count(1) == 4 and sorted(seqs[0].doc_ids) == ["16", "16", "17", "18"]
