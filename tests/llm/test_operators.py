@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tenantlens.llm import common, components, decontaminate, doubling, induced, langid, linededup, linefreq, packing, repeats, simhash, suffixdedup, toxicity, warc
+from tenantlens.llm import common, components, decontaminate, doubling, induced, langid, linededup, linefreq, neardup, packing, repeats, simhash, suffixdedup, toxicity, warc
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choice("abcdefhjklmnop") for _ in range(RNG.randint(2, 9))) for _ in range(400)]
@@ -109,6 +109,42 @@ def test_bk_tree_finds_all_within_radius():
     assert got == {(i, j) for i in range(len(points)) for j in range(len(points)) if int(points[i] ^ points[j]).bit_count() <= 3}
 
 
+def word_shingles(t, size=5):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def edited(text, rate, r):
+    """The text with a share of its words changed, one in each of as many equal stretches."""
+    w = text.split()
+    k = max(1, round(rate * len(w)))
+    for i in range(k):
+        w[r.randrange(i * len(w) // k, (i + 1) * len(w) // k)] = f"new{r.randrange(1 << 30)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard": 2}])
+def test_near_duplicates_are_those_of_exact_jaccard(spark, limits):
+    r = random.Random(11)
+    texts = []
+    for k in range(120):  # pairs from well below to well above 0.8
+        base = prose(r.randint(150, 500), 5000 + k)
+        texts += [base, edited(base, (.0035, .009, .015, .021, .024, .03, .045, .08)[k % 8], r)]
+    hub = prose(400, 4999)
+    texts += [edited(hub, .012, r) for _ in range(40)] + ["few words", "Few  WORDS", "few other words", "", None, " \n"]
+    sets = [word_shingles(t) for t in texts]
+
+    def alike(a, b):
+        both = len(a & b)
+        return both >= .8 * (len(a) + len(b) - both)
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
+    at = Counter(int(100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) // 5 * 5 if sets[a] else 100 for a, b in pairs)
+    assert all(at[x] >= 10 for x in (80, 85, 90, 95))
+    root = union(pairs, range(len(texts)))
+    kept = neardup.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3), **limits)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(k for k in root if root[k] == k)
+
+
 def removed(sequences, size):
     """Brute force: covered units of each sequence."""
     seen = Counter(tuple(s[i:i + size]) for s in sequences for i in range(len(s) - size + 1))
