@@ -145,6 +145,14 @@ def test_near_duplicates_are_those_of_exact_jaccard(spark, limits):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(k for k in root if root[k] == k)
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = prose(200, 91), prose(200, 92)
+    near = edited(a, .005, random.Random(1))
+    rows = [(1, a, "x"), (1, a, "y"), (1, b, "x"), (2, near, "x"), (None, b, "x"), (None, near, "x"), (None, prose(90, 93), "x"), (None, prose(90, 93), "x"), (3, None, "x"), (3, "", "y")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    assert len(kept) == 4 and {(x.doc_id, x.text or None) for x in kept} == {(1, a), (1, b), (None, prose(90, 93)), (3, None)}
+
+
 def removed(sequences, size):
     """Brute force: covered units of each sequence."""
     seen = Counter(tuple(s[i:i + size]) for s in sequences for i in range(len(s) - size + 1))
