@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["warc", "linefreq", "langid", "doubling", "suffixdedup", "packing", "toxicity", "linededup", "simhash", "decontaminate"]
+MODULES = ["warc", "linefreq", "langid", "doubling", "suffixdedup", "packing", "toxicity", "linededup", "simhash", "decontaminate",
+           "merkle"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
