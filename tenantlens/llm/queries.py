@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["warc", "linefreq", "langid", "doubling", "suffixdedup", "packing", "toxicity", "linededup", "simhash", "decontaminate",
-           "merkle"]
+           "merkle", "chat", "ranked"]
 
 QUERIES, ORACLES = {}, {}
 for _name in MODULES:
