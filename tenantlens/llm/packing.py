@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ CACHE_WORDS = 500_000
 
 _SPLITS_MORE = re.compile("[\x1c-\x1f]")  # white space for str.split, not for Unicode
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-_PLAIN = re.compile("([A-Za-z]+)([.,]?)")
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")  # letters that have one lower-case form, and symbols behind them
+_TO_SYMBOLS = {b: 256 + n for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}  # how byte-level models write bytes
 _ENCODERS: dict = {}
 
 
@@ -37,21 +39,33 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.stops = {p: self._bytes(self.tokenizer.encode(p, add_special_tokens=False).ids) if p else b"" for p in ("", ".", ",")}
+        self.cores, self.tails = {}, {"": b""}
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _core(self, core: str) -> bytes:
+        """Ids of a lower-case word of plain letters: the model alone, without normaliser and splitter."""
+        letters = core if core.isascii() else core.encode().decode("latin-1").translate(_TO_SYMBOLS)
+        ids = self.cores[core] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         plain = _PLAIN.fullmatch(word)
-        if plain:  # letters need no normaliser but lower case; a final stop is a word of its own
-            core, stop = plain[1].lower(), plain[2]
-            ids = (self[core] if stop or core != word else self._bytes([t.id for t in self.tokenizer.model.tokenize(core)])) + self.stops[stop]
+        if plain:
+            core, tail = plain.groups()
+            core = core.lower()
+            ids = self.cores.get(core) or self._core(core)
+            if tail:  # a run of symbols is a word of its own
+                if tail not in self.tails:
+                    self.tails[tail] = self._whole(tail)
+                ids += self.tails[tail]
         else:
-            ids = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            ids = self._whole(word)
         if len(self) >= CACHE_WORDS:
-            self.clear()
+            for cache in (self, self.cores, self.tails):
+                cache.clear()
+            self.tails[""] = b""
         self[word] = ids
         return ids
 
