@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tenantlens.llm.common import HELD_OUT, fold, table
+from tenantlens.llm.common import HELD_OUT, fold, stage, table
 
 BUCKETS = 1 << 15
 ORDERS = 3
-SAMPLE = 6_000  # labelled documents the weights are fitted on, about
+SAMPLE = 6_000  # labelled documents the weights are fitted on
+EACH = 40  # of them a language has at least, where it has as many
 CALIBRATION_FOLD = 1  # of the folds that may be learned from, the one that sets the temperature
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([chr(c) if chr(c).isalpha() else " " for c in range(128)]).astype("U1").view("<u4")
 
 
@@ -118,9 +117,10 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 def train(docs: DataFrame, *, sample: int = SAMPLE, epochs: int = 3) -> Model | None:
     """Fit on rows with text and lang outside the held-out fold; None where there are none.
 
-    Document frequencies come from all such rows. The weights are fitted on
-    about ``sample`` of them, chosen by hash of the id, except those of
-    CALIBRATION_FOLD, which set the temperature.
+    Document frequencies come from all such rows. The weights are fitted on at
+    most ``sample`` of them and EACH a language, except those of
+    CALIBRATION_FOLD, which set the temperature. Each language gives its share,
+    the first by hash of id and text; rows equal in both count once.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang"), fold(F.col("doc_id")).alias("fold")).where(F.col("fold") != HELD_OUT)
@@ -134,9 +134,11 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, epochs: int = 3) -> Model |
             yield pd.DataFrame({"lang": b["lang"], "fold": b["fold"], "turn": b["turn"], "at": [a.astype("<u2").tobytes() for a, _ in made],
                                 "tf": [v.astype("<f4").tobytes() for _, v in made]})
 
-    share = min(1.0, sample / rows)
-    turn = F.xxhash64("doc_id")
-    chosen = known.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 30)) < int(share * (1 << 30)))
+    per = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("most", F.greatest(F.lit(EACH), F.floor(F.col("n") * (sample / rows))))
+    # twice as many by hash, so that few rows are ranked
+    per = stage(per.select("lang", "most", (F.least(F.lit(1.0), 2 * F.col("most") / F.col("n")) * (1 << 30)).cast("long").alias("_below")))
+    near = known.withColumn("turn", F.xxhash64("doc_id", "text")).join(per, "lang").where(F.pmod("turn", F.lit(1 << 30)) < F.col("_below")).dropDuplicates(["lang", "turn"])
+    chosen = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("turn"))).where("_r <= most").select("text", "lang", "fold", "turn")
     got = chosen.mapInPandas(features, "lang string, fold int, turn long, at binary, tf binary").toPandas().sort_values(["turn", "at"], ignore_index=True)
     languages = sorted(got["lang"].unique())
     idf = np.log((1 + rows) / (1 + df)) + 1
@@ -168,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for texts in batches:
             rows = []
             for t in texts:
-                if model is None or not t or not _LETTER.search(t):
+                if model is None or not t or not any(map(str.isalpha, t)):
                     rows.append((UNKNOWN, 0.0))
                     continue
                 p = softmax(model.logits(*term_frequencies(t)) / model.temperature)

@@ -49,7 +49,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_w", "_win", "_ranked", "_same", "_lines")
 
 
-def _normal(line: str) -> Column:
+def _normal(line: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), _SPACE, " "), "[0-9]+", "0"))
 
 
@@ -65,19 +65,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.select("host", "text_id", F.xxhash64("x").alias("line"), words.alias("words"))
 
 
-def boilerplate(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, line) of the lines that more than ``max_documents`` different documents of the host share.
+def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, *, copies: bool = True) -> DataFrame:
+    """(host, line) of the lines that more than ``max_documents`` documents of the host share.
 
-    Documents with equal texts count as one: copies are not boilerplate.
+    ``docs`` has host, text_id and text; each row is a document, and a line
+    counts once in it. With ``copies`` false, documents with equal texts of a
+    host count as one. Counts are summed before they are exchanged.
     """
-    once = lines.select("host", "line", "text_id").distinct()
-    return once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents).select("host", "line")
+    each = docs if copies else docs.select("host", "text_id", "text").dropDuplicates(["host", "text_id"])
+    normal = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), _normal)
+    hashes = F.array_distinct(F.transform(F.filter(normal, lambda x: x != ""), lambda x: F.xxhash64(x)))
+    counts = each.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
+    return counts.where(F.col("documents") > max_documents).select("host", "line")
 
 
-def judge(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, copies: bool = True) -> DataFrame:
     """``docs`` with the base metrics, n_words_left (after boilerplate lines went) and kept.
 
-    ``source`` is the host; rows without one share the empty host. A document
+    ``source`` is the host; rows without one share the empty host. With ``copies``
+    false, equal texts of a host count as one document. A document
     is kept if it passes the base rules and at least ``min_left`` of its words
     are left. A null or empty text has no words and fails. Rows are judged by
     host and text alone, so repeated rows get equal verdicts. Added columns
@@ -88,7 +94,7 @@ def judge(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: floa
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest if c != "text"]).alias("row"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
                        text_key(F.col("text")).alias("text_id"))
     lines = lines_of(docs)
-    common = stage(boilerplate(lines, max_documents))
+    common = stage(boilerplate(docs, max_documents, copies=copies))
     # a text's lines are read once for each row that has it: sum over one row's share
     hit = lines.join(common, ["host", "line"]).groupBy("host", "text_id").agg(F.sum("words").alias("gone"))
     rows = docs.select("host", "text_id").join(common.select("host").distinct(), "host", "left_semi").groupBy("host", "text_id").agg(F.count(F.lit(1)).alias("rows"))
@@ -99,12 +105,12 @@ def judge(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: floa
     return out.withColumn("kept", kept).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in rest], *ADDED)
 
 
-def strip_boilerplate(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
+def strip_boilerplate(docs: DataFrame, *, max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT, copies: bool = True) -> DataFrame:
     """The rows of ``docs`` that are kept, without their boilerplate lines; same columns."""
-    judged = judge(docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), max_documents=max_documents, min_left=min_left)
+    judged = judge(docs.select("source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), max_documents=max_documents, min_left=min_left, copies=copies)
     kept = judged.where("kept").select("doc", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_key(F.col("text")).alias("text_id"))
     hosted = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), text_key(F.col("text")).alias("text_id"), "text")
-    common = stage(boilerplate(lines_of(hosted), max_documents))
+    common = stage(boilerplate(hosted, max_documents, copies=copies))
     once = kept.select("host", "text_id", F.col("doc.text").alias("text")).dropDuplicates(["host", "text_id"])
     each = once.select("host", "text_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "x")).withColumn("line", F.xxhash64(_normal("x")))
     left = each.join(common, ["host", "line"], "left_anti")
@@ -129,7 +135,7 @@ rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) A
 rw AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range(0, 3) AS t(k) GROUP BY rid),
 line AS (SELECT rid, host, text, trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS x
          FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS x FROM d)),
-common AS (SELECT host, x FROM line WHERE x <> '' GROUP BY host, x HAVING count(DISTINCT text) > 20),
+common AS (SELECT host, x FROM line WHERE x <> '' GROUP BY host, x HAVING count(DISTINCT rid) > 20),
 gone AS (SELECT rid, sum(len(x) - len(replace(x, ' ', '')) + 1) AS n FROM line JOIN common USING (host, x) GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
              CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tenantlens.llm import chat, merkle, ranked
+from tenantlens.llm import chat, langid, linefreq, merkle, ranked
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, leaf string, root string, path string, row string, n int, term int, item_id long"
 
@@ -204,3 +204,29 @@ def test_nra_stops_early():
     np.add.at(exact, strong[0], strong[1])
     np.add.at(exact, weak[0], np.asarray(weak[1]))
     assert sorted(scores)[-5:] == sorted(exact.astype(int))[-5:]
+
+
+def test_boilerplate_counts_documents(spark):
+    """A line of a hundred equal documents of a host is shared by a hundred documents, by one text if copies do not count."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, text, "h") for i in range(100)] + [(200, text, "other"), (201, text.replace("word7", "x") + "\nown line\nown line", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in linefreq.judge(docs).collect()}
+    assert not any(got[i] for i in range(100)) and got[200] and got[201]
+    assert all(r.kept for r in linefreq.judge(docs, copies=False).collect())
+    twice = spark.createDataFrame([(1, "a line\n" * 30 + text, "h")], "doc_id long, text string, source string")
+    hosted = twice.select(F.col("source").alias("host"), F.lit("k").alias("text_id"), "text")
+    assert linefreq.boilerplate(hosted).count() == 0  # repeats inside one document count once
+
+
+def test_language_sample_is_bounded_and_keeps_rare_languages(spark):
+    r = random.Random(2)
+    words = {"xx": "the and of ship water", "yy": "uber und der schiff wasser", "zz": "kala vene vesi meri laiva"}
+    say = lambda lang, n=12: " ".join(r.choice(words[lang].split()) for _ in range(n))
+    rows = [(i, say("xx" if i % 2 else "yy"), "xx" if i % 2 else "yy") for i in range(3000)] + [(None, say("xx") + f" {i}", "xx") for i in range(3000)]
+    rows += [(10_000 + i, say("zz"), "zz") for i in range(20)] + [(20_000 + i, "the same copy of ship", "xx") for i in range(2000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), sample=200)
+    assert model.languages == ["xx", "yy", "zz"]
+    ask = [(1, "kala vesi meri vene laiva"), (2, "² ½ Ⅷ ①"), (3, "12 -- _"), (4, None), (5, "der schiff und wasser"), (6, "ʰ")]
+    got = {x.doc_id: x for x in langid.predict(spark.createDataFrame(ask, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["zz", "und", "und", "und", "yy"] and got[6].lang_pred != "und" and got[2].score == 0

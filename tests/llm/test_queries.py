@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, con, key):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 def test_native_queries_run_no_python(spark):
