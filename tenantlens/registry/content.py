@@ -1,13 +1,16 @@
 """Document, chunk, search and text queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenantlens.functions import text as tx
-from tenantlens.operators import documents as doc, search as se
+from tenantlens.operators import documents as doc, search as se, vector_index as vi
 from tenantlens.plans import content as co
 from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0
 from tenantlens.registry.profile import c360
+from tenantlens.settings import checkpoint_root
 
 # Values written out again, so that a wrong one in the package shows.
 HTML_STEPS = [
@@ -294,6 +297,29 @@ def _(t):
     return se.search_by_group(t.embeddings, se.centroids(t.embeddings, "label"), "label", k=5)
 
 
+_NEAREST = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.chunk_id AS query_id, e.chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+  FROM b_embeddings e, b_embeddings q WHERE q.chunk_id % 50 = 0)) WHERE rank <= 10"""
+
+
+@query("m16_index_search", _NEAREST)
+def _(t):
+    """Neighbours of every fiftieth vector among all, by the inverted-list index in exact mode."""
+    path = f"{checkpoint_root(t.spark)}/run-{uuid.uuid4().hex}"
+    vi.build_index(t.embeddings, path, lists=16)
+    queries = t.embeddings.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vi.search_index(t.spark, path, queries, k=10, probes=4, exact=True)
+
+
+@query("m16_filtered_search", """
+SELECT e.chunk_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+FROM b_embeddings e, (SELECT embedding FROM b_embeddings ORDER BY chunk_id LIMIT 1) q WHERE e.org_id = 'ORG-2' ORDER BY score DESC, chunk_id LIMIT 10""")
+def _(t):
+    first = t.embeddings.orderBy("chunk_id").select("embedding").first()
+    return se.search(t.embeddings, first[0], k=10, filters={"org_id": "ORG-2"}).select("chunk_id", "label", "score")
+
+
 _TERMS = ["license", "released", "trash", "thatin"]
 _TF = ", ".join(f"len(list_filter({_TOK}, lambda w: w = '{w}')) AS tf{i}" for i, w in enumerate(_TERMS))
 _DF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(_TERMS)))

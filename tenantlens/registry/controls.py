@@ -1,13 +1,19 @@
 """Data quality, governance and workflow queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tenantlens.functions import masks as mk
+from tenantlens.functions.columns import ago, ts
 from tenantlens.operators import documents as doc, governance as gv, quality as dq, workflow as wf
 from tenantlens.plans import revenue as rv
 from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360
+from tenantlens.settings import AS_OF, checkpoint_root
+from tenantlens.sources import sinks
+from tenantlens.streaming import approvals as sa, jobs
 
 # -- data quality ----------------------------------------------------------------
 
@@ -244,6 +250,23 @@ def _(t):
     return approvals(t)
 
 
+@query("w2_approval_stream", "SELECT approval_id, org_id, status, decided_by, decided_at, rejection_reason FROM m_approvals", times="decided_at")
+def _(t):
+    """The same lifecycle from a stream: three runs with a restart between them, then a tick that moves the watermark to AS_OF."""
+    folder = f"{checkpoint_root(t.spark)}/run-{uuid.uuid4().hex}"
+    rows = sinks.materialize(sa.feed(t.approvals, t.approval_events).where(F.col("at") <= ts(AS_OF)))
+    tick = t.spark.range(1).select(F.lit(sa.TICK).alias("approval_id"), F.lit("tick").alias("kind"), (ts(AS_OF) + F.expr("INTERVAL 2 HOURS 1 MILLISECOND")).alias("at"))
+    cuts = [ago(AS_OF, days=3), ago(AS_OF, days=2)]
+    parts = [rows.where(F.col("at") < cuts[0]), rows.where((F.col("at") >= cuts[0]) & (F.col("at") < cuts[1])), rows.where(F.col("at") >= cuts[1]), tick]
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/feed")
+        events = t.spark.readStream.schema(sa.FEED).parquet(f"{folder}/feed")
+        jobs.run(sa.start_approvals(events, f"{folder}/out", f"{folder}/ck"))
+    ended = t.spark.read.parquet(f"{folder}/out")
+    return t.approvals.select("approval_id", "org_id").join(ended, "approval_id", "left").select(
+        "approval_id", "org_id", F.coalesce("status", F.lit("pending")).alias("status"), "decided_by", "decided_at", "rejection_reason")
+
+
 @query("w2_approval_log", """
 SELECT org_id, decided_by AS user_name, CASE WHEN status = 'approved' THEN 'APPROVE' ELSE 'REJECT' END AS action_type, 'APPROVAL_QUEUE' AS entity_type,
   approval_id AS entity_id, decided_at AS created_at FROM m_approvals WHERE decided_at IS NOT NULL""", times="created_at")
