@@ -31,9 +31,14 @@ def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
     one token: the window's first in the order of rising document frequency
     over all of ``docs``.
     """
-    vocabulary = windows.select(F.explode("win").alias("word")).distinct()
-    met = docs.select(F.explode(F.array_distinct("w")).alias("word")).join(vocabulary, "word")
-    counts = stage(met.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    # staged, so that Spark joins it by its real size: in the map tasks where it is small
+    vocabulary = stage(windows.select(F.explode("win").alias("word")).distinct())
+    volume = vocabulary.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    each, count = docs.select(F.explode(F.array_distinct("w")).alias("word")), F.count(F.lit(1)).alias("df")
+    if volume <= BLOCK_BYTES:
+        counts = stage(each.join(F.broadcast(vocabulary), "word").groupBy("word").agg(count))
+    else:  # summed before they are exchanged
+        counts = stage(each.groupBy("word").agg(count).join(vocabulary, "word"))
     spread = windows.select("win", F.posexplode("win").alias("at", "word"))
     rarest = spread.join(counts, "word").groupBy("win").agg(F.min(F.struct("df", "word", "at")).alias("r"), F.count(F.lit(1)).alias("met"))
     # a word that no document has rules its window out
