@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenantlens.llm.common import stage, table, whole_groups
 from tenantlens.llm.components import components
@@ -15,10 +15,12 @@ from tenantlens.llm.components import components
 SHINGLE = 8  # characters
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4  # finds 99.5 % of pairs at 0.8, 99.9 % at 0.85
-SHARD = 1024  # lines of a bucket compared at a time
+SHARD = 1024  # lines of a bucket that one task compares
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: such a document is the last to own a line
+LAST_ID = "\U0010ffff"  # the same among text ids
 _SLAB = 100_000
 _COLUMNS = 2048
+_PAIRED = 1 << 20
 _FEW = 6
 
 
@@ -39,6 +41,22 @@ def jaccard_at_least(a: set, b: set, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the character shingles of all lines, and where each line's begin."""
+    text = "".join(x.ljust(size, "\0") for x in lines)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = np.zeros(len(code) - size + 1, np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + code[k:len(code) - size + 1 + k]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    length = np.array([max(size, len(x)) for x in lines])
+    inside = np.ones(len(code), bool)
+    inside[(np.cumsum(length)[:, None] - np.arange(1, size)).ravel()] = False
+    return h[inside[:len(h)]], np.concatenate(([0], np.cumsum(length - size + 1)[:-1]))
+
+
 def signatures(lines: list[str], hashes: int, size: int = SHINGLE) -> np.ndarray:
     """MinHash of the character shingles: one row of ``hashes`` 32-bit minima per line."""
     out, a = np.empty((len(lines), hashes), np.uint32), 0
@@ -47,23 +65,11 @@ def signatures(lines: list[str], hashes: int, size: int = SHINGLE) -> np.ndarray
         while b < len(lines) and (b == a or chars + len(lines[b]) <= _SLAB):
             chars += max(size, len(lines[b]))
             b += 1
-        text = "".join(x.ljust(size, "\0") for x in lines[a:b])
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        h = np.zeros(len(code) - size + 1, np.uint64)
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + code[k:len(code) - size + 1 + k]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        length = np.array([max(size, len(x)) for x in lines[a:b]])
-        ends = np.cumsum(length)
-        inside = np.ones(len(code), bool)
-        inside[(ends[:, None] - np.arange(1, size)).ravel()] = False
-        h = h[inside[:len(h)]]
-        first = np.concatenate(([0], np.cumsum(length - size + 1)[:-1]))
+        h, first = shingle_hashes(lines[a:b], size)
         low, high = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         for i in range(hashes):
-            out[a:b, i] = np.minimum.reduceat((low + np.uint32(i) * high) * np.uint32(0x85EBCA6B), first)
+            out[a:b, i] = np.minimum.reduceat(low, first)
+            low += high
         a = b
     return out
 
@@ -91,28 +97,56 @@ def _handle(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _buckets(bands: int, rows: int):
-    """(bucket, handle) of each different line of a batch; the handle is 64 bits of the line's digest."""
+def listed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, text_id, line_no, key, handle, buckets) of every line with a word; text_id tells rows with one doc_id apart.
+
+    ``key`` is the digest of the normalised line, ``handle`` 64 bits of it. The
+    buckets stand where a batch has the line first.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            lines = list({x for row in _worded(b["text"]) for _, x in row})
-            keys = band_keys(signatures(lines, bands * rows), bands, rows)
-            handle = np.array([_handle(_digest(x)) for x in lines], np.int64)
-            yield pd.DataFrame({"bucket": keys.ravel(), "handle": np.repeat(handle, bands)})
-    return run
+            digests: dict[str, bytes] = {}
+            out, new = [], []
+            for i, t, row in zip(b["id"], b["text_id"], _worded(b["text"])):
+                for n, x in row:
+                    key = digests.get(x)
+                    if key is None:
+                        key = digests[x] = _digest(x)
+                        new.append(len(out))
+                    out.append((i, t, n, key))
+            made = pd.DataFrame(out, columns=["id", "text_id", "line_no", "key"])
+            made["handle"] = np.frombuffer(b"".join([key[:8] for *_, key in out]), "<i8") if out else np.empty(0, np.int64)
+            buckets = np.empty(len(out), object)
+            for at, keys in zip(new, band_keys(signatures(list(digests), bands * rows), bands, rows)):
+                buckets[at] = keys
+            yield made.assign(buckets=buckets)
+
+    identity = _identity(docs)
+    kind = docs.select(identity[0]).schema["id"].dataType.simpleString()
+    return docs.select(*identity, "text").mapInPandas(run, f"id {kind}, text_id long, line_no int, key binary, handle long, buckets array<long>")
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(members, handle) of the buckets with two different lines or more; ``members`` is one hash for equal sets of lines."""
-    rest = np.empty((0, 2), np.int64)
+    """(members, handle) of the buckets with two different lines or more; ``members`` is one hash for equal sets of lines.
+
+    Rows come sorted. The last bucket of a batch may go on in the next: its
+    parts wait, 8 bytes a different line.
+    """
+    parts: list[np.ndarray] = []
     for b in batches:
-        rows = np.concatenate([rest, b[["bucket", "handle"]].to_numpy(np.int64)])
+        rows = b[["bucket", "handle"]].to_numpy(np.int64)
         if not len(rows):
             continue
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on in the next batch
-        yield from _members(rows[:last])
-        rest = np.unique(rows[last:], axis=0)
-    yield from _members(rest)
+        if parts and parts[-1][-1, 0] != rows[0, 0]:
+            yield from _members(np.concatenate(parts))
+            parts = []
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if last:
+            yield from _members(np.concatenate([*parts, rows[:last]]))
+            parts = []
+        parts.append(rows[last:][np.concatenate(([True], rows[last + 1:, 1] != rows[last:-1, 1]))])
+    if parts:
+        yield from _members(np.concatenate(parts))
 
 
 def _members(rows: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -130,13 +164,15 @@ def _members(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"members": np.repeat(sign, count)[many].view(np.int64), "handle": rows[many, 1]})
 
 
-def _alike(sets: list[set], similarity: float) -> np.ndarray:
-    """Matrix of the pairs with an exact Jaccard of ``similarity`` or more; shared shingles are counted as products of 0/1 columns.
+def _alike(sets: list[set], similarity: float, rows: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the pairs with an exact Jaccard of ``similarity`` or more, for some or all rows.
 
-    The diagonal means nothing.
+    Shared shingles are counted as products of 0/1 columns. Where a set meets
+    itself the entry means nothing.
     """
+    rows = np.arange(len(sets)) if rows is None else rows
     if len(sets) <= _FEW:
-        return np.array([[jaccard_at_least(a, b, similarity) for a in sets] for b in sets])
+        return np.array([[jaccard_at_least(a, sets[b], similarity) for a in sets] for b in rows])
     number: dict[str, int] = {}
     column = np.array([number.setdefault(x, len(number)) for s in sets for x in s])
     size = np.array([len(s) for s in sets])
@@ -145,52 +181,87 @@ def _alike(sets: list[set], similarity: float) -> np.ndarray:
     row, column = row[shared], (np.cumsum(uses > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(rows), len(sets)), np.float32)
     for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
         lo, hi = np.searchsorted(column, (a, a + _COLUMNS))
         part = np.zeros((len(sets), _COLUMNS), np.float32)
         part[row[lo:hi], column[lo:hi] - a] = 1
-        both += part @ part.T
-    return both >= similarity * (size[:, None] + size[None, :] - both.astype(float))
+        both += part[rows] @ part.T
+    return both >= similarity * (size[rows, None] + size[None, :] - both.astype(float))
 
 
 def _links(sets: list[set], one: np.ndarray, two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs that connect what exact Jaccard connects between the places ``one`` and ``two``."""
-    alike, label = _alike(sets, similarity), np.arange(len(sets))
-    for i in one:
-        for j in two[alike[i, two] & (label[two] != label[i])]:
-            if label[i] != label[j]:
-                yield i, j
-                label[label == label[j]] = label[i]
+    """Pairs that connect what exact Jaccard connects between the places ``one`` and ``two`` (the same, or apart).
+
+    All of ``two`` meet the first of ``one``; then what that leaves apart meets the other side.
+    """
+    label, first = np.arange(len(sets)), one[0]
+    for j in two:
+        if j != first and jaccard_at_least(sets[first], sets[j], similarity):
+            label[j] = first
+            yield first, j
+    for side, other in ((two[label[two] != first], one), (one[1:], two[label[two] == first])):
+        if len(side) and len(other) and len(sets) > 2 and (label[other] != label[side[0]]).any():
+            alike = _alike(sets, similarity, side)
+            for at, i in enumerate(side):
+                for j in other[alike[at, other] & (label[other] != label[i])]:
+                    if label[i] != label[j]:
+                        yield i, j
+                        label[label == label[j]] = label[i]
+        if one[0] in two:
+            return
+
+
+def _close(x: list[str], y: list[str], similarity: float) -> np.ndarray:
+    """Whether line pairs reach ``similarity``: counts by 43-bit hashes of the shingles, sets of strings where these are near the bound."""
+    near, a = np.zeros(len(x), bool), 0
+    while a < len(x):
+        b, chars = a, 0
+        while b < len(x) and (b == a or chars + len(x[b]) + len(y[b]) <= _PAIRED):
+            chars += len(x[b]) + len(y[b])
+            b += 1
+        h, first = shingle_hashes([line for pair in zip(x[a:b], y[a:b]) for line in pair])
+        owner = np.repeat(np.arange(2 * (b - a), dtype=np.uint64), np.diff(np.append(first, len(h))))
+        keys = np.unique(owner >> np.uint64(1) << np.uint64(44) | h >> np.uint64(21) << np.uint64(1) | owner & np.uint64(1))
+        sizes = np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=b - a)
+        same = keys[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
+        both = np.bincount((same >> np.uint64(44)).astype(np.int64), minlength=b - a)
+        over = both - similarity * (sizes - both)
+        near[a:b] = over > 0
+        for k in np.flatnonzero(np.abs(over) <= 4):
+            near[a + k] = jaccard_at_least(shingles(x[a + k]), shingles(y[a + k]), similarity)
+        a = b
+    return near
 
 
 def _verify(similarity: float):
     """Per pair of shards of a bucket: links (a, b) that connect what exact Jaccard connects."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g, starts in whole_groups(batches, ["members", "one", "two"]):
-            key, line, found = g["key"].tolist(), g["line"].tolist(), []
+            key, line, found, twos = g["key"].tolist(), g["line"].tolist(), [], []
             one, two, shard = (g[c].to_numpy() for c in ("one", "two", "shard"))
             for a, b in zip(starts, starts[1:]):
-                sets = [shingles(x) for x in line[a:b]]
                 if b - a == 2:  # most buckets
-                    if (one[a] == two[a] or shard[a] != shard[a + 1]) and jaccard_at_least(*sets, similarity):
-                        found.append((key[a], key[a + 1]))
-                else:
-                    places = _links(sets, np.flatnonzero(shard[a:b] == one[a]), np.flatnonzero(shard[a:b] == two[a]), similarity)
+                    if one[a] == two[a] or shard[a] != shard[a + 1]:
+                        twos.append(a)
+                    continue
+                left, right = a + np.flatnonzero(shard[a:b] == one[a]), a + np.flatnonzero(shard[a:b] == two[a])
+                if len(left) and len(right):
+                    places = _links([shingles(x) for x in line[a:b]], left - a, right - a, similarity)
                     found += [(key[a + i], key[a + j]) for i, j in places]
+            near = _close([line[a] for a in twos], [line[a + 1] for a in twos], similarity)
+            found += [(key[a], key[a + 1]) for a, yes in zip(twos, near) if yes]
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
     return run
 
 
-def similar_lines(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shard: int = SHARD) -> DataFrame:
-    """(node, root): different normalised lines (128-bit digests) connected by links of at least ``similarity``."""
+def similar_lines(docs: DataFrame, seen: DataFrame, *, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """(node, root): keys of the lines in ``seen`` (``listed`` of ``docs``) connected by links of at least ``similarity``."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("text")
-    buckets = texts.mapInPandas(_buckets(bands, rows), "bucket long, handle long")
-    met = (buckets.repartition(width, "bucket").sortWithinPartitions("bucket", "handle")
-           .mapInPandas(_shared, "members long, handle long").distinct())
-    met = stage(met)
+    buckets = seen.where("buckets is not null").select(F.explode("buckets").alias("bucket"), "handle")
+    met = stage(buckets.repartition(width, "bucket").sortWithinPartitions("bucket", "handle")
+                .mapInPandas(_shared, "members long, handle long").distinct())
     wanted = stage(met.select("handle").distinct())
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,9 +270,8 @@ def similar_lines(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int
             digests = [_digest(x) for x in own]
             yield pd.DataFrame({"handle": [_handle(d) for d in digests], "key": digests, "line": list(own)})
 
-    held = (texts.mapInPandas(lines, "handle long, key binary, line string").join(wanted, "handle", "left_semi")
-            .dropDuplicates(["handle", "key"]))
-    held = stage(held)
+    held = stage(docs.select("text").mapInPandas(lines, "handle long, key binary, line string").join(wanted, "handle", "left_semi")
+                 .dropDuplicates(["handle", "key"]))
     sizes = stage(met.groupBy("members").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("shards")))
     cut = (met.join(sizes, "members").withColumn("shard", F.pmod(F.xxhash64("handle"), F.col("shards")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
@@ -212,22 +282,14 @@ def similar_lines(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int
     return components(pairs)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, text_id, line_no, key) of every line with a word; text_id tells rows with one doc_id apart."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, t, n, _digest(x)) for i, t, row in zip(b["id"], b["text_id"], _worded(b["text"])) for n, x in row]
-            yield pd.DataFrame(rows, columns=["id", "text_id", "line_no", "key"])
+def _identity(docs: DataFrame):
+    """Order of documents: by doc_id, a null last."""
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(LAST_ID))
+    return id.alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_id")
 
-    return docs.select(*_identity(), "text").mapInPandas(run, "id long, text_id long, line_no int, key binary")
 
-
-def _identity():
-    return (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_id"))
-
-
-def judged_lines(docs: DataFrame, **options) -> DataFrame:
+def judged_lines(docs: DataFrame, *, bands: int = BANDS, rows: int = ROWS, **options) -> DataFrame:
     """(id, text_id, line_no, kept): of each component of similar lines the first by (doc_id, line_no) is kept.
 
     Lines are compared normalised, so lines equal in that form are one node.
@@ -235,8 +297,9 @@ def judged_lines(docs: DataFrame, **options) -> DataFrame:
     empty texts have none. Rows equal in doc_id and text are judged alike;
     lines of documents without an id come last.
     """
-    roots = similar_lines(docs, **options)
-    seen = occurrences(docs).join(stage(roots), F.col("key") == F.col("node"), "left")
+    seen = stage(listed(docs, bands, rows))
+    roots = stage(similar_lines(docs, seen, **options))
+    seen = seen.join(roots, F.col("key") == F.col("node"), "left")
     seen = stage(seen.select("id", "text_id", "line_no", F.coalesce("root", "key").alias("root")))
     spot = F.struct("id", "line_no", "text_id")
     owner = stage(seen.groupBy("root").agg(F.min(spot).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "owner"))
@@ -250,16 +313,26 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     Lines without a word stay where they are. Columns are those of ``docs``;
     a null text stays null; n_chars, where present, follows the text.
     """
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, lost: pd.Series) -> pd.Series:
+        out = []
+        for t, gone in zip(texts, lost):
+            if t is not None:
+                gone = set(gone)
+                t = "\n".join([x for n, x in enumerate(t.split("\n")) if n not in gone])
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
     lost = (judged_lines(docs, **options).groupBy("id", "text_id")
             .agg(F.collect_list(F.when(~F.col("kept"), F.col("line_no"))).alias("_lost"), F.count_if("kept").alias("_left"))
             .where("size(_lost) > 0"))
-    rows = docs.select(*_identity(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stage(lost), ["id", "text_id"], "left")
+    rows = docs.select(*_identity(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stage(lost), ["id", "text_id"], "left")
     rows = rows.where("_left is null or _left > 0")
     whole = F.col("_lost").isNull()
-    kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, n: ~F.array_contains("_lost", n)), "\n")
-    new = {"text": F.when(whole, F.col("row.text")).otherwise(kept)}
+    rows = rows.withColumn("_new", without(F.when(~whole, F.col("row.text")), "_lost"))
+    new = {"text": F.when(whole, F.col("row.text")).otherwise(F.col("_new"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -270,7 +343,7 @@ def op8_fuzzy_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_set(F.when(F.col("kept"), F.col("line_no")))).alias("kept_lines"),
         F.count_distinct("line_no").alias("n_lines"))
     found = stage(found)
-    rows = docs.select("doc_id", *_identity())
+    rows = docs.select("doc_id", *_identity(docs))
     return rows.join(found, ["id", "text_id"], "left").select(
         "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.coalesce("n_lines", F.lit(0)) - F.coalesce(F.size("kept_lines"), F.lit(0))).cast("long").alias("n_removed"),
         F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"))

@@ -250,15 +250,31 @@ def test_bands_find_similar_lines():
     assert pairs > 60 and missed <= 1
 
 
-def test_similar_pairs_by_matrix_are_exact():
+def test_similar_pairs_are_exact():
     r = random.Random(1)
     base = prose(50, 77).replace("\n", " ").split()
     lines = list({" ".join(w if r.random() > rate else r.choice(VOCABULARY) for w in base) for rate in (.01, .05, .3) for _ in range(12)})
     sets = [linededup.shingles(x) for x in lines]
     alike = linededup._alike(sets, .8)
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if linededup.jaccard_at_least(sets[i], sets[j], .8)}
     for i in range(len(sets)):
         for j in range(i):
-            assert alike[i, j] == linededup.jaccard_at_least(sets[i], sets[j], .8)
+            assert alike[i, j] == ((i, j) in want)
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+    near = linededup._close([lines[i] for i, _ in pairs], [lines[j] for _, j in pairs], .8)
+    assert {p for p, yes in zip(pairs, near) if yes} == want
+    for n in (2, 3, 7, len(sets)):
+        every = np.arange(n)
+        assert union(linededup._links(sets[:n], every, every, .8), every) == union([(i, j) for i, j in want if i < n], every)
+        one, two = every[::2], every[1::2]
+        got, across = union(linededup._links(sets[:n], one, two, .8), every), union([(i, j) for i, j in want if i < n and (i - j) % 2], every)
+        assert all(got[i] == got[j] for i, j in want if i < n and (i - j) % 2) and set(got.values()) >= set(across.values())
+
+
+def test_line_dedup_keeps_any_kind_of_id(spark):
+    rows = [("b", "one line of text here\nsecond line of text"), ("a", "one line of text here"), (None, "second line of text"), ("c", "x\n" * 20_000 + "own ending")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.text) for r in got} == {("a", "one line of text here"), ("b", "second line of text"), ("c", "x\nown ending")}
 
 
 def test_packing(docs, none):
