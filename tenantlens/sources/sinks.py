@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tenantlens.operators.merge import dedupe, merge_upsert
 
 from tenantlens.settings import run_folder
 
 BUCKET = "_bucket"
-LAYOUT = "_layout"  # beside the buckets; readers of the table skip it
+LAYOUT = "_layout"  # bucket count, keys and schema of a merge table
+DATA, POINTERS = "data", "_pointers"
 ROWS_PER_BUCKET = 500_000
 
 
@@ -49,8 +51,50 @@ def write_layout(df: DataFrame, path: str, partition_by: list[str], sort_by: lis
     laid.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def _replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none where it does not exist."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()] if fs.exists(place) else []
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _pointer(spark: SparkSession, path: str) -> int:
+    """Number of the newest finished pointer, 0 without one."""
+    numbers = sorted((int(n) for n in _folders(spark, f"{path}/{POINTERS}")), reverse=True)
+    return next((n for n in numbers if _exists(spark, f"{path}/{POINTERS}/{n}/_SUCCESS")), 0)
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Which version holds each bucket: one entry per bucket that has rows."""
+    now = _pointer(spark, path)
+    return {r.bucket: r.version for r in spark.read.parquet(f"{path}/{POINTERS}/{now}").collect()} if now else {}
+
+
+def _write_version(df: DataFrame, path: str) -> dict[int, str]:
+    """Write bucketed rows as a new version, which no reader sees yet; the buckets it has."""
+    version = f"v{uuid.uuid4().hex}"
+    df.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{DATA}/version={version}")
+    found = (n.split("=") for n in _folders(df.sparkSession, f"{path}/{DATA}/version={version}"))
+    return {int(n): version for name, n in found if name == BUCKET}
+
+
+def _publish(spark: SparkSession, path: str, versions: dict[int, str]) -> None:
+    """Make ``versions`` what readers see: the success marker of the next pointer is the one change that counts."""
+    rows = spark.createDataFrame(list(versions.items()), "bucket int, version string")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{POINTERS}/{_pointer(spark, path) + 1}")
+
+
+def _read_buckets(spark: SparkSession, path: str, versions: dict[int, str]) -> DataFrame:
+    if not versions:
+        schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{path}/{LAYOUT}").first().schema))
+        return spark.createDataFrame([], schema.add(BUCKET, T.IntegerType()))
+    places = [f"{path}/{DATA}/version={v}/{BUCKET}={b}" for b, v in sorted(versions.items())]
+    return spark.read.option("basePath", f"{path}/{DATA}").parquet(*places).drop("version")
 
 
 def with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
@@ -63,34 +107,56 @@ def create_merge_table(df: DataFrame, path: str, keys: list[str], *, rows_per_bu
     The number of buckets follows the number of rows, and is stored with the
     keys beside the table, so every later merge uses the same ones.
     """
-    rows = materialize(df)
+    spark, rows = df.sparkSession, materialize(df)
     buckets = max(1, -(-rows.count() // rows_per_bucket))
-    full_refresh(with_bucket(rows, keys, buckets), path, [BUCKET])
-    df.sparkSession.createDataFrame([(buckets, list(keys))], "buckets int, keys array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
+    layout = spark.createDataFrame([(buckets, list(keys), df.schema.json())], "buckets int, keys array<string>, schema string")
+    layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/{LAYOUT}")
+    _publish(spark, path, _write_version(with_bucket(rows, keys, buckets), path))
 
 
 def merge_into(spark: SparkSession, path: str, batch: DataFrame, update_cols: list[str] | None = None, *,
                order_by: tuple[str, ...] = ("loaded_at",), on_update=None, on_insert=None) -> None:
     """Merge a batch into a table made by ``create_merge_table``.
 
-    Only the buckets the batch touches are read and rewritten. The bucket
-    numbers are the one thing collected; there are at most as many as the
-    table has. The deduplicated batch is staged once because the merge refers
-    to it three times. The buckets are replaced in place: keep a copy of the
-    table where a failure while they are written must not lose any.
+    Only the buckets the batch touches are read, and written as a new version
+    beside the old one; then one small pointer makes it the current one. A job
+    that fails before that changes nothing, and its rerun merges into the same
+    rows as the first run. One job at a time may write a table. The bucket
+    numbers are the one thing collected; there are at most as many as the table
+    has. The deduplicated batch is staged once because the merge refers to it
+    three times. ``drop_old_versions`` frees what no pointer names.
     """
-    buckets, keys = spark.read.parquet(f"{path}/{LAYOUT}").first()
+    buckets, keys = spark.read.parquet(f"{path}/{LAYOUT}").select("buckets", "keys").first()
     source = materialize(with_bucket(dedupe(batch, keys, order_by), keys, buckets))
     touched = [r[0] for r in source.select(BUCKET).distinct().collect()]
     if not touched:
         return
-    target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
+    versions = _versions(spark, path)
+    target = _read_buckets(spark, path, {b: versions[b] for b in touched if b in versions})
     merged = merge_upsert(target, source, [*keys, BUCKET], update_cols, order_by=(), on_update=on_update, on_insert=on_insert)
-    _replace_partitions(merged, path, [BUCKET])
+    _publish(spark, path, versions | _write_version(merged, path))
 
 
 def read_merge_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    return _read_buckets(spark, path, _versions(spark, path)).drop(BUCKET)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Remove the buckets and pointers that the current pointer does not need; the number of folders removed.
+
+    Call it when no reader of an older state and no merge is at work.
+    """
+    now, held = _pointer(spark, path), _versions(spark, path)
+    wanted = {f"{DATA}/version={v}/{BUCKET}={b}" for b, v in held.items()} | {f"{POINTERS}/{now}"}
+    old = [f"{POINTERS}/{n}" for n in _folders(spark, f"{path}/{POINTERS}")]
+    for version in _folders(spark, f"{path}/{DATA}"):
+        inside = [f"{DATA}/{version}/{b}" for b in _folders(spark, f"{path}/{DATA}/{version}")]
+        old += inside if wanted & set(inside) else [f"{DATA}/{version}"]
+    gone = [name for name in old if name not in wanted]
+    for name in gone:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str, lower: int, upper: int, partitions: int,

@@ -145,3 +145,38 @@ def test_jdbc_reader_options(monkeypatch):
 
     sinks.read_jdbc(Session(), "jdbc:x", "orders", partition_column="id", lower=0, upper=100, partitions=8, columns=["id"], since="d > 1")
     assert (seen["format"], seen["partitionColumn"], seen["numPartitions"], seen["since"], seen["columns"]) == ("jdbc", "id", 8, "d > 1", ("id",))
+
+
+def test_failed_merge_loses_and_repeats_nothing(spark, tmp_path, monkeypatch):
+    """A job lost between writing and publishing leaves the old state; its rerun gives the new one once."""
+    path = str(tmp_path / "t")
+    make = lambda lo, hi, v: spark.createDataFrame([(i, f"o{i % 2}", v, dt.datetime(2024, 1, 1 + v)) for i in range(lo, hi)], "id long, org_id string, v int, loaded_at timestamp")
+    sinks.create_merge_table(make(0, 60, 0), path, ["id", "org_id"], rows_per_bucket=10)
+    before = rows(sinks.read_merge_table(spark, path), "id", "v")
+    publish = sinks._publish
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+    monkeypatch.setattr(sinks, "_publish", lost)
+    with pytest.raises(RuntimeError):
+        sinks.merge_into(spark, path, make(50, 80, 1))
+    assert rows(sinks.read_merge_table(spark, path), "id", "v") == before
+    # a pointer that was begun but not finished does not count
+    spark.createDataFrame([(0, "vnowhere")], "bucket int, version string").write.parquet(f"{path}/{sinks.POINTERS}/2")
+    (tmp_path / "t" / sinks.POINTERS / "2" / "_SUCCESS").unlink()
+    assert rows(sinks.read_merge_table(spark, path), "id", "v") == before
+    monkeypatch.setattr(sinks, "_publish", publish)
+    for _ in range(2):  # and a replay after success changes nothing
+        sinks.merge_into(spark, path, make(50, 80, 1))
+        assert rows(sinks.read_merge_table(spark, path), "id", "v") == [(i, int(i >= 50)) for i in range(80)]
+    assert sinks.drop_old_versions(spark, path) > 0 and sinks.drop_old_versions(spark, path) == 0
+    assert rows(sinks.read_merge_table(spark, path), "id", "v") == [(i, int(i >= 50)) for i in range(80)]
+
+
+def test_merge_table_without_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    none = spark.createDataFrame([], "id long, v int, loaded_at timestamp")
+    sinks.create_merge_table(none, path, ["id"])
+    assert sinks.read_merge_table(spark, path).count() == 0
+    sinks.merge_into(spark, path, spark.createDataFrame([(1, 2, dt.datetime(2024, 1, 1))], none.schema))
+    assert rows(sinks.read_merge_table(spark, path), "id", "v") == [(1, 2)]
