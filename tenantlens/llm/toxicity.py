@@ -20,56 +20,156 @@ STEM_LENGTHS = (4, 5, 6, 7, 8)
 WHOLE = "$"  # ends a stem that is a whole word
 ALPHA = 0.1
 
-# General words of abuse and the words that turn a clause, in the four languages of the corpus.
+# General words of abuse and the words that shape a clause, in the four languages of the corpus.
 INSULTS = """idiot idiots moron morons imbecile stupid dumb loser losers pathetic worthless disgusting scum trash garbage clown
  clowns freak freaks jerk bastard filth filthy vermin scumbag dimwit fool fools coward pig pigs useless ugly creep parasite
  dummkopf vollidiot versager abschaum trottel arschloch widerlich erbaermlich imbécile crétin débile ordure salaud minable
  abruti idiote imbécil estúpido estúpida basura asqueroso patético inútil cabrón gilipollas"""
 THREATS = """kill murder hurt destroy beat stab shoot strangle burn slaughter töten umbringen vernichten verprügeln tuer
  massacrer frapper détruire matar destruir golpear asesinar"""
-TARGETS = """you your yours yourself he she they him her them his their du dich dir dein deine ihr euch tu toi vous votre ton
- usted ustedes vosotros tus"""
-NEGATIONS = "not never no isn't aren't wasn't nicht kein keine nie ne jamais aucun nunca jamás ningún"
+YOU = "you your yours yourself du dir dein deine ihr tu toi vous votre ton usted ustedes vosotros tus"
+PERSONS = "he she they him them his her their er sie il elle ils él ella ellos"
+CLITICS = "dich euch ihn te os"  # objects that stand before the verb
+SELVES = "i we i'm i'll we'll ich wir je nous yo nosotros"
+MODALS = "will shall should must gonna going werde werden sollte vais allons voy vamos"
+NEGATIONS = """not never no nobody isn't aren't wasn't weren't don't doesn't didn't won't can't nicht kein keine nie ne jamais aucun
+ nunca jamás ningún"""
+TURNS = "but however yet though aber sondern doch mais pourtant pero sino"
 REPORTS = "said says say told claimed called quoted reported wrote sagte schrieb behauptete dit disait écrit dijo dice escribió"
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(6)
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n]")
+SYMBOLS = 14
+(OTHER, INSULT, THREAT, SECOND, PERSON, CLITIC, SELF, MODAL, NEGATION, TURN, REPORT, PAUSE, QUOTE, STOP) = range(SYMBOLS)
+BREAK = SYMBOLS  # end of a line or of the text; closes what a full stop leaves open
+READ = SYMBOLS + 1
+# What a machine writes for an insult or a threat: the symbol shifted by its state; direct, reported, negated, both.
+DIRECT, REPORTED, NEGATED = 0, 1, 2
+REACH = 2  # words between a threat and its target at most
+DISCOUNT = (1.0, 0.1, 0.1, 0.05)
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.,;:!?\n\"“”„«»]")
+
+
+def _shaded(symbol: int, code: int) -> int:
+    """Insult or threat of a code (0 to 3) on a tape between two machines."""
+    return symbol if code == 0 else READ + 3 * (symbol - INSULT) + code - 1
+
+
+def _plain(symbol: int) -> tuple[int, int]:
+    """Symbol and code of what stands on a tape."""
+    return (symbol, 0) if symbol < READ else (INSULT + (symbol - READ) // 3, (symbol - READ) % 3 + 1)
+
+
+TAPE = READ + 6
 
 
 @dataclass
 class Transducer:
-    """States 0..n-1, start 0; ``step[state, symbol]`` is the next state and ``end[state]`` what the end of a clause emits."""
+    """State s reads symbol a: goes to ``step[s, a]``, writes ``emit[s, a]``, multiplies by ``weight[s, a]``. Starts in 0."""
 
     step: np.ndarray
-    end: np.ndarray
+    emit: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def build(start, rule, symbols: int) -> Transducer:
+        """Machine of the states that ``rule(state, symbol) -> (state, written, weight)`` reaches from ``start``."""
+        names, table = {start: 0}, []
+        for state in (queue := [start]):
+            row = [rule(state, a) for a in range(symbols)]
+            for after, _, _ in row:
+                if after not in names:
+                    names[after] = len(names)
+                    queue.append(after)
+            table.append([(names[after], written, w) for after, written, w in row])
+        cube = np.array(table, dtype=float)
+        return Transducer(cube[:, :, 0].astype(np.int32), cube[:, :, 1].astype(np.int32), cube[:, :, 2])
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; states and outputs are pairs."""
-        n, m = len(self.end), len(other.end)
-        step = (self.step[:, None, :] * m + other.step[None, :, :]).reshape(n * m, -1)
-        width = int(other.end.max()) + 1
-        return Transducer(step, (self.end[:, None] * width + other.end[None, :]).reshape(-1))
+        """``other`` reads what this machine writes; weights multiply."""
+        def rule(state, a):
+            s, t = state
+            written = self.emit[s, a]
+            return ((int(self.step[s, a]), int(other.step[t, written])), int(other.emit[t, written]),
+                    float(self.weight[s, a] * other.weight[t, written]))
+        return Transducer.build((0, 0), rule, self.step.shape[1])
 
 
-def _flag(symbol: int) -> Transducer:
-    """Remembers whether the clause had the symbol; the end of the clause resets it."""
-    step = np.array([[0] * 6, [1] * 6])
-    step[0, symbol] = 1
-    step[:, END] = 0
-    return Transducer(step, np.array([0, 1]))
+def reported_speech() -> Transducer:
+    """A report verb, unless the writer speaks of himself just before, opens reported speech.
+
+    It holds over commas, colons and opening quotes to the full stop, or,
+    once a quote is open, to its end; a line break ends it always. A report
+    that follows its quote is not seen.
+    """
+    def rule(state, a):
+        if a == BREAK:
+            return "direct", a, 1.0
+        if a in (INSULT, THREAT) and state in ("reported", "quoted"):
+            return state, _shaded(a, REPORTED), 1.0
+        if state == "quoted":
+            return ("direct" if a == QUOTE else state), a, 1.0
+        if state == "reported":
+            return {QUOTE: "quoted", STOP: "direct"}.get(a, state), a, 1.0
+        if a == REPORT and state != "self":
+            return "reported", a, 1.0
+        return ("self" if a == SELF else "direct"), a, 1.0
+    return Transducer.build("direct", rule, READ)
+
+
+def negation() -> Transducer:
+    """A negation covers what follows to the next turn word, pause, stop or break, and nothing before it."""
+    def rule(covered, a):
+        symbol, code = _plain(a)
+        if symbol in (INSULT, THREAT) and covered:
+            return covered, _shaded(symbol, code | NEGATED), 1.0
+        return (True if a == NEGATION else covered and a not in (TURN, PAUSE, STOP, BREAK)), a, 1.0
+    return Transducer.build(False, rule, TAPE)
+
+
+def clause() -> Transducer:
+    """Insults and threats of a clause; written where it ends, with the discount of its strongest part.
+
+    An insult is aimed if the clause names a person. A threat needs an agent
+    before it (the writer or a modal verb) and a target at most ``REACH``
+    words behind it, or an object before it; without an agent, at the start
+    of a clause, only the addressed person is a target. Written: 0, or
+    insult part (bare 1-4, aimed 5-8) x 5 + threat part (1-4).
+    """
+    def rule(state, a):
+        agent, named, insult, threat, wait = state  # threat: 0 or 1 + code; wait: None or (words left, code, is an order)
+        symbol, code = _plain(a)
+        if symbol in (PAUSE, STOP, BREAK):
+            part = insult + (4 if insult and named else 0)
+            strongest = max([DISCOUNT[x - 1] for x in (insult, threat) if x], default=1.0)
+            return ("start", False, 0, 0, None), part * 5 + threat, strongest
+        if wait is not None and symbol in ((SECOND, CLITIC) if wait[2] else (SECOND, PERSON, CLITIC)):
+            threat, wait = wait[1] + 1, None
+        elif wait is not None and symbol != QUOTE:
+            wait = (wait[0] - 1, *wait[1:]) if wait[0] else None
+        if symbol == CLITIC and agent == "agent":
+            agent = "aimed"
+        named = named or symbol in (SECOND, PERSON, CLITIC)
+        if symbol == INSULT:
+            insult = min(insult or 5, code + 1)
+        elif symbol == THREAT and not threat:
+            if agent == "aimed":
+                threat, wait = code + 1, None
+            elif agent in ("agent", "start"):
+                wait = (REACH, code, agent == "start")
+        if symbol in (SELF, MODAL):
+            agent = agent if agent == "aimed" else "agent"
+        elif agent == "start" and symbol != QUOTE:
+            agent = "none"
+        return (agent, named, insult, threat, wait), 0, 1.0
+    return Transducer.build(("start", False, 0, 0, None), rule, TAPE)
 
 
 def grammar() -> Transducer:
-    """insult x threat x target x negation x reported speech; output 0 to 31, a bit per part."""
-    out = _flag(INSULT)
-    for symbol in (THREAT, TARGET, NEGATION, REPORT):
-        out = out.compose(_flag(symbol))
-    return out
+    """Words' symbols through reported speech, then negation, then clauses."""
+    return reported_speech().compose(negation()).compose(clause())
 
 
-LABELS = 32
-MATCHED = [o for o in range(LABELS) if o >> 3]  # outputs with an insult or a threat
-FEATURES = len(MATCHED) + 3
+KINDS = 12  # bare insults, aimed insults, threats; each direct, reported, negated, both
+FEATURES = KINDS + 3
 
 
 @dataclass
@@ -83,24 +183,27 @@ class Model:
     def __post_init__(self):
         if self.weights is None:
             self.weights = prior()
-        words = {INSULT: INSULTS, THREAT: THREATS, TARGET: TARGETS, NEGATION: NEGATIONS, REPORT: REPORTS}
+        words = {INSULT: INSULTS, THREAT: THREATS, SECOND: YOU, PERSON: PERSONS, CLITIC: CLITICS, SELF: SELVES, MODAL: MODALS,
+                 NEGATION: NEGATIONS, TURN: TURNS, REPORT: REPORTS}
         self.arcs = {w: (s, 1.0) for s, text in words.items() for w in text.split()}
-        self.arcs |= {p: (END, 0.0) for p in ".,;:!?\n"}
+        marks = {PAUSE: ",:", QUOTE: '"“”„«»', STOP: ".;!?", BREAK: "\n"}
+        self.arcs |= {p: (s, 0.0) for s, text in marks.items() for p in text}
         self.fst = grammar()
 
 
 class Lexicon(dict):
-    """Word to (symbol, weight), None for words without an arc; caches a bounded number of words."""
+    """Word to (symbol, weight); caches a bounded number of words. Holds the machine's tables as lists."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.step, self.emit, self.weight = (t.tolist() for t in (model.fst.step, model.fst.emit, model.fst.weight))
 
     def __missing__(self, word: str):
-        arc = self.model.arcs.get(word)
+        arc = self.model.arcs.get(word.replace("’", "'"), (OTHER, 0.0))
         weight = max(self.model.stems.get(s, 0.0) for s in beginnings(word))
-        if weight and (arc is None or arc[0] == INSULT):  # a learned stem
-            arc = (INSULT, max(weight, arc[1] if arc else 0.0))
+        if weight and arc[0] in (OTHER, INSULT):  # a learned stem
+            arc = (INSULT, max(weight, arc[1]))
         if len(self) > 300_000:
             self.clear()
         self[word] = arc
@@ -108,31 +211,40 @@ class Lexicon(dict):
 
 
 def prior() -> np.ndarray:
-    """Weights before any label: direct abuse counts, targeted abuse more, negated or reported abuse less."""
-    w = [1.2 * (o >> 4) + 1.2 * (o >> 3 & 1) + 0.6 * (o >> 2 & 1) - 1.0 * (o >> 1 & 1) - 0.8 * (o & 1) for o in MATCHED]
-    return np.array([max(x, 0.0) for x in w] + [0.5, 0.5, 0.0])
+    """Weights before any label: abuse counts, aimed abuse more, threats most, reported or negated ones hardly."""
+    kinds = [max(w * d, 0.0) for w in (1.2, 1.8, 2.4) for d in DISCOUNT]
+    return np.array(kinds + [0.5, 0.5, 0.0])
 
 
 def clause_features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Matched clauses of each kind (log1p), their summed arc weight (log1p), matches per 100 words (log1p), log words."""
+    """Matched clauses of each kind (log1p), their summed weight (log1p), discounted matches per 100 words (log1p), log words.
+
+    A matched clause weighs its heaviest word times the discount that the
+    machine puts on the arc that ends it.
+    """
     x = np.zeros(FEATURES)
     tokens = _TOKEN.findall(text.lower()) if text else []
     arcs = list(map(lexicon.__getitem__, tokens))
-    if any(a is not None and a[0] <= THREAT for a in arcs):
-        fst, counts, total, state, heaviest = lexicon.model.fst, np.zeros(LABELS), 0.0, 0, 0.0
-        for arc in filter(None, arcs + [(END, 0.0)]):
-            if arc[0] == END:
-                if state:
-                    out = fst.end[state]
-                    if out >> 3:
-                        counts[out] += 1
-                        total += heaviest
-                    state, heaviest = 0, 0.0
-            else:
-                state, heaviest = fst.step[state, arc[0]], max(heaviest, arc[1] if arc[0] <= THREAT else 0.0)
-        matched = counts[MATCHED]
-        x[:len(MATCHED)] = np.log1p(matched)
-        x[-3], x[-2] = np.log1p(total), np.log1p(100 * matched.sum() / max(1, len(tokens)))
+    if any(a[0] == INSULT or a[0] == THREAT for a in arcs):
+        step, emit, weight = lexicon.step, lexicon.emit, lexicon.weight
+        state, heaviest, total, matches = 0, 0.0, 0.0, 0.0
+        for symbol, heavy in arcs + [(BREAK, 0.0)]:
+            if heavy > heaviest and symbol <= THREAT:
+                heaviest = heavy
+            if symbol >= PAUSE:
+                if out := emit[state][symbol]:
+                    insult, threat = divmod(out, 5)
+                    if insult:
+                        x[insult - 1] += 1
+                    if threat:
+                        x[8 + threat - 1] += 1
+                    total += heaviest * weight[state][symbol]
+                    matches += weight[state][symbol]
+                if symbol != QUOTE:
+                    heaviest = 0.0
+            state = step[state][symbol]
+        x[:KINDS] = np.log1p(x[:KINDS])
+        x[-3], x[-2] = np.log1p(total), np.log1p(100 * matches / max(1, len(tokens)))
     x[-1] = np.log1p(len(tokens)) / 10
     return x
 
@@ -141,7 +253,7 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] for n in STEM_LENGTHS if len(word) >= n] + [word + WHOLE]
 
 
-def learn_stems(sample: DataFrame, alpha: float = ALPHA, most: int = STEMS) -> dict[str, float]:
+def learn_stems(sample: DataFrame, alpha: float = ALPHA, most: int | None = STEMS) -> dict[str, float]:
     """Word beginnings and whole words that toxic documents have and others lack, with weights (at most 2).
 
     Each beginning counts once per distinct text. One is kept if its
@@ -168,7 +280,8 @@ def learn_stems(sample: DataFrame, alpha: float = ALPHA, most: int = STEMS) -> d
     share = F.col("p") / F.col("n")
     ratio = F.col("p") * F.log(share / base) + F.when(F.col("p") < F.col("n"), (F.col("n") - F.col("p")) * F.log((1 - share) / (1 - base))).otherwise(0)
     best = counts.where((F.col("p") >= 4) & (share > 0.8)).withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(tried / alpha)))
-    kept = best.orderBy(F.desc("ratio"), "stem").limit(most).collect()
+    ranked = best.orderBy(F.desc("ratio"), "stem")
+    kept = (ranked if most is None else ranked.limit(most)).collect()
     odds = {r.stem: min(5.0, float(np.log((r.p + .5) / (r.n - r.p + .5) * (1 - base) / base))) for r in kept}
     stems: dict[str, float] = {}
     for stem, w in odds.items():  # by falling ratio: of a word's beginnings only the most telling one
@@ -191,21 +304,23 @@ def _fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, bias: float, l2: float
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int | None = STEMS) -> Model:
     """Fit on about ``sample`` labelled rows outside the held-out fold, chosen by hash of the id, equal texts once.
 
     Stems are learned on four fifths of the sample; the clause weights on the
-    rest, where the stems were not chosen. Without labels of both kinds the
-    model keeps its prior weights.
+    rest, where the stems were not chosen. Equal texts count once, as toxic if
+    one of them is. At most ``most`` stems are kept (None: all). Without labels
+    of both kinds the model keeps its prior weights.
     """
     truth = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = stage(docs.where(fold(F.col("doc_id")) != HELD_OUT).select("doc_id").join(truth, "doc_id").distinct().withColumn("turn", F.xxhash64("doc_id")))
     share = min(1.0, sample / max(1, known.count()))
     picked = stage(known.where(F.pmod(F.col("turn"), F.lit(1 << 30)) < int(share * (1 << 30))))
     # some 16 bytes for each of about ``sample`` rows: small enough to broadcast, so no other text moves
-    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text"])
-    chosen = stage(chosen.select("text", "toxic", F.pmod(F.shiftright("turn", 32), F.lit(5)).alias("part")))
-    model = Model(learn_stems(chosen.where("part < 4")))
+    chosen = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    part = F.pmod(F.shiftright("turn", 32), F.lit(5))
+    chosen = stage(chosen.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(part).alias("part")))
+    model = Model(learn_stems(chosen.where("part < 4"), most=most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(model)

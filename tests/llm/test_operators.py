@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -421,17 +422,59 @@ def test_language_held_out(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
 
-def test_grammar_composes_its_parts():
-    fst = toxicity.grammar()
-
-    def clause(*symbols):
-        state = 0
-        for s in symbols:
-            state = fst.step[state, s]
-        return int(fst.end[state]), int(fst.step[state, toxicity.END])
-    assert clause(toxicity.INSULT) == (16, 0) and clause(toxicity.TARGET, toxicity.INSULT) == (20, 0)
-    assert clause(toxicity.NEGATION, toxicity.THREAT, toxicity.TARGET) == (14, 0) and clause(toxicity.REPORT, toxicity.INSULT, toxicity.INSULT) == (17, 0)
-    assert clause(toxicity.TARGET) == (4, 0) and clause() == (0, 0)
+def slow_clauses(letters):
+    """(insult part, threat part) of each clause that has one, by searching the string of symbols instead of machines."""
+    inside = lambda spans, i: any(m.start() < i < m.end() for m in spans)
+    reports = list(re.finditer(r'(?<!S)R[^".\n]*(?:\.|"[^"\n]*"?)?', letters))
+    negations = list(re.finditer(r"N[^U,.\n]*", letters))
+    for m in re.finditer(r"[^,.\n]+", letters):
+        at = [i for i in range(*m.span()) if letters[i] != '"']
+        q = "".join(letters[i] for i in at)
+        code = [inside(reports, i) + 2 * inside(negations, i) for i in at]
+        insult = min((code[j] + 1 for j, x in enumerate(q) if x == "I"), default=0)
+        threat = 0
+        for j in (j for j, x in enumerate(q) if x == "T"):
+            before, after = q[:j], q[j + 1:]
+            order = re.match("([^YC]{0,2})[YC]", after)
+            if re.search("[SM].*C", before) or (re.search("[SM]", before) and re.match("[^YPCT]{0,2}[YPC]", after)) or (
+                    j == 0 and order and not re.search("[SM].*T", order[1])):
+                threat = code[j] + 1
+                break
+        if insult or threat:
+            yield insult + (4 if insult and set("YPC") & set(q) else 0), threat
+
+
+def test_grammar_path_by_path():
+    letters, fst, rand = 'OITYPCSMNUR,".\n', toxicity.grammar(), random.Random(5)
+    for _ in range(6000):
+        text = "".join(rand.choice(letters + "OITYSR") for _ in range(rand.randrange(1, 14))) + "\n"
+        state, got = 0, []
+        for a in map(letters.index, text):
+            if fst.emit[state, a]:
+                insult, threat = divmod(int(fst.emit[state, a]), 5)
+                got.append((insult, threat))
+                assert fst.weight[state, a] == max(toxicity.DISCOUNT[(x - 1) % 4] for x in (insult, threat) if x)
+            state = fst.step[state, a]
+        assert got == list(slow_clauses(text)), text
+
+
+@pytest.mark.parametrize("toxic, text", [
+    (0, "He said you are an idiot."), (0, "He said: you are an idiot."), (0, 'He said, "you are an idiot."'), (1, "You idiot did not call."),
+    (1, "You idiot"), (0, "Beat the eggs, then burn the sugar."), (0, "He won the match and beat them."), (1, "I will kill you"),
+    (1, "Kill yourself"), (1, "Ich werde dich töten"), (0, "you are not an idiot"), (1, "You are not smart but an idiot"), (1, "No, you idiot!"),
+    (1, "I said you are an idiot."), (0, "I will beat the eggs for you"), (0, 'He said, "you moron. You idiot." fine'),
+    (1, 'He said "hello". You idiot.'), (0, "Nobody will kill you")])
+def test_sentences_with_the_prior_alone(toxic, text):
+    model = toxicity.Model()
+    z = toxicity.clause_features(text, toxicity.Lexicon(model)) @ model.weights + model.bias
+    assert (1 / (1 + np.exp(-z)) >= toxicity.THRESHOLD) == bool(toxic)
+
+
+def test_equal_texts_with_two_labels(spark):
+    rows = [(i, f"text {i // 4} word{i // 4} calm") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    fits = [toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for n in (1, 5)]
+    assert fits[0].stems == fits[1].stems and np.allclose(fits[0].weights, fits[1].weights)
 
 
 def test_clauses_not_words_are_scored(spark, docs, none):
