@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tenantlens.functions.columns import mean
@@ -68,6 +70,10 @@ STARS = {
 }
 
 
+# Dimensions that mean the same in every model that has them or reaches them.
+CONFORMED = {"org_id", "customer_id", "customer_name", "segment", "lifecycle_stage", "region", "industry", "churn_risk_level", "risk_level"}
+
+
 def _measure(expr: str, agg: str) -> Column:
     value = F.expr(expr)
     return {"count": F.count, "sum": F.sum, "avg": mean, "min": F.min, "max": F.max}[agg](value)
@@ -92,3 +98,49 @@ def star(fact_name: str, fact: DataFrame, dim_name: str, dim: DataFrame, columns
     left, right = STARS[(fact_name, dim_name)]
     side = dim.select(F.col(right).alias(left), "org_id", *[F.col(c).alias(f"dim_{c}") for c in columns])
     return fact.join(side, [left, "org_id"], "left")
+
+
+def _source(model: str, dim: str, frames: dict[str, DataFrame]) -> str | None:
+    """Table that gives a model its dimension: None for its own, else the first star that has it."""
+    if dim in MODELS[model][0]:
+        return None
+    for fact, other in STARS:
+        if fact == model and other in frames and dim in MODELS[other][0]:
+            return other
+    raise KeyError(f"{model} does not reach {dim}: its measures would be repeated for every value")
+
+
+def drill_across(frames: dict[str, DataFrame], measures: list[str], dims: list[str], where: dict[str, str] | None = None) -> DataFrame:
+    """Measures of several models (``model.measure``) by shared dimensions, one row per combination that any model has.
+
+    Each model is reduced to the dimensions first; only the reduced rows meet,
+    so no fact multiplies another. A dimension comes from the model itself or
+    over a star from its dimension table. Rejected with KeyError: unknown
+    names, a dimension that a model does not reach, and, across several
+    models, one that is not conformed. A missing combination is NULL; NULL
+    dimension values meet each other. ``where`` filters a model's own rows.
+    """
+    wanted: dict[str, list[str]] = {}
+    for name in measures:
+        model, _, measure = name.partition(".")
+        if model not in MODELS or measure not in MODELS[model][1]:
+            raise KeyError(f"unknown measure {name}")
+        wanted.setdefault(model, []).append(measure)
+    loose = [d for d in dims if d not in CONFORMED] if len(wanted) > 1 else []
+    if loose:
+        raise KeyError(f"not shared between models: {loose}")
+    names = Counter(m for ms in wanted.values() for m in ms)
+    parts = []
+    for model, picked in wanted.items():
+        sources = {d: _source(model, d, frames) for d in dims}
+        rows = frames[model] if (where or {}).get(model) is None else frames[model].filter(where[model])
+        for other in dict.fromkeys(s for s in sources.values() if s):
+            columns = [d for d in dims if sources[d] == other]
+            rows = star(model, rows, other, frames[other], columns).withColumnsRenamed({f"dim_{d}": d for d in columns})
+        known = MODELS[model][1]
+        parts.append(metric(rows, {m if names[m] == 1 else f"{model}_{m}": known[m] for m in picked}, dims))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    values = [c for c in out.columns if c not in dims]
+    return out.groupBy(*dims).agg(*[F.max(c).alias(c) for c in values])  # one row per model: max only picks it

@@ -51,6 +51,52 @@ def write_layout(df: DataFrame, path: str, partition_by: list[str], sort_by: lis
     laid.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def _code(value: Column, bounds: list) -> Column:
+    """Number of ``bounds`` (ascending) not above the value, as a tree of comparisons."""
+    if not bounds:
+        return F.lit(0)
+    mid = len(bounds) // 2
+    return F.when(value < F.lit(bounds[mid]), _code(value, bounds[:mid])).otherwise(F.lit(mid + 1) + _code(value, bounds[mid + 1:]))
+
+
+def curve_key(df: DataFrame, columns: list[str], *, bits: int = 6) -> tuple[Column, int]:
+    """Place of a row on a space-filling (Z-order) curve over ``columns``, and the number of rows.
+
+    Numbers, dates and times are normalised to 2^bits ranges of about equal
+    row counts; other types by hash, so only equality filters gain from them.
+    One scan finds all bounds. NULL lies in the first range.
+    """
+    kinds = dict(df.dtypes)
+    ranged = [c for c in columns if kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp"))]
+    steps = F.lit([i / (1 << bits) for i in range(1, 1 << bits)])
+    found = df.agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(c, steps, 10_000).alias(c) for c in ranged]).first()
+    codes = []
+    for c in columns:
+        if c in ranged:
+            bounds = sorted(set(found[c] or []))
+            codes.append(F.when(F.col(c).isNull(), 0).otherwise(_code(F.col(c), bounds)))
+        else:
+            codes.append(F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int"))
+    place = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i, code in enumerate(codes):
+            one = F.shiftright(code, bit).bitwiseAND(F.lit(1)).cast("long")
+            place = place.bitwiseOR(F.shiftleft(one, bit * len(codes) + i))
+    return place, found["_n"]
+
+
+def write_clustered(df: DataFrame, path: str, columns: list[str], *, bits: int = 6, rows_per_file: int = 4_000_000) -> None:
+    """Files and row groups that are narrow in every one of ``columns`` at once.
+
+    A sort by several columns serves filters on the first one only; ranges of
+    the curve serve each. Places with many rows are split by a hash of the row.
+    """
+    place, rows = curve_key(df, columns, bits=bits)
+    salt = F.xxhash64(*df.columns)
+    laid = df.withColumn("_place", place).withColumn("_salt", salt).repartitionByRange(max(1, -(-rows // rows_per_file)), "_place", "_salt")
+    laid.sortWithinPartitions("_place").drop("_place", "_salt").write.mode("overwrite").parquet(path)
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``; none where it does not exist."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,7 +104,7 @@ def _folders(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()] if fs.exists(place) else []
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
@@ -66,7 +112,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _pointer(spark: SparkSession, path: str) -> int:
     """Number of the newest finished pointer, 0 without one."""
     numbers = sorted((int(n) for n in _folders(spark, f"{path}/{POINTERS}")), reverse=True)
-    return next((n for n in numbers if _exists(spark, f"{path}/{POINTERS}/{n}/_SUCCESS")), 0)
+    return next((n for n in numbers if exists(spark, f"{path}/{POINTERS}/{n}/_SUCCESS")), 0)
 
 
 def _versions(spark: SparkSession, path: str) -> dict[int, str]:
