@@ -12,7 +12,7 @@ from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.settings import AS_OF, checkpoint_root
 from tenantlens.sources import envelopes as en, landing as la, sinks
-from tenantlens.streaming import jobs
+from tenantlens.streaming import jobs, usage as su
 
 
 def scratch(t) -> str:
@@ -323,6 +323,24 @@ def _(t):
     return rows.groupBy("status").agg(F.sum("amount").alias("amount"))
 
 
+@query("a13_clustered_layout", """
+SELECT 'amount' AS filter, count(*) AS n, sum(amount) AS amount FROM b_transactions WHERE amount < 60000
+UNION ALL SELECT 'date', count(*), sum(amount) FROM b_transactions WHERE transaction_date >= DATE '1995-01-01' AND transaction_date < DATE '1995-04-01'
+UNION ALL SELECT 'customer', count(*), sum(amount) FROM b_transactions WHERE customer_id = (SELECT max(customer_id) FROM b_transactions)""", nums="amount")
+def _(t):
+    """One table, three filters on different columns, each served by the same layout."""
+    path = scratch(t)
+    sinks.write_clustered(t.transactions.select("customer_id", "transaction_date", "amount"), path, ["transaction_date", "amount", "customer_id"])
+    rows = t.spark.read.parquet(path)
+    last = rows.agg(F.max("customer_id")).first()[0]
+    day = F.col("transaction_date")
+    picks = {"amount": F.col("amount") < 60000, "date": (day >= F.lit("1995-01-01").cast("date")) & (day < F.lit("1995-04-01").cast("date")),
+             "customer": F.col("customer_id") == last}
+    parts = [rows.filter(keep).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")).select(F.lit(k).alias("filter"), "n", "amount")
+             for k, keep in picks.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("a16_retention", f"SELECT document_id, document_type, created_at FROM b_documents WHERE NOT (document_type IN ('invoice', 'other') AND created_at < {T0} - INTERVAL 8 DAYS)",
        times="created_at")
 def _(t):
@@ -342,6 +360,25 @@ def _(t):
     return jobs.read_updates(t.spark, f"{out}/data", ["org_id", "customer_id", "event_hour", "event_type"])
 
 
+@query("l1_stream_exact_usage", f"""
+SELECT org_id, customer_id, date_trunc('hour', occurred_at) AS event_hour, event_type, count(*) AS event_count,
+  count(DISTINCT user_id) AS unique_users, count(DISTINCT session_id) AS unique_sessions, max(occurred_at) AS last_seen
+FROM b_product_events GROUP BY 1, 2, 3, 4""", times="event_hour last_seen")
+def _(t):
+    """Two runs: events whose number ends with 7 come after the others and mostly late; then an event that closes the last hours."""
+    out, events = scratch(t), t.raw_product_events.filter("server_ts IS NOT NULL")
+    closing = events.agg(F.max("server_ts").alias("server_ts")).select(
+        *[(F.col("server_ts") + F.expr("INTERVAL 3 DAYS") if c == "server_ts" else F.lit(None).cast(k)).alias(c) for c, k in events.dtypes])
+    delayed = F.col("event_id").endswith("7")
+    for part in (events.filter(~delayed), events.filter(delayed).unionByName(closing)):
+        part.write.mode("append").parquet(f"{out}/feed")
+        feed = t.spark.readStream.schema(events.schema).parquet(f"{out}/feed")
+        jobs.run(su.start_routing(feed, f"{out}/routed", f"{out}/ck1"))
+        jobs.run(su.start_exact_usage(t.spark, f"{out}/routed", events.schema, f"{out}/hours", f"{out}/ck2"))
+    routed = su.read_routed(t.spark, f"{out}/routed", events.schema).filter("event_id IS NOT NULL")
+    return su.with_late(t.spark.read.parquet(f"{out}/hours"), routed)
+
+
 @query("l2_stream_api_cost", """
 SELECT org_id, CAST(request_ts AS DATE) AS usage_date, model_name, count(*) AS api_calls, CAST(sum(tokens_used) AS BIGINT) AS total_tokens,
   count(*) FILTER (status_code >= 400) AS error_count, round(avg(latency_ms), 0) AS avg_latency_ms, round(sum(tokens_used) * 0.000003::DOUBLE, 4) AS estimated_cost_usd

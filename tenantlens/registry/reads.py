@@ -467,6 +467,25 @@ def _(t):
     return me.model_metric("executive_kpis", kpis(t), ["total_arr", "active_customers", "open_tickets"], ["snapshot_date"])
 
 
+@query("q26_drill_across", """
+WITH k AS (SELECT f.org_id, d.segment, count(*) AS ticket_count FROM b_tickets f LEFT JOIN m_seg_health d USING (customer_id, org_id) GROUP BY 1, 2),
+  x AS (SELECT f.org_id, d.segment, sum(amount) AS total_revenue FROM b_transactions f LEFT JOIN m_c360 d USING (customer_id, org_id) GROUP BY 1, 2),
+  r AS (SELECT f.org_id, d.segment, sum(expected_impact_usd) AS expected_impact FROM b_recommendations f
+    LEFT JOIN m_c360 d ON f.entity_id = d.customer_id AND f.org_id = d.org_id GROUP BY 1, 2),
+  c AS (SELECT org_id, segment, count(*) AS total_customers, sum(arr) AS total_arr FROM m_c360 GROUP BY 1, 2),
+  g AS (SELECT org_id, segment FROM k UNION SELECT org_id, segment FROM x UNION SELECT org_id, segment FROM r UNION SELECT org_id, segment FROM c)
+SELECT g.org_id, g.segment, ticket_count, total_revenue, expected_impact, total_customers, total_arr FROM g
+LEFT JOIN k ON g.org_id IS NOT DISTINCT FROM k.org_id AND g.segment IS NOT DISTINCT FROM k.segment
+LEFT JOIN x ON g.org_id IS NOT DISTINCT FROM x.org_id AND g.segment IS NOT DISTINCT FROM x.segment
+LEFT JOIN r ON g.org_id IS NOT DISTINCT FROM r.org_id AND g.segment IS NOT DISTINCT FROM r.segment
+LEFT JOIN c ON g.org_id IS NOT DISTINCT FROM c.org_id AND g.segment IS NOT DISTINCT FROM c.segment""", nums="total_revenue expected_impact total_arr")
+def _(t):
+    frames = {"tickets": t.tickets, "transactions": t.transactions, "recommendations": t.recommendations, "customer_360": c360(t),
+              "customer_health": seg_health(t)}
+    return me.drill_across(frames, ["tickets.ticket_count", "transactions.total_revenue", "recommendations.expected_impact",
+                                    "customer_360.total_customers", "customer_360.total_arr"], ["org_id", "segment"])
+
+
 def _star_sql(fact, key, dim, on, column, measures):
     return f"SELECT f.org_id, d.{column} AS dim_{column}, {measures} FROM {fact} f LEFT JOIN {dim} d ON f.{key} = d.{on} AND f.org_id = d.org_id GROUP BY 1, 2"
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tenantlens.operators.merge import dedupe, merge_upsert
-
 from tenantlens.settings import run_folder
 
 BUCKET = "_bucket"
@@ -59,13 +60,41 @@ def _code(value: Column, bounds: list) -> Column:
     return F.when(value < F.lit(bounds[mid]), _code(value, bounds[:mid])).otherwise(F.lit(mid + 1) + _code(value, bounds[mid + 1:]))
 
 
+def curve_places(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places of cells (one row each, ``bits`` bits a column) on a Hilbert curve: neighbours on it are neighbours in one column.
+
+    From the highest bit down, each column either flips the lower bits of the
+    first one or swaps them with it; then a Gray code over the columns.
+    """
+    x = cells.astype(np.int64).T.copy()
+    for bit in range(bits - 1, 0, -1):
+        low = (1 << bit) - 1
+        for i in range(len(x)):
+            high = (x[i] >> bit & 1).astype(bool)
+            swap = np.where(high, 0, (x[0] ^ x[i]) & low)
+            x[0] ^= np.where(high, low, swap)
+            x[i] ^= swap
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    flip = np.zeros_like(x[0])
+    for bit in range(bits - 1, 0, -1):
+        flip ^= np.where(x[-1] >> bit & 1, (1 << bit) - 1, 0)
+    place = np.zeros_like(x[0])
+    for bit in range(bits - 1, -1, -1):
+        for column in x ^ flip:
+            place = place << 1 | column >> bit & 1
+    return place
+
+
 def curve_key(df: DataFrame, columns: list[str], *, bits: int = 6) -> tuple[Column, int]:
-    """Place of a row on a space-filling (Z-order) curve over ``columns``, and the number of rows.
+    """Place of a row on a space-filling curve over ``columns``, and the number of rows.
 
     Numbers, dates and times are normalised to 2^bits ranges of about equal
     row counts; other types by hash, so only equality filters gain from them.
     One scan finds all bounds. NULL lies in the first range.
     """
+    if bits * len(columns) > 62:
+        raise ValueError("bits * columns must not exceed 62")
     kinds = dict(df.dtypes)
     ranged = [c for c in columns if kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp"))]
     steps = F.lit([i / (1 << bits) for i in range(1, 1 << bits)])
@@ -73,16 +102,15 @@ def curve_key(df: DataFrame, columns: list[str], *, bits: int = 6) -> tuple[Colu
     codes = []
     for c in columns:
         if c in ranged:
-            bounds = sorted(set(found[c] or []))
-            codes.append(F.when(F.col(c).isNull(), 0).otherwise(_code(F.col(c), bounds)))
+            codes.append(F.when(F.col(c).isNull(), 0).otherwise(_code(F.col(c), sorted(set(found[c] or [])))))
         else:
             codes.append(F.pmod(F.xxhash64(c), F.lit(1 << bits)).cast("int"))
-    place = F.lit(0).cast("long")
-    for bit in range(bits):
-        for i, code in enumerate(codes):
-            one = F.shiftright(code, bit).bitwiseAND(F.lit(1)).cast("long")
-            place = place.bitwiseOR(F.shiftleft(one, bit * len(codes) + i))
-    return place, found["_n"]
+
+    @F.pandas_udf("long")
+    def place(cells: pd.Series) -> pd.Series:
+        return pd.Series(curve_places(np.array(cells.tolist(), dtype=np.int64).reshape(-1, len(columns)), bits))
+
+    return place(F.array(*codes)), found["_n"]
 
 
 def write_clustered(df: DataFrame, path: str, columns: list[str], *, bits: int = 6, rows_per_file: int = 4_000_000) -> None:
