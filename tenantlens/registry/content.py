@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tenantlens.functions import text as tx
-from tenantlens.operators import documents as doc, search as se, vector_index as vi
+from tenantlens.operators import documents as doc, embedding as em, search as se, vector_index as vi
 from tenantlens.plans import content as co
 from tenantlens.registry.core import define, query
 from tenantlens.registry.oracle_tables import D0
@@ -278,6 +278,16 @@ def _(t):
     return doc.advance_status(d, d.filter("auto_renewal"), failed).select("document_id", "processing_status")
 
 
+@query("m15_dense_embedding", r"""
+SELECT document_id, org_id, CASE WHEN regexp_matches(extracted_text, '[\p{L}\p{N}]') THEN 32 END::BIGINT AS dims,
+  CASE WHEN regexp_matches(extracted_text, '[\p{L}\p{N}]') THEN 1.0 END AS length FROM b_documents""", nums="length")
+def _(t):
+    """Unit vectors of 32 numbers for every document with a word; the numbers themselves are tested against numpy."""
+    out = em.embed_dense(t.documents.select("document_id", "org_id", "extracted_text"), dims=32)
+    v = F.col("embedding")
+    return out.select("document_id", "org_id", F.when(v.isNotNull(), F.size(v)).cast("long").alias("dims"), F.round(F.sqrt(se.dot(v, v)), 6).alias("length"))
+
+
 @query("m15_embed", r"""
 WITH tf AS (SELECT document_id, org_id, term, count(*) AS tf FROM (SELECT document_id, org_id, unnest(regexp_extract_all(lower(extracted_text), '[\p{L}\p{N}]+')) AS term FROM b_documents) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
