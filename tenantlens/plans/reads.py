@@ -227,6 +227,18 @@ def customer_list(c360: DataFrame, *, limit: int | None = None, **filters) -> Da
                    *CO, "customer_name", "health_score", "churn_risk_level", "arr", "segment", "nearest_renewal_date")
 
 
+def customer_by_id(c360: DataFrame, customer_id: str, org_id: str | None = None) -> DataFrame:
+    """The customer in one tenant, or in every tenant that has the id."""
+    rows = c360.filter(F.col("customer_id") == customer_id)
+    return customer_list(rows if org_id is None else rows.filter(F.col("org_id") == org_id))
+
+
+def tenant_list(health: DataFrame, *, k: int | None = None) -> DataFrame:
+    """Tenants for the provider's dashboard; ``k`` keeps those that use the models most."""
+    rows = health.select("org_id", "last_active", "dau", "model_calls", "agent_sessions", "features_adopted", "engagement_tier")
+    return rows if k is None else rows.orderBy(F.col("model_calls").desc_nulls_last(), "org_id").limit(k)
+
+
 # -- digests ---------------------------------------------------------------------
 def risk_digest(c360: DataFrame, *, k: int = 5, health: float = 40) -> DataFrame:
     """Count and message per tenant; the message names at most ``k`` accounts."""

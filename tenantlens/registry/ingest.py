@@ -108,6 +108,25 @@ def _(t):
     return la.run_summary(env, "sap_customers", ok)
 
 
+@query("a15_observed_load", """
+SELECT 'sap_customers' AS source, count(*) FILTER (v <> 3) AS rows_loaded, count(*) FILTER (v = 3) AS rows_failed, 'partial' AS status
+FROM m_customer_versions""")
+def _(t):
+    ok = F.try_variant_get(F.try_parse_json("raw_data"), "$.CustomerID", "string").isNotNull()
+    return la.load_observed(en.envelopes(t, "sap_customers"), scratch(t), "sap_customers", ok).drop("loaded_at")
+
+
+@query("a5_envelope_files", f"""
+SELECT 'ORG-0' AS org_id, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, {T0} - to_hours(1) AS loaded_at FROM customer""", times="loaded_at")
+def _(t):
+    """Payloads written as line-delimited JSON and read back untouched."""
+    path = scratch(t)
+    t.raw("customer").select(F.to_json(F.struct("c_custkey", "c_name")).alias("value")).write.text(path)
+    v = F.try_parse_json("raw_data")
+    return en.read_envelopes(t.spark, path, "ORG-0", ago(AS_OF, hours=1)).select(
+        "org_id", F.variant_get(v, "$.c_custkey", "string").alias("id"), F.variant_get(v, "$.c_name", "string").alias("name"), "loaded_at")
+
+
 # -- normalisers ---------------------------------------------------------------
 define("m_desk", f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, org_id, CAST(o_custkey AS VARCHAR) AS customer_id,

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tenantlens.operators import staging as st
-from tenantlens.plans import actions as ac, kpis as k, revenue as rv, usage as us
+from tenantlens.plans import actions as ac, kpis as k, reads as rd, revenue as rv, usage as us
 from tenantlens.registry.core import define, exact_avg, query
 from tenantlens.registry.oracle_tables import D0, T0
 from tenantlens.registry.profile import c360, c360_inverse, health
@@ -289,6 +289,17 @@ def _(t):
     return us.tenant_health(snapshots(t))
 
 
+@query("q24_tenants", f"""
+SELECT s.org_id, snapshot_date AS last_active, dau, model_calls, agent_sessions, features_adopted,
+  CASE WHEN dau_7d >= 5 AND calls_7d >= 20 THEN 'HIGHLY_ENGAGED' WHEN dau_7d >= 2 AND calls_7d >= 5 THEN 'ENGAGED'
+    WHEN dau_7d >= 1 THEN 'CASUAL' ELSE 'AT_RISK_OF_CHURN' END AS engagement_tier
+FROM m_snapshots s JOIN (SELECT org_id, max(snapshot_date) AS d FROM m_snapshots GROUP BY 1) x ON s.org_id = x.org_id AND s.snapshot_date = x.d
+LEFT JOIN (SELECT org_id, avg(dau) AS dau_7d, avg(model_calls) AS calls_7d FROM m_snapshots WHERE snapshot_date >= {D0} - 7 GROUP BY 1) a ON s.org_id = a.org_id""",
+       dates="last_active")
+def _(t):
+    return rd.tenant_list(us.tenant_health(snapshots(t)))
+
+
 @query("e29_kpi_snapshot", f"""
 SELECT h.*, d.new_30d, d.churned_30d FROM (
   SELECT org_id, count(*) AS total_customers, count(*) FILTER (churn_risk_level = 'HIGH') AS high_risk,

@@ -257,6 +257,13 @@ def _(t):
     return r.customer_list(c360(t), churn_risk_level="HIGH")
 
 
+@query("q24_customer_by_id", """
+SELECT customer_id, org_id, customer_name, health_score, churn_risk_level, arr, segment, nearest_renewal_date FROM m_c360 WHERE customer_id = 'CUST-7'""",
+       dates="nearest_renewal_date", nums="health_score arr")
+def _(t):
+    return r.customer_by_id(c360(t), "CUST-7")
+
+
 # -- verified questions --------------------------------------------------------------
 @query("q25_high_risk", """
 SELECT org_id, customer_name, segment, churn_probability, arr, expected_revenue_at_risk FROM m_c360 WHERE churn_risk_level = 'HIGH' AND lifecycle_stage <> 'churned'""",
