@@ -35,6 +35,22 @@ def test_approvals_over_restarts(spark, tmp_path):
                    ("d", "expired", None, None, None), ("e", "approved", "m", at(3), None)]
 
 
+def test_approval_state_goes_by_bucket(spark, tmp_path):
+    """More approvals than buckets: the state holds a row per bucket, not per approval; a time that equals the watermark is due."""
+    path, n = str(tmp_path), 2 * sa.BUCKETS
+    rows = [(f"r{i}", "submit", at(i % 3), None, None, 48) for i in range(n)] + [(f"r{i}", "reject", at(60), "m", "late", None) for i in range(1, n, 2)]
+    rows += [(f"r{i}", "approve", at(5 + i % 2), "m", None, None) for i in range(0, n, 4)]
+    runs, held = [rows, [(sa.TICK, "tick", at(50), None, None, None)], [(sa.TICK, "tick", at(53), None, None, None)]], []
+    for part in runs:
+        spark.createDataFrame(part, sa.FEED).write.mode("append").parquet(f"{path}/feed")
+        q = sa.start_approvals(spark.readStream.schema(sa.FEED).parquet(f"{path}/feed"), f"{path}/out", f"{path}/ck", "100 hours" if not held else "2 hours")
+        jobs.run(q)
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    assert max(held) <= sa.BUCKETS
+    got = {r.approval_id: (r.status, r.decided_at) for r in spark.read.parquet(f"{path}/out").collect()}
+    assert got == {f"r{i}": ("approved", at(5 + i % 2)) if i % 4 == 0 else ("expired", None) for i in range(n)}
+
+
 @pytest.fixture(scope="module")
 def indexed(spark, tmp_path_factory):
     r = np.random.default_rng(3)
