@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tenantlens.operators.latest import top_per
 from tenantlens.operators.search import dot
@@ -21,6 +23,8 @@ LISTS = 64
 SAMPLE = 50_000  # vectors the centroids are fitted on
 PROBES = 8
 SLACK = 2e-6  # scores are rounded to six places
+SHARD = 1 << 14  # vectors of a list, or queries that read it, that meet in one task
+_SLAB = 256  # queries of a matrix product
 
 
 def unit(v: Column) -> Column:
@@ -30,14 +34,14 @@ def unit(v: Column) -> Column:
     return F.when(norm.isNotNull(), F.transform(d, lambda x: x / norm))
 
 
-def _nearest(centroids: np.ndarray):
-    """UDF: all lists of a vector as (list_id, angle), nearest first. The centroids are LISTS rows, whatever the table's size."""
+def _nearest(centroids: np.ndarray, n: int | None = None):
+    """UDF: all lists of a vector, or the nearest ``n``, as (list_id, angle), nearest first. The centroids are LISTS rows, whatever the table's size."""
     @F.pandas_udf("array<struct<list_id:int,angle:double>>")
     def near(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
         angles = np.arccos(np.clip(np.stack(vectors.to_list()) @ centroids.T, -1, 1))
-        order = np.argsort(angles, axis=1, kind="stable")
+        order = np.argsort(angles, axis=1, kind="stable")[:, :n]
         return pd.Series([[{"list_id": int(i), "angle": float(a[i])} for i in o] for o, a in zip(order, angles)])
     return near
 
@@ -60,7 +64,7 @@ def build_index(vectors: DataFrame, path: str, *, id_col: str = "chunk_id", list
         centres = np.stack([c / np.linalg.norm(c) for c in model.clusterCenters()])
     else:
         centres = np.ones((1, 1))
-    placed = ready.withColumn("_near", _nearest(centres)(F.col("_unit"))[0])
+    placed = ready.withColumn("_near", _nearest(centres, 1)(F.col("_unit"))[0])
     placed = placed.select(*[c for c in vectors.columns if c != "embedding"], F.col("_unit").alias("embedding"),
                            F.col("_near.angle").alias("angle"), F.col("_near.list_id").alias("list_id"))
     full_refresh(placed, f"{path}/vectors", ["list_id"])
@@ -76,13 +80,55 @@ def _probed(queries: DataFrame, lists: pd.DataFrame) -> DataFrame:
     return materialize(rows.withColumn("near", _nearest(centres)(F.col("q"))))
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _best(held: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """(query_id, id, score): the best ``k`` of ``held`` for each row of ``asked``, equal scores by rising id."""
+    if not held.num_rows or not asked.num_rows:
+        held, asked = held.slice(0, 0), asked.slice(0, 0)
+    held = held.take(pc.sort_indices(held["id"], null_placement="at_start"))
+    parts = []
+    if held.num_rows:
+        vectors, queries, cut = _matrix(held["embedding"]), _matrix(asked["q"]), max(0, held.num_rows - k)
+        for a in range(0, len(queries), _SLAB):
+            scores = queries[a:a + _SLAB] @ vectors.T
+            floor = np.partition(scores, cut, axis=1)[:, cut]
+            row, at = np.nonzero(scores >= floor[:, None] - SLACK)
+            found = np.round(scores[row, at], 6) + 0.0
+            order = np.lexsort((at, -found, row))
+            row, at, found = row[order], at[order], found[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            parts.append((row[rank < k] + a, at[rank < k], found[rank < k]))
+    row, at, found = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return pa.table({"query_id": asked["query_id"].take(pa.array(row)), "id": held["id"].take(pa.array(at)), "score": pa.array(found)})
+
+
 def _scored(spark: SparkSession, path: str, asked: DataFrame, k: int, filters: dict, id_col: str) -> DataFrame:
-    """Best ``k`` per query among the lists of ``asked`` (query_id, q, list_id); filters reach the scan."""
+    """Best ``k`` per query among the lists of ``asked`` (query_id, q, list_id); filters reach the scan.
+
+    Vectors of a list meet the queries that read it in shards of at most some
+    SHARD each, as one matrix product that hands on ``k`` rows a query.
+    """
     held = spark.read.parquet(f"{path}/vectors")
     for column, value in filters.items():
         held = held.where(F.col(column) == value)
-    scored = held.select(id_col, "list_id", "embedding").join(asked, "list_id").select("query_id", id_col, F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col(id_col)], k, "rank", salt=16)
+    asked = materialize(asked)
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(SHARD))).cast("int")
+    sizes = spark.read.parquet(f"{path}/lists").select("list_id", cut("n").alias("vs"))
+    sizes = materialize(sizes.join(asked.groupBy("list_id").agg(F.count(F.lit(1)).alias("m")), "list_id").select("list_id", "vs", cut("m").alias("qs")))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str, far: str, near: str) -> DataFrame:
+        """Each row in one shard of its own side, for every shard of the other."""
+        return rows.join(F.broadcast(sizes), "list_id").withColumn(own, F.pmod(F.xxhash64(key), F.col(near)).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(far) - 1))).drop("vs", "qs")
+
+    left = dealt(held.select(F.col(id_col).alias("id"), "list_id", "embedding"), "embedding", "v", "w", "qs", "vs")
+    right = dealt(asked.select("query_id", "list_id", "q"), "q", "w", "v", "vs", "qs")
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", held.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    met = left.groupBy("list_id", "v", "w").cogroup(right.groupBy("list_id", "v", "w")).applyInArrow(lambda a, b: _best(a, b, k), schema)
+    return top_per(met.withColumnRenamed("id", id_col), ["query_id"], [F.col("score").desc(), F.col(id_col)], k, "rank", salt=16)
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, *, k: int = 10, probes: int = PROBES, filters: dict | None = None,

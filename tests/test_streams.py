@@ -106,3 +106,17 @@ def test_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "chunk_id long, org_id string, embedding array<double>")
     vi.build_index(none, str(tmp_path), lists=4)
     assert spark.read.parquet(f"{tmp_path}/lists").agg(F.sum("n")).first()[0] == 0
+
+
+def test_block_search_equals_rows(spark, indexed, monkeypatch):
+    """Shards smaller than a list and copies at the cut: the rows of a full scan, by one product for each pair of shards."""
+    vectors, queries, path, vecs, _ = indexed
+    monkeypatch.setattr(vi, "SHARD", 20)
+    some = queries.where("query_id in (97, 194, 6000, 6029)")
+    some = some.unionByName(vectors.where("chunk_id = 7").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query")))
+    out = vi.search_index(spark, path, some, k=10, probes=4, exact=True)
+    got = {}
+    for r in out.orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {i: nearest(vecs, vecs[i], 10) for i in (7, 97, 194, 6000, 6029)}
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
