@@ -93,9 +93,11 @@ def sentiment_score(col: Column | str, positive=POSITIVE, negative=NEGATIVE) ->
 def best_label(col: Column | str, vocabulary=LABEL_WORDS) -> Column:
     """Struct (score, rank, label) of the label with the largest share, the first listed of equals; null score without hits.
 
-    One fold over the tokens counts all labels, so the text is split once.
+    One fold counts all labels, so the text is split once. It takes the tokens
+    of the vocabulary only: one look-up for each of the others.
     """
-    return F.aggregate(words(col), _no_hits(vocabulary), lambda a, t: _count(a, t, vocabulary), lambda a: F.array_max(F.array(*[
+    known = sorted({term for terms in vocabulary.values() for term in terms})
+    return F.aggregate(F.filter(words(col), lambda t: t.isin(known)), _no_hits(vocabulary), lambda a, t: _count(a, t, vocabulary), lambda a: F.array_max(F.array(*[
         F.struct(F.round(a[f"n{i}"] / _all_hits(a, vocabulary), 4).alias("score"), F.lit(-i).alias("rank"), F.lit(label).alias("label"))
         for i, label in enumerate(vocabulary)])))
 
