@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tenantlens.functions import text as tx
-from tenantlens.functions.chunking import chunk_series
+from tenantlens.functions.chunking import chunk_batches
 from tenantlens.functions.columns import nz, stable_id
 
 LABELS = list(tx.LABEL_WORDS)
+CHUNK_COLUMNS = ("document_id", "org_id", "document_name", "document_type")  # of its document that a chunk keeps
 
 
 def _finish(df: DataFrame, chunk_text: Column, all_columns: bool = False) -> DataFrame:
     """Common chunk columns, or with ``all_columns`` all of the document's but its text; the id derives from document and position."""
     keep = [c for c in df.columns if c not in ("extracted_text", "piece", "chunk_index", "chunks")] if all_columns else [
-        c for c in ("document_id", "org_id", "document_name", "document_type") if c in df.columns]
+        c for c in CHUNK_COLUMNS if c in df.columns]
     return df.select(
         stable_id(F.col("document_id"), F.col("chunk_index").cast("string")).alias("chunk_id"), *keep, "chunk_index",
         chunk_text.alias("chunk_text"), F.length(chunk_text).alias("char_count"))
@@ -52,17 +52,13 @@ def chunk_window(docs: DataFrame, *, size: int = 1500, overlap: int = 200, all_c
 def chunk_sequential(docs: DataFrame, *, method: str, size: int, overlap: int) -> DataFrame:
     """Boundary-aware or paragraph-packing chunks (``boundary`` or ``packed``).
 
-    Only the text crosses to Python, in Arrow batches; exploding and the id
-    are done in the JVM.
+    The text and the columns a chunk keeps cross to Python as Arrow; chunks
+    come back as rows, a bounded number at a time. The id is made in the JVM.
     """
-    run = chunk_series(method, size, overlap)
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return run(texts)
-
-    pieces = docs.withColumn("chunks", cut("extracted_text")).drop("extracted_text")
-    return _finish(pieces.select("*", F.posexplode("chunks").alias("chunk_index", "piece")), F.col("piece"))
+    keep = [c for c in CHUNK_COLUMNS if c in docs.columns]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("chunk_index", T.IntegerType()), T.StructField("piece", T.StringType())])
+    pieces = docs.select(*keep, "extracted_text").mapInArrow(chunk_batches(method, size, overlap, keep), schema)
+    return _finish(pieces, F.col("piece"))
 
 
 def chunk(docs: DataFrame, *, method: str = "paragraph", size: int = 1500, overlap: int = 200, sep: str = "\n\n") -> DataFrame:

@@ -122,3 +122,25 @@ def test_pending_limit_takes_oldest(frame):
     items = frame([(i, 10 - i, "long enough text") for i in range(10)] + [(99, 0, "x")], "id int, created_at int, t string")
     done = frame([(9,)], "id int")
     assert rows(doc.pending(items, done, "id", text="t", min_chars=5, limit=2), "id") == [(7,), (8,)]
+
+
+def test_chunks_leave_in_bounded_batches():
+    """A batch of long documents goes out in parts of some OUT_CHARS, with the rows in order."""
+    import pyarrow as pa
+
+    from tenantlens.functions import chunking as ck
+
+    texts = ["word " * 200_000, None, "", "short text", "line\n" * 300_000]
+    batch = pa.RecordBatch.from_pydict({"document_id": [str(i) for i in range(5)], "extracted_text": texts})
+    out = list(ck.chunk_batches("boundary", 800, 100, ["document_id"])(iter([batch])))
+    assert max(sum(len(p) for p in b.column("piece").to_pylist()) for b in out) <= ck.OUT_CHARS + 800
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(str(i), j, p) for i, t in enumerate(texts) for j, p in enumerate(ck.boundary_chunks(t))]
+
+
+def test_label_folds_only_the_vocabulary(frame):
+    """Words of no label are filtered out before the fold; labels, scores and ties stay."""
+    df = frame([("The Agreement, a contract; uptime uptime filler words",), ("invoice nda offer",), ("nothing here",), (None,)], "t string")
+    out = df.select(tx.best_label("t").alias("b"))
+    assert "filter(regexp_extract_all" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.b and (r.b.score, r.b.label)) for r in out.collect()] == [(0.5, "contract"), (0.5, "invoice"), (None, "contract"), None]
