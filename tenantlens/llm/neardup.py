@@ -1,4 +1,4 @@
-"""Near-duplicate documents: MinHash bands over word shingles, exact Jaccard, distributed union-find."""
+"""Near-duplicate documents: SimHash through BK-trees and MinHash bands over word shingles, exact Jaccard, distributed union-find."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tenantlens.llm import simhash
 from tenantlens.llm.common import stage, text_key
 from tenantlens.llm.components import components
 
@@ -63,7 +64,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_id, node, n, buckets) per row: node is a digest of the words, n the number of different shingles."""
+    """(doc_id, text_id, node, n, buckets, fp) per row: node is a digest of the words, n the number of different shingles, fp the SimHash."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -72,11 +73,12 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 h = shingle_hashes(w, words)
                 rows.append((hashlib.md5(b" ".join(w), usedforsecurity=False).digest(), len(h), band_keys(h) if len(h) else []))
             made = pd.DataFrame(rows, columns=["node", "n", "buckets"])
+            made["fp"] = np.array([simhash.fingerprint(t, words) for t in b["text"]], "<u8").view("<i8")
             yield pd.concat([b[["id", "text_id"]].reset_index(drop=True), made], axis=1)
 
     kind = docs.schema["doc_id"].dataType
-    made = _narrow(docs).mapInPandas(run, "id string, text_id binary, node binary, n int, buckets array<long>")
-    return made.select(F.col("id").cast(kind).alias("doc_id"), "text_id", "node", "n", "buckets")
+    made = _narrow(docs).mapInPandas(run, "id string, text_id binary, node binary, n int, buckets array<long>, fp long")
+    return made.select(F.col("id").cast(kind).alias("doc_id"), "text_id", "node", "n", "buckets", "fp")
 
 
 def spot() -> Column:
@@ -123,6 +125,15 @@ def _cross(met: DataFrame, similarity: float, shard: int) -> DataFrame:
     return met_twice.where(_comparable("an", "bn", similarity)).select("a", "b").distinct()
 
 
+def with_simhash(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with one more bucket each: what links of three bits connect in the BK-trees. Nodes without shingles get none."""
+    points = stage(nodes.where("n > 0").select("fp").distinct())
+    roots = stage(components(simhash.links(points)))
+    met = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    own = F.when(F.col("n") > 0, F.array(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")))).otherwise(F.array().cast("array<long>"))
+    return met.withColumn("buckets", F.concat("buckets", own)).drop("root")
+
+
 def links(nodes: DataFrame, held, *, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
     """Links (a, b) that connect what exact Jaccard connects among nodes (node, n, buckets) that share a bucket.
 
@@ -161,12 +172,15 @@ def keep_one(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILAR
     """``docs`` with one row of each group of near-duplicates: the first by doc_id (null last) and text.
 
     Groups are what links of at least ``similarity`` connect, measured as the
-    exact Jaccard of the word shingle sets. Texts with the same words are one
+    exact Jaccard of the word shingle sets. Compared are texts that share a
+    MinHash band or a component of SimHash fingerprints (operator 9's
+    BK-trees, three bits), whose links alone decide nothing. Texts with the same words are one
     node; null and wordless texts are one group. Of rows that repeat doc_id and
     text one stays.
     """
     rows = stage(signed(docs, words))
-    nodes = stage(rows.groupBy("node").agg(F.min(spot()).alias("spot"), F.first("n").alias("n"), F.first("buckets").alias("buckets")))
+    nodes = stage(rows.groupBy("node").agg(F.min(spot()).alias("spot"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("fp").alias("fp")))
+    nodes = stage(with_simhash(nodes))
 
     def held(wanted: DataFrame) -> DataFrame:
         spots = nodes.join(wanted, "node", "left_semi").select("node", "spot.doc_id", "spot.text_id")

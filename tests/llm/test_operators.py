@@ -558,3 +558,14 @@ def test_pipeline_stages_keep_the_columns(spark, docs, none, tmp_path):
         if frame is docs:
             ids = {r.doc_id for r in rows.collect()}
             assert not {1, 17} & ids and {3, 11, 13, 14} <= ids and not {4, 5} & ids and kept > 5
+
+
+def test_near_duplicates_meet_in_bk_trees(spark, monkeypatch):
+    """Texts that no MinHash band brings together are met by their SimHash and decided by exact Jaccard."""
+    base = [f"w{i}" for i in range(400)]
+    texts = {1: base, 2: base[:399] + ["other"], 3: [f"x{i}" for i in range(400)], 4: base[:300] + [f"y{i}" for i in range(100)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()] + [(5, None), (6, "")], "doc_id long, text string")
+    one, two = (neardup.simhash.fingerprint(" ".join(texts[i]), 5) for i in (1, 2))
+    assert (one ^ two).bit_count() <= 3
+    monkeypatch.setattr(neardup, "with_simhash", lambda nodes, own=neardup.with_simhash: own(nodes.withColumn("buckets", F.array().cast("array<long>"))))
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == [1, 3, 4, 5]
