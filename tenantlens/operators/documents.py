@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tenantlens.functions import text as tx
 from tenantlens.functions.chunking import chunk_batches
 from tenantlens.functions.columns import nz, stable_id
+from tenantlens.sources.sinks import materialize
 
+DOC = ["document_id", "org_id"]
 LABELS = list(tx.LABEL_WORDS)
 CHUNK_COLUMNS = ("document_id", "org_id", "document_name", "document_type")  # of its document that a chunk keeps
 
@@ -142,17 +148,59 @@ def kb_view(kb: DataFrame, *, min_chars: int = 50) -> DataFrame:
     return kb.filter("is_active").filter(F.length("content") > min_chars)
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different words of every row, and how often each stands there."""
+    for b in batches:
+        words = b.column(2)
+        flat = words.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        width = max(1, len(flat.dictionary))
+        found, tf = np.unique(row * width + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        bounds = pa.array(np.searchsorted(found, np.arange(len(b) + 1) * width), pa.int32())
+        terms = flat.dictionary.take(pa.array(found % width))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(bounds, x) for x in (terms, pa.array(tf)))],
+                                         names=["document_id", "org_id", "terms", "tfs"])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(document_id, org_id, terms, tfs) of every row of ``docs``, staged: the texts are split once."""
+    words = F.array_remove(F.split(F.lower("extracted_text"), r"[^\p{L}\p{N}]+"), "")
+    keys = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in DOC)
+    return materialize(docs.select(*DOC, words.alias("words")).mapInArrow(_count_words, f"{keys}, terms array<string>, tfs array<long>"))
+
+
+def _frequencies(counted: DataFrame) -> DataFrame:
+    tf = counted.select(*DOC, F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
+    again = materialize(counted.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in DOC]))
+    if again.isEmpty():
+        return tf
+    same = F.col("document_id").eqNullSafe(F.col("_document_id")) & F.col("org_id").eqNullSafe(F.col("_org_id"))
+    merged = materialize(tf.join(again, same, "left_semi").groupBy(*DOC, "term").agg(F.sum("tf").alias("tf")))
+    return tf.join(again, same, "left_anti").unionByName(merged)
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(document_id, org_id, term, tf): how often each word stands in each document."""
-    words = docs.select("document_id", "org_id", F.explode(F.split(F.lower("extracted_text"), r"[^\p{L}\p{N}]+")).alias("term")).filter("term != ''")
-    return words.groupBy("document_id", "org_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(document_id, org_id, term, tf): how often each word stands in each document.
+
+    Words are counted inside the row; only rows of a key that comes more than
+    once have to meet.
+    """
+    return _frequencies(_counted(docs))
 
 
-def term_weights(docs: DataFrame) -> DataFrame:
-    """(document_id, org_id, term, weight): term frequency times ln((documents + 1) / (documents with the term + 1))."""
-    tf, n = term_frequencies(docs), docs.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").select("document_id", "org_id", "term", (F.col("tf") * F.log((F.lit(float(n)) + 1) / (F.col("df") + 1))).alias("weight"))
+def term_weights(docs: DataFrame, *, frequent: int = 1 << 16) -> DataFrame:
+    """(document_id, org_id, term, weight): term frequency times ln((documents + 1) / (documents with the term + 1)).
+
+    The ``frequent`` terms that most documents have are a bounded table, which
+    goes to the words where they are; only the other words are exchanged.
+    """
+    counted = _counted(docs)
+    tf, n = _frequencies(counted), counted.count()
+    df = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    most = materialize(df.orderBy(F.col("df").desc(), "term").limit(frequent))
+    rare = df.join(F.broadcast(most), "term", "left_anti")
+    met = tf.join(F.broadcast(most), "term").unionByName(tf.join(F.broadcast(most), "term", "left_anti").join(rare, "term"))
+    return met.select(*DOC, "term", (F.col("tf") * F.log((F.lit(float(n)) + 1) / (F.col("df") + 1))).alias("weight"))
 
 
 def embed(docs: DataFrame, *, dims: int = 1 << 12) -> DataFrame:

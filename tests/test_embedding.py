@@ -1,5 +1,7 @@
 """The randomised SVD against numpy's, and its vectors in the index."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,21 @@ def test_nothing_and_one_document(spark):
     assert em.embed_dense(none, dims=3).count() == 0
     one = em.embed_dense(spark.createDataFrame([("a", "O", "x y y"), ("b", "O", "z")], TEXT), dims=3).collect()
     assert len(one) == 2
+
+
+def test_weights_equal_plain_counts(spark):
+    rows = [("a", "O", "x x y, Zeta"), ("a", "O", "x w"), ("a", "P", "x"), ("b", "O", "y y-y x"), (None, "O", "w x"), (None, "O", "w"), ("c", "O", None), ("d", "O", " .,")]
+    counts = {}
+    for d, o, text in rows:
+        counts.setdefault((d, o), Counter()).update((text or "").lower().replace(",", " ").replace("-", " ").replace(".", " ").split())
+    df = Counter(w for c in counts.values() for w in c)
+    want = {(*k, w): tf * np.log((len(rows) + 1) / (df[w] + 1)) for k, c in counts.items() for w, tf in c.items()}
+    docs = spark.createDataFrame(rows, TEXT).repartition(3)
+    for frequent in (1, 2, 100):
+        got = do.term_weights(docs, frequent=frequent).collect()
+        assert len(got) == len(want) and all(abs(want[r.document_id, r.org_id, r.term] - r.weight) < 1e-12 for r in got)
+
+
+def test_words_are_counted_where_the_texts_are(docs):
+    plan = do.term_frequencies(docs.where("document_id != 'd0'"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
