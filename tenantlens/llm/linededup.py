@@ -21,7 +21,7 @@ LAST_ID = "\U0010ffff"  # the same among text ids
 _SLAB = 100_000
 _COLUMNS = 2048
 _PAIRED = 1 << 20
-_FEW = 6
+_WAITING = 1 << 17
 
 
 def normalise(line: str) -> str:
@@ -45,9 +45,12 @@ def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, n
     """64-bit hashes of the character shingles of all lines, and where each line's begin."""
     text = "".join(x.ljust(size, "\0") for x in lines)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = np.zeros(len(code) - size + 1, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + code[k:len(code) - size + 1 + k]
+    h, width, power = code, 1, 0x9E3779B97F4A7C15
+    while 2 * width <= size:  # two neighbouring windows make one of twice the width
+        h = h[:-width] * np.uint64(power) + h[width:]
+        width, power = 2 * width, power * power & 0xFFFFFFFFFFFFFFFF
+    for k in range(width, size):
+        h = h[:len(code) - k] * np.uint64(0x9E3779B97F4A7C15) + code[k:]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -129,31 +132,38 @@ def listed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(members, handle) of the buckets with two different lines or more; ``members`` is one hash for equal sets of lines.
 
-    Rows come sorted. The last bucket of a batch may go on in the next: its
-    parts wait, 8 bytes a different line.
+    Rows come sorted by bucket. The last bucket of a batch may go on in the
+    next: its different lines wait.
     """
     parts: list[np.ndarray] = []
+    limit = _WAITING
     for b in batches:
         rows = b[["bucket", "handle"]].to_numpy(np.int64)
         if not len(rows):
             continue
         if parts and parts[-1][-1, 0] != rows[0, 0]:
             yield from _members(np.concatenate(parts))
-            parts = []
+            parts, limit = [], _WAITING
         last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
         if last:
             yield from _members(np.concatenate([*parts, rows[:last]]))
-            parts = []
-        parts.append(rows[last:][np.concatenate(([True], rows[last + 1:, 1] != rows[last:-1, 1]))])
+            parts, limit = [], _WAITING
+        parts.append(_different(rows[last:]))
+        if sum(map(len, parts)) > limit:
+            parts = [_different(np.concatenate(parts))]
+            limit = max(limit, 2 * len(parts[0]))
     if parts:
         yield from _members(np.concatenate(parts))
 
 
+def _different(rows: np.ndarray) -> np.ndarray:
+    """Each row once, sorted."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
+
+
 def _members(rows: np.ndarray) -> Iterator[pd.DataFrame]:
-    if not len(rows):
-        return
-    fresh = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
-    rows = rows[fresh]
+    rows = _different(rows)
     start = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
     count = np.diff(np.append(start, len(rows)))
     mixed = rows[:, 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -164,45 +174,56 @@ def _members(rows: np.ndarray) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"members": np.repeat(sign, count)[many].view(np.int64), "handle": rows[many, 1]})
 
 
-def _alike(sets: list[set], similarity: float, rows: np.ndarray | None = None) -> np.ndarray:
-    """Matrix of the pairs with an exact Jaccard of ``similarity`` or more, for some or all rows.
+def _coded(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, size): which line has which shingle of two lines or more, by 64-bit hash and sorted by column; shingles of each line."""
+    n, length = len(lines), np.array([len(x) for x in lines])
+    h, first = shingle_hashes(lines)
+    h[first] ^= np.where(length < SHINGLE, length + 1, 0).astype(np.uint64)  # a short line is no line that goes on with what pads it
+    row = np.repeat(np.arange(n), np.diff(np.append(first, len(h))))
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    fresh = new | np.concatenate(([True], row[1:] != row[:-1]))
+    row, column = row[fresh], (np.cumsum(new) - 1)[fresh]
+    size, uses = np.bincount(row, minlength=n), np.bincount(column)
+    shared = uses[column] > 1
+    return row[shared], (np.cumsum(uses > 1) - 1)[column[shared]], size
+
 
-    Shared shingles are counted as products of 0/1 columns. Where a set meets
-    itself the entry means nothing.
+def _alike(coded: tuple[np.ndarray, np.ndarray, np.ndarray], similarity: float, rows: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs with an exact Jaccard of ``similarity`` or more, for some rows.
+
+    Shared shingles are counted as products of 0/1 columns, for a single row
+    by its own. Where a line meets itself the entry means nothing.
     """
-    rows = np.arange(len(sets)) if rows is None else rows
-    if len(sets) <= _FEW:
-        return np.array([[jaccard_at_least(a, sets[b], similarity) for a in sets] for b in rows])
-    number: dict[str, int] = {}
-    column = np.array([number.setdefault(x, len(number)) for s in sets for x in s])
-    size = np.array([len(s) for s in sets])
-    row, uses = np.repeat(np.arange(len(sets)), size), np.bincount(column)
-    shared = uses[column] > 1
-    row, column = row[shared], (np.cumsum(uses > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(rows), len(sets)), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
-        lo, hi = np.searchsorted(column, (a, a + _COLUMNS))
-        part = np.zeros((len(sets), _COLUMNS), np.float32)
-        part[row[lo:hi], column[lo:hi] - a] = 1
-        both += part[rows] @ part.T
+    row, column, size = coded
+    if len(rows) == 1:
+        own = np.zeros(int(column[-1]) + 1 if len(column) else 0, bool)
+        own[column[row == rows[0]]] = True
+        both = np.bincount(row[own[column]], minlength=len(size))[None, :]
+    else:
+        both = np.zeros((len(rows), len(size)), np.float32)
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+            lo, hi = np.searchsorted(column, (a, a + _COLUMNS))
+            part = np.zeros((len(size), min(_COLUMNS, int(column[-1]) + 1 - a)), np.float32)
+            part[row[lo:hi], column[lo:hi] - a] = 1
+            both += part[rows] @ part.T
     return both >= similarity * (size[rows, None] + size[None, :] - both.astype(float))
 
 
-def _links(sets: list[set], one: np.ndarray, two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+def _links(lines: list[str], one: np.ndarray, two: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
     """Pairs that connect what exact Jaccard connects between the places ``one`` and ``two`` (the same, or apart).
 
     All of ``two`` meet the first of ``one``; then what that leaves apart meets the other side.
     """
-    label, first = np.arange(len(sets)), one[0]
-    for j in two:
-        if j != first and jaccard_at_least(sets[first], sets[j], similarity):
+    coded, label, first = _coded(lines), np.arange(len(lines)), one[0]
+    for j in two[_alike(coded, similarity, one[:1])[0, two]]:
+        if j != first:
             label[j] = first
             yield first, j
     for side, other in ((two[label[two] != first], one), (one[1:], two[label[two] == first])):
-        if len(side) and len(other) and len(sets) > 2 and (label[other] != label[side[0]]).any():
-            alike = _alike(sets, similarity, side)
+        if len(side) and len(other) and len(lines) > 2 and (label[other] != label[side[0]]).any():
+            alike = _alike(coded, similarity, side)
             for at, i in enumerate(side):
                 for j in other[alike[at, other] & (label[other] != label[i])]:
                     if label[i] != label[j]:
@@ -222,7 +243,8 @@ def _close(x: list[str], y: list[str], similarity: float) -> np.ndarray:
             b += 1
         h, first = shingle_hashes([line for pair in zip(x[a:b], y[a:b]) for line in pair])
         owner = np.repeat(np.arange(2 * (b - a), dtype=np.uint64), np.diff(np.append(first, len(h))))
-        keys = np.unique(owner >> np.uint64(1) << np.uint64(44) | h >> np.uint64(21) << np.uint64(1) | owner & np.uint64(1))
+        keys = np.sort(owner >> np.uint64(1) << np.uint64(44) | h >> np.uint64(21) << np.uint64(1) | owner & np.uint64(1))
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
         sizes = np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=b - a)
         same = keys[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
         both = np.bincount((same >> np.uint64(44)).astype(np.int64), minlength=b - a)
@@ -247,7 +269,7 @@ def _verify(similarity: float):
                     continue
                 left, right = a + np.flatnonzero(shard[a:b] == one[a]), a + np.flatnonzero(shard[a:b] == two[a])
                 if len(left) and len(right):
-                    places = _links([shingles(x) for x in line[a:b]], left - a, right - a, similarity)
+                    places = _links(line[a:b], left - a, right - a, similarity)
                     found += [(key[a + i], key[a + j]) for i, j in places]
             near = _close([line[a] for a in twos], [line[a + 1] for a in twos], similarity)
             found += [(key[a], key[a + 1]) for a, yes in zip(twos, near) if yes]
@@ -260,18 +282,23 @@ def similar_lines(docs: DataFrame, seen: DataFrame, *, similarity: float = SIMIL
     """(node, root): keys of the lines in ``seen`` (``listed`` of ``docs``) connected by links of at least ``similarity``."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = seen.where("buckets is not null").select(F.explode("buckets").alias("bucket"), "handle")
-    met = stage(buckets.repartition(width, "bucket").sortWithinPartitions("bucket", "handle")
+    met = stage(buckets.repartition(width, "bucket").sortWithinPartitions("bucket")
                 .mapInPandas(_shared, "members long, handle long").distinct())
     wanted = stage(met.select("handle").distinct())
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = {x for row in _worded(b["text"]) for _, x in row}
-            digests = [_digest(x) for x in own]
-            yield pd.DataFrame({"handle": [_handle(d) for d in digests], "key": digests, "line": list(own)})
-
-    held = stage(docs.select("text").mapInPandas(lines, "handle long, key binary, line string").join(wanted, "handle", "left_semi")
-                 .dropDuplicates(["handle", "key"]))
+            out = []
+            for text, numbers in zip(b["text"], b["numbers"]):
+                row = text.split("\n")
+                out += [normalise(row[n]) for n in numbers]
+            digests = [_digest(x) for x in out]
+            yield pd.DataFrame({"handle": [_handle(d) for d in digests], "key": digests, "line": out})
+
+    first = seen.join(wanted, "handle", "left_semi").groupBy("handle", "key").agg(F.min(F.struct("id", "text_id", "line_no")).alias("at"))
+    spots = stage(first.groupBy("at.id", "at.text_id").agg(F.collect_list("at.line_no").alias("numbers")))
+    held = stage(docs.select(*_identity(docs), "text").join(spots.hint("shuffle_hash"), ["id", "text_id"]).select("text", "numbers")
+                 .mapInPandas(lines, "handle long, key binary, line string").dropDuplicates(["handle", "key"]))
     sizes = stage(met.groupBy("members").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("shards")))
     cut = (met.join(sizes, "members").withColumn("shard", F.pmod(F.xxhash64("handle"), F.col("shards")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,18 @@ def test_line_dedup(docs, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_a_bucket_meet_by_hashes(monkeypatch):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdé漢 ") for _ in range(r.choice([3, 8, 60]))) for _ in range(6)]
+    lines = sorted({"".join(c if r.random() > .02 else "x" for c in r.choice(base)) + r.choice(["", "", "\0"]) for _ in range(60)})
+    sets = [linededup.shingles(x) for x in lines]
+    want = union([(a, b) for a in range(len(lines)) for b in range(a) if linededup.jaccard_at_least(sets[a], sets[b], .8)], range(len(lines)))
+    monkeypatch.setattr(linededup, "shingles", None)  # sets of strings took most of the time
+    frame = pd.DataFrame({"members": 1, "one": 0, "two": 0, "shard": 0, "key": range(len(lines)), "line": lines})
+    links = [tuple(x) for out in linededup._verify(.8)(iter([frame])) for x in out.itertuples(index=False)]
+    assert union(links, range(len(lines))) == want and len(set(want.values())) < len(lines)
+
+
 def test_bands_find_similar_lines():
     r = random.Random(2)
     pairs = missed = 0
