@@ -162,19 +162,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["document_id", "org_id", "terms", "tfs"])
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(document_id, org_id, terms, tfs) of every row of ``docs``, staged: the texts are split once."""
+def _counts(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(F.lower("extracted_text"), r"[^\p{L}\p{N}]+"), "")
     keys = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in DOC)
-    return materialize(docs.select(*DOC, words.alias("words")).mapInArrow(_count_words, f"{keys}, terms array<string>, tfs array<long>"))
+    return docs.select(*DOC, words.alias("words")).mapInArrow(_count_words, f"{keys}, terms array<string>, tfs array<long>")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(document_id, org_id, terms, tfs) of every row of ``docs``, staged: the texts are split once."""
+    return materialize(_counts(docs))
+
+
+def _repeated(counted: DataFrame) -> tuple[DataFrame, Column]:
+    """Keys that more than one row has, staged, and the condition that a row has one of them."""
+    again = materialize(counted.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in DOC]))
+    return again, F.col("document_id").eqNullSafe(F.col("_document_id")) & F.col("org_id").eqNullSafe(F.col("_org_id"))
 
 
 def _frequencies(counted: DataFrame) -> DataFrame:
     tf = counted.select(*DOC, F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
-    again = materialize(counted.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"_{k}") for k in DOC]))
+    again, same = _repeated(counted)
     if again.isEmpty():
         return tf
-    same = F.col("document_id").eqNullSafe(F.col("_document_id")) & F.col("org_id").eqNullSafe(F.col("_org_id"))
     merged = materialize(tf.join(again, same, "left_semi").groupBy(*DOC, "term").agg(F.sum("tf").alias("tf")))
     return tf.join(again, same, "left_anti").unionByName(merged)
 
@@ -203,6 +212,25 @@ def term_weights(docs: DataFrame, *, frequent: int = 1 << 16) -> DataFrame:
     return met.select(*DOC, "term", (F.col("tf") * F.log((F.lit(float(n)) + 1) / (F.col("df") + 1))).alias("weight"))
 
 
+def document_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The weights of ``term_weights`` in two tables that need no exchange of single words.
+
+    (doc, document_id, org_id, terms, tfs), one row a document with a key, and
+    (term, n, scale): documents with a key that have the term, and its logarithm.
+    """
+    counted = materialize(_counts(docs).withColumn("doc", F.monotonically_increasing_id()))
+    rows, (again, same) = counted, _repeated(counted)
+    if not again.isEmpty():
+        tf = counted.join(again, same, "left_semi").select("doc", *DOC, F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
+        tf = tf.groupBy(*DOC, "term").agg(F.min("doc").alias("doc"), F.sum("tf").alias("tf"))
+        merged = tf.groupBy(*DOC).agg(F.min("doc").alias("doc"), F.collect_list(F.struct("term", "tf")).alias("t"))
+        merged = materialize(merged.select(*DOC, "doc", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs")))
+        rows = counted.join(again, same, "left_anti").unionByName(merged)
+    df = rows.select("document_id", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count("document_id").alias("n"))
+    scale = F.log((F.lit(float(counted.count())) + 1) / (F.col("df") + 1))
+    return rows.where("document_id is not null"), materialize(df.where("n > 0").select("term", "n", scale.alias("scale")))
+
+
 def embed(docs: DataFrame, *, dims: int = 1 << 12) -> DataFrame:
     """TF-IDF features of the whole text with Spark ML."""
     from pyspark.ml import Pipeline

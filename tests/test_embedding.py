@@ -34,6 +34,12 @@ def dense(weights):
     return ids, a
 
 
+def same_signs(vectors):
+    """Coordinates with the first large entry of each positive: the turn of a singular vector depends on rounding."""
+    first = np.argmax(np.abs(vectors) > 0.5 * np.abs(vectors).max(axis=0), axis=0)
+    return vectors * np.sign(vectors[first, np.arange(vectors.shape[1])])
+
+
 def test_error_within_two_percent_of_numpy(spark, docs):
     some = docs.where("document_id != 'long'")  # one huge document would make the other values look small
     weights = do.term_weights(some)
@@ -48,6 +54,35 @@ def test_error_within_two_percent_of_numpy(spark, docs):
     assert np.linalg.norm(left) / np.linalg.norm(a) <= best * 1.02
 
 
+def test_rare_words_meet_once_a_block(spark, docs, monkeypatch):
+    weights = do.term_weights(docs.where("document_id != 'long'"))
+    want = em.decompose(weights, dims=6, oversample=6, turns=2)
+    monkeypatch.setattr(em, "BLOCK", 16)
+    sent, parts = [], em._rare_parts
+    monkeypatch.setattr(em, "_rare_parts", lambda *a: sent.append((parts(*a), a[0])) or parts(*a))
+    got = em.decompose(weights, dims=6, oversample=6, turns=2, frequent=5)
+    assert len(sent) == 3 and np.allclose(got.values, want.values, rtol=1e-9) and abs(got.energy - want.energy) < 1e-9 * want.energy
+    ours, theirs = ({(r.document_id, r.org_id): r.embedding for r in x.vectors.collect()} for x in (got, want))
+    assert ours.keys() == theirs.keys() and np.allclose(*(same_signs(np.array([x[k] for k in ours])) for x in (ours, theirs)), atol=1e-6)
+    exchanged, cells = sent[0]
+    pairs = cells.selectExpr("inline(arrays_zip(ids, ws))").groupBy("ids").count().collect()
+    assert all(r["count"] > 1 for r in pairs)  # a word of one document is not exchanged
+    held = [(r.id, r.block) for r in exchanged.collect()]
+    assert len(held) == len(set(held)) < sum(r["count"] for r in pairs) and {i for i, _ in held} == {r.ids for r in pairs}
+
+
+def test_keys_may_repeat_and_organisations_be_null(spark):
+    rows = [(f"d{i % 37}", "O" if i % 3 else None, " ".join(f"w{i * j % 23}" for j in range(1, 9)) + f" only{i}") for i in range(60)]
+    frames = [spark.createDataFrame([(d, o if keep else o or "none", t) for d, o, t in rows], TEXT) for keep in (True, False)]
+    null, filled = ({(r.document_id, r.org_id or "none"): r.embedding for r in em.embed_dense(f, dims=4, oversample=4, frequent=3).collect()} for f in frames)
+    assert null.keys() == filled.keys() and np.allclose(*(same_signs(np.array([x[k] for k in null])) for x in (null, filled)), atol=1e-6)
+    ids, a = dense(do.term_weights(frames[1]))
+    _, s, _ = np.linalg.svd(a, full_matrices=False)
+    terms, vocabulary = do.document_terms(frames[0])
+    got = em._decompose(terms, vocabulary, dims=4, oversample=len(ids), frequent=3)
+    assert len(null) == len(ids) and np.allclose(got.values, s[:4], rtol=1e-6) and abs(got.energy - (s ** 2).sum()) < 1e-9 * got.energy
+
+
 def test_vectors_feed_the_index(spark, docs, tmp_path):
     out = em.embed_dense(docs, dims=6, oversample=6)
     rows = {r.document_id: r.embedding for r in out.collect()}
